@@ -4,13 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowmill.llm import exact_dedup, mixing, quality
+from flowmill.llm import exact_dedup, mixing, packing, quality
 from flowmill.llm.common import read_documents
 
 
+VOCABULARY = "byte_bpe_50k.json"
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_pieces(read_documents(spark, sf_dir), public_tokenizers.path(VOCABULARY))
+
+
+def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_ids(read_documents(spark, sf_dir), public_tokenizers.path(VOCABULARY))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(read_documents(spark, sf_dir).select("doc_id", "text"))
     failed = (F.col("__n_words") < 20) | (100 * F.col("__n_repeat_words") > 30 * F.col("__n_words"))
@@ -30,7 +42,9 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read_documents(spark, sf_dir), digest_all=True).drop("rid")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_quality": op2_quality, "op5_mixing": op5_mixing, "op8_exact_dedup": op8_exact_dedup}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_packing, op2_quality, op4_token_ids, op5_mixing, op8_exact_dedup)
+}
 
 SQL: dict[str, str] = {
     "op8_exact_dedup": """
