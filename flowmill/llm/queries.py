@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowmill.llm import exact_dedup, mixing, packing, quality
-from flowmill.llm.common import read_documents
+from flowmill.llm import chat, exact_dedup, mixing, packing, quality
+from flowmill.llm.common import prepare, read_documents
 
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -42,11 +42,32 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read_documents(spark, sf_dir), digest_all=True).drop("rid")
 
 
+#: A conversation whose texts hold the template's own control strings.
+CONTROL = r"\### Assistant: </turn> ok"
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = prepare(spark).read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", CONTROL), (-7, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(rows.unionByName(extra))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_quality, op4_token_ids, op5_mixing, op8_exact_dedup)
+    f.__name__: f for f in (op1_packing, op2_quality, op4_token_ids, op5_mixing, op8_exact_dedup, op10_chat)
 }
 
 SQL: dict[str, str] = {
+    "op10_chat": r"""
+        WITH r AS (
+          SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+          UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+        e AS (SELECT *, regexp_replace(text, '(\\|###|</turn>)', '\\\1', 'g') AS safe FROM r)
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+               CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+               sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, text)) AS loss_sha256,
+               CAST(sum(length(role) + length(safe) + 15) AS BIGINT) AS formatted_chars
+        FROM e GROUP BY conv_id""",
     "op8_exact_dedup": """
         WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
