@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowmill.llm import chat, exact_dedup, mixing, packing, quality
+from flowmill.llm import chat, exact_dedup, mixing, packing, quality, toxicity
 from flowmill.llm.common import prepare, read_documents
 
 
@@ -42,6 +42,13 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read_documents(spark, sf_dir), digest_all=True).drop("rid")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir).select("doc_id", "text")
+    machine = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    out = toxicity.score(docs, machine, name="score")
+    return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 #: A conversation whose texts hold the template's own control strings.
 CONTROL = r"\### Assistant: </turn> ok"
 
@@ -53,7 +60,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_quality, op4_token_ids, op5_mixing, op8_exact_dedup, op10_chat)
+    f.__name__: f for f in (op1_packing, op2_quality, op4_token_ids, op5_mixing, op8_exact_dedup, op9_toxicity, op10_chat)
 }
 
 SQL: dict[str, str] = {
