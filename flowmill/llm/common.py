@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import lru_cache
@@ -56,6 +57,28 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_FIXED = {"Project", "Filter", "Relation", "LogicalRDD", "LocalRelation", "SubqueryAlias"}
+
+
+def fixed_rows(df: DataFrame) -> DataFrame:
+    """The table with rows that keep their place, so that monotonically_increasing_id() agrees between two uses.
+
+    Projections and filters of a scan do, whatever columns are pruned; anything with an exchange below is written first.
+    """
+    nodes = re.findall(r"(?m)^[\s:+-]*(\w+)", df._jdf.queryExecution().optimizedPlan().toString())
+    return df if set(nodes) <= _FIXED else materialize(df, "rows")
+
+
+#: Ids that may be broadcast: 8 bytes each, about 64 MB in a hash table.
+BROADCAST_IDS = 1_000_000
+
+
+def few_or_shuffled(ids: DataFrame, label: str = "ids", limit: int = BROADCAST_IDS) -> DataFrame:
+    """A table of ids, written and counted: marked for broadcast up to the limit, else joined by shuffle."""
+    ids = materialize(ids, label)
+    return F.broadcast(ids) if ids.count() <= limit else ids
+
+
 def text_of(column: str = "text") -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(column), F.lit(""))

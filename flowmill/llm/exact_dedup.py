@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowmill.llm.common import materialize, text_of
+from flowmill.llm.common import few_or_shuffled, fixed_rows, materialize, text_of
 
 #: Code points that the prefix hash covers.
 PREFIX = 256
@@ -27,7 +27,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     per task before the shuffle. Texts are never shuffled: the keys of groups with copies come back as a
     broadcast if they are few, and otherwise every row is hashed in the scan, which is cheaper than moving it.
     """
-    keyed = docs.select(
+    keyed = fixed_rows(docs).select(
         F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("rid"), text_of(text_col).alias("body")
     ).select("id", "rid", "body", F.octet_length("body").alias("size"))
     keyed = keyed.withColumn("head", F.xxhash64(F.substring("body", 1, PREFIX)))
@@ -60,6 +60,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Rows are joined by their position in the scan (rid), so repeated ids are told apart.
     """
+    docs = fixed_rows(docs)
     marked = docs.withColumn("__rid", F.monotonically_increasing_id())
     gone = exact_groups(docs, id_col, text_col).where(~F.col("kept")).select(F.col("rid").alias("__rid"))
-    return marked.join(gone, "__rid", "left_anti").drop("__rid")
+    return marked.join(few_or_shuffled(gone, "gone"), "__rid", "left_anti").drop("__rid")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowmill.llm import chat, exact_dedup, mixing, packing, quality, toxicity
+from flowmill.llm import bagminhash, chat, exact_dedup, mixing, packing, quality, toxicity
 from flowmill.llm.common import prepare, read_documents
 
 
@@ -38,6 +38,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.near_groups(read_documents(spark, sf_dir)).drop("rid")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read_documents(spark, sf_dir), digest_all=True).drop("rid")
 
@@ -60,7 +64,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_quality, op4_token_ids, op5_mixing, op8_exact_dedup, op9_toxicity, op10_chat)
+    f.__name__: f for f in (op1_packing, op2_quality, op4_token_ids, op5_mixing, op6_bagminhash, op8_exact_dedup, op9_toxicity, op10_chat)
 }
 
 SQL: dict[str, str] = {
