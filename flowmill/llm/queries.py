@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowmill.llm import bagminhash, chat, exact_dedup, mixing, packing, quality, toxicity
+from flowmill.llm import bagminhash, chat, exact_dedup, lm_score, mixing, packing, quality, toxicity
 from flowmill.llm.common import prepare, read_documents
 
 
@@ -19,6 +19,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_pieces(read_documents(spark, sf_dir), public_tokenizers.path(VOCABULARY))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.ppm_scores(read_documents(spark, sf_dir))
+
+
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_ids(read_documents(spark, sf_dir), public_tokenizers.path(VOCABULARY))
 
@@ -64,7 +68,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_quality, op4_token_ids, op5_mixing, op6_bagminhash, op8_exact_dedup, op9_toxicity, op10_chat)
+    f.__name__: f for f in (op1_packing, op2_quality, op3_lm_score, op4_token_ids, op5_mixing, op6_bagminhash, op8_exact_dedup, op9_toxicity, op10_chat)
 }
 
 SQL: dict[str, str] = {
