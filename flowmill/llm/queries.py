@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowmill.llm import bagminhash, chat, exact_dedup, lm_score, mixing, packing, quality, toxicity
+from flowmill.llm import bagminhash, chat, exact_dedup, lm_score, mixing, packing, pii, quality, toxicity
 from flowmill.llm.common import prepare, read_documents
 
 
@@ -46,6 +46,20 @@ def op6_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_groups(read_documents(spark, sf_dir)).drop("rid")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(read_documents(spark, sf_dir))
+    count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    order = F.create_map(*(F.lit(x) for i, k in enumerate(pii.KINDS) for x in (k, i)))
+
+    def listed(spans):
+        keyed = F.array_sort(F.transform(spans, lambda x: F.struct(order[x["kind"]].alias("o"), x["start"].alias("a"), x["end"].alias("b"), x["kind"].alias("k"))))
+        return F.array_join(F.transform(keyed, lambda x: F.concat_ws(":", x["k"], x["a"].cast("string"), x["b"].cast("string"))), ",")
+
+    return found.select(
+        "doc_id", *map(count, pii.KINDS), F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(F.concat("base", "added")).alias("spans")
+    )
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read_documents(spark, sf_dir), digest_all=True).drop("rid")
 
@@ -68,7 +82,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_quality, op3_lm_score, op4_token_ids, op5_mixing, op6_bagminhash, op8_exact_dedup, op9_toxicity, op10_chat)
+    f.__name__: f for f in (op1_packing, op2_quality, op3_lm_score, op4_token_ids, op5_mixing, op6_bagminhash, op7_pii, op8_exact_dedup, op9_toxicity, op10_chat)
 }
 
 SQL: dict[str, str] = {
