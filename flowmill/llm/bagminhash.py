@@ -7,10 +7,11 @@ comes at the node's joint rate and is split down to its unit, so most of a heavy
 The chance that two components agree is the weighted Jaccard similarity. Only points before a time horizon are drawn;
 if a component stays empty the horizon doubles, which never changes the points before it.
 
-Candidates. BANDS keys of ROWS components each. Texts with the same words in the same order are one text first. In a
-bucket of few texts each pair is a candidate; in a larger one each text is paired with one leader, so that a group of
-near copies of any size gives as many pairs as members. Buckets that verified links leave in several parts are refined
-by a further band until they are small, so that no link between dissimilar leaders' followers is lost.
+Candidates. BANDS keys of ROWS components each. Texts with the same words in the same order are one text first. In a bucket of few texts
+each pair is a candidate; in a larger one each text is paired with one leader, so that a group of near copies of any
+size gives as many pairs as members. Larger buckets that the links leave in several parts get further rounds: texts outside the
+largest part are paired with another of its texts, drawn anew, and with each other as in a bucket of their own. Rounds end when
+all buckets are whole or a round finds no link.
 
 Verification. Each candidate pair's shingle multisets are compared in full. Classes are the components of the links.
 """
@@ -35,8 +36,8 @@ ROWS, BANDS = 5, 32
 M = ROWS * BANDS
 #: Buckets of at most so many texts give all pairs (28); larger ones one pair a text.
 SMALL = 8
-#: Bands that refine a bucket, at most.
-LEVELS = 3
+#: Rounds with new leaders, at most.
+ROUNDS = 6
 #: Shingles that are drawn for at once.
 CHUNK = 200_000
 
@@ -226,20 +227,38 @@ def components(links: DataFrame) -> DataFrame:
         seen = now
 
 
-def _pairs(buckets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs of (key, rid, n, comp), and the members (key, rid) of buckets too large for all pairs."""
-    groups = buckets.groupBy("key").agg(F.count("*").alias("k"), F.min("rid").alias("leader"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-    groups = groups.where("k > 1 and low < high").select("key", "k", "leader")
+def _all_pairs(few: DataFrame) -> DataFrame:
+    """Each pair of the rows (key, rid, n) of a key; only for keys of at most SMALL rows."""
+    groups = few.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("rid", "n"))).alias("g"))
+    pairs = F.expr("flatten(transform(g, (x, i) -> transform(slice(g, i + 2, size(g)), y -> struct(x as x, y as y))))")
+    return groups.select(F.explode(pairs).alias("p")).select(F.col("p.x.rid").alias("a"), F.col("p.y.rid").alias("b"), F.col("p.x.n").alias("na"), F.col("p.y.n").alias("nb"))
+
+
+def _fit(pairs: DataFrame) -> DataFrame:
+    """Distinct pairs whose sizes allow a link: the smaller multiset bounds the overlap."""
+    fits = 100 * F.least("na", "nb") >= SIMILAR * F.greatest("na", "nb")
+    return pairs.where(fits & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _bucket_pairs(buckets: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs of rows (key, rid, n): all in small buckets, a star in larger ones; and the larger buckets' rows."""
+    lead = F.min_by(F.struct("rid", "n"), F.xxhash64(F.lit(seed), "rid"))
+    groups = buckets.groupBy("key").agg(F.count("*").alias("k"), lead.alias("lead")).where("k > 1")
     members = materialize(buckets.join(groups, "key"), "buckets")
-    few = members.where(F.col("k") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("rid", "n", "comp"))).alias("g"))
-    few = few.select(F.explode(F.expr("flatten(transform(g, (x, i) -> transform(slice(g, i + 2, size(g)), y -> struct(x as x, y as y))))")).alias("p"))
-    few = few.select(F.col("p.x.rid").alias("a"), F.col("p.y.rid").alias("b"), F.col("p.x.n").alias("na"), F.col("p.y.n").alias("nb"), F.col("p.x.comp").alias("ca"), F.col("p.y.comp").alias("cb"))
     large = members.where(F.col("k") > SMALL)
-    leads = large.where("rid = leader").select("key", F.col("n").alias("na"), F.col("comp").alias("ca"))
-    stars = large.where("rid <> leader").join(leads, "key").select(F.col("leader").alias("a"), F.col("rid").alias("b"), "na", F.col("n").alias("nb"), "ca", F.col("comp").alias("cb"))
-    # The smaller multiset bounds the overlap.
-    fits = (100 * F.least("na", "nb") >= SIMILAR * F.greatest("na", "nb")) & (F.col("ca") != F.col("cb"))
-    return few.unionByName(stars).where(fits).select("a", "b").distinct(), large.select("key", "rid")
+    stars = large.select(F.col("lead.rid").alias("a"), F.col("rid").alias("b"), F.col("lead.n").alias("na"), F.col("n").alias("nb"))
+    return _all_pairs(members.where(F.col("k") <= SMALL)).unionByName(stars), large.select("key", "rid", "n")
+
+
+def _open_pairs(large: DataFrame, roots: DataFrame, seed: int) -> DataFrame:
+    """Candidate pairs of larger buckets that links left in several parts."""
+    parts = large.join(roots, large["rid"] == roots["node"], "left").select("key", "rid", "n", F.coalesce("root", "rid").alias("part"))
+    lead = F.min_by(F.struct("rid", "n"), F.xxhash64(F.lit(seed), "rid"))
+    sizes = parts.groupBy("key", "part").agg(F.count("*").alias("c"), lead.alias("lead"))
+    most = sizes.groupBy("key").agg(F.max_by(F.struct("part", "lead"), F.struct("c", "part")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
+    apart = materialize(parts.join(most.select("key", "top"), "key").where(F.col("part") != F.col("top.part")).select("key", "rid", "n", "top.lead"), "apart")
+    ahead = apart.select(F.col("lead.rid").alias("a"), F.col("rid").alias("b"), F.col("lead.n").alias("na"), F.col("n").alias("nb"))
+    return ahead.unionByName(_bucket_pairs(apart.select("key", "rid", "n"), seed)[0])
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -255,28 +274,22 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     texts = sketch.groupBy("same").agg(F.min("rid").alias("rep"), F.count("*").alias("copies"))
     again = materialize(texts.where("copies > 1").select("same", "rep"), "copies")
     # Rows whose text occurs once are their own representative and need no join back.
-    spare = sketch.select("rid", "same").join(again, "same").where("rid <> rep").select("rid", "rep")
-    spare = materialize(spare, "spare")
+    spare = materialize(sketch.select("rid", "same").join(again, "same").where("rid <> rep").select("rid", "rep"), "spare")
     reps = sketch.join(spare.select("rid"), "rid", "left_anti").where("n > 0")
-    links = None
-    buckets = reps.select(F.explode("bands").alias("key"), "rid", "n", F.col("rid").alias("comp"))
-    roots = None
-    for level in range(LEVELS):
-        pairs, large = _pairs(buckets)
-        pairs = materialize(pairs, "pairs")
-        good = materialize(_verify(placed, pairs), "verified")
-        links = good if links is None else materialize(links.unionByName(good).distinct(), "links")
-        roots = components(links)
-        if level + 1 == LEVELS:
-            break
-        comp = large.join(roots, large["rid"] == roots["node"], "left").select("key", "rid", F.coalesce("root", "rid").alias("comp"))
-        open_keys = comp.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-        left = materialize(comp.join(open_keys, "key"), "open")
-        if left.isEmpty():
-            break
-        bands = sketch.select("rid", "n", "bands")
-        buckets = left.join(bands, "rid").select("key", "rid", "n", "comp", F.explode("bands").alias("band"))
-        buckets = buckets.where("band <> key").select(F.xxhash64(F.least("key", "band"), F.greatest("key", "band")).alias("key"), "rid", "n", "comp").distinct()
+    found, large = _bucket_pairs(reps.select(F.explode("bands").alias("key"), "rid", "n"), 0)
+    tested = materialize(_fit(found), "pairs")
+    links = materialize(_verify(placed, tested), "verified")
+    roots = components(links)
+    if not large.isEmpty():
+        for seed in range(1, ROUNDS + 1):
+            new = materialize(_fit(_open_pairs(large, roots, seed)).join(tested, ["a", "b"], "left_anti"), "pairs")
+            if new.isEmpty():
+                break
+            more = materialize(_verify(placed, new), "verified")
+            if more.isEmpty():
+                break
+            tested, links = tested.unionByName(new), links.unionByName(more)
+            roots = components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     degree = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
     named = sketch.select("rid", "id").join(spare, "rid", "left").withColumn("rep", F.coalesce("rep", "rid"))
     named = named.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
