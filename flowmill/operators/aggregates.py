@@ -64,10 +64,15 @@ def tumbling_features(rows: DataFrame, window_s: int = 180, least: int = 10) ->
         F.count("*").alias("num_flow"), *[F.avg(m).alias(f"mean_{m}") for m in MEASURES], *[F.stddev_samp(m).alias(f"std_{m}") for m in MEASURES],
         port_shares("src_port").alias("proportion_src_port"), port_shares("dst_port").alias("proportion_dst_port"),
     ).where(F.col("num_flow") >= least)
-    for s in SYMBOLS:
-        base = base.join(entropy(rows, keys, s, 2, f"entropy_{s}"), keys)
-    base = base.join(majority(rows, keys, "label"), keys)
-    return base.drop("num_flow").na.fill(0.0)
+    # All entropies and the majority come from one count of (key, column, value): the flows are read twice, not once a column.
+    cells = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in (*SYMBOLS, "label")])
+    counts = rows.select(*keys, F.explode(cells).alias("x")).groupBy(*keys, "x.c", "x.v").agg(F.count("*").alias("n"))
+    n = F.col("n").cast("double")
+    of = lambda c, x: F.when(F.col("c") == c, x)
+    bits = lambda c: F.greatest(F.log2(F.sum(of(c, n))) - F.sum(of(c, n * F.log2(n))) / F.sum(of(c, n)), F.lit(0.0)).alias(f"entropy_{c}")
+    label = F.when(F.max(of("label", n)) * 2 > F.sum(of("label", n)), F.max_by(of("label", F.col("v")), of("label", n))).alias("label")
+    symbols = counts.groupBy(*keys).agg(*[bits(c) for c in SYMBOLS], label)
+    return base.join(symbols, keys).drop("num_flow").na.fill(0.0)
 
 
 def compose_features(features: DataFrame, ranges: dict[str, tuple[float, float]] = FEATURE_RANGES) -> DataFrame:

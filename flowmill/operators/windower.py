@@ -21,7 +21,7 @@ from flowmill.functions import ports, scalars
 
 @dataclass(frozen=True)
 class Settings:
-    """Times in ms. strict_compat keeps the reference behaviour for SCTP and for the entropy's unused sample slots."""
+    """Times in ms. strict_compat counts SCTP as any other protocol and a port sample's unused slots as port 0, as trained models expect."""
 
     window_ms: int = 2000
     min_flows: int = 2
@@ -62,7 +62,7 @@ def flow_features(flows: DataFrame, strict_compat: bool = True) -> DataFrame:
     )
 
 
-def assign_windows(flows: DataFrame, window_ms: int, first_ms: int | None = None, late: bool = True, chunk: int = 100_000) -> DataFrame:
+def assign_windows(flows: DataFrame, window_ms: int, first_ms: int | None = None, late: bool = True, chunk: int = 5_000_000) -> DataFrame:
     """Adds window_id. `first_ms` anchors the grid (default: the least end).
 
     With `late`, ids are a running maximum in arrival order: per chunk of arrival numbers, with the maximum of the earlier
