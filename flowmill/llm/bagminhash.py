@@ -37,7 +37,9 @@ M = ROWS * BANDS
 #: Buckets of at most so many texts give all pairs (28); larger ones one pair a text.
 SMALL = 8
 #: Rounds with new leaders, at most.
-ROUNDS = 6
+ROUNDS = 4
+#: Links that one task may unite: 16 bytes each, some 100 MB as a dictionary.
+FEW_LINKS = 500_000
 #: Shingles that are drawn for at once.
 CHUNK = 200_000
 
@@ -202,10 +204,34 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], names=["a", "b"])
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, root) for the nodes of links (a, b): alternating large-star and small-star steps until nothing changes.
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of all links of one task, by union-find with the least node as root."""
+    root: dict[int, int] = {}
 
-    Each step is a partial aggregation and a join, so a node with many links is no bottleneck; nothing is collected.
+    def find(x: int) -> int:
+        top = x
+        while root[top] != top:
+            top = root[top]
+        while root[x] != top:
+            root[x], x = top, root[x]
+        return top
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            root.setdefault(a, a)
+            root.setdefault(b, b)
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    found = [(x, r) for x in root if (r := find(x)) != x]
+    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([r for _, r in found], pa.int64())], names=["node", "root"])
+
+
+def components(links: DataFrame, few: int | None = None) -> DataFrame:
+    """(node, root) for the nodes of links (a, b) but the roots themselves; a root is its component's least node.
+
+    A counted, bounded number of links is united in one task. More take alternating large-star and small-star steps until
+    nothing changes: each is a partial aggregation and a join, so a node with many links is no bottleneck. Nothing is
+    collected to the driver either way.
     """
     def star(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
@@ -218,6 +244,8 @@ def components(links: DataFrame) -> DataFrame:
         return new.where("a <> b").distinct()
 
     edges = materialize(links.select("a", "b").where("a <> b").distinct(), "links")
+    if edges.count() <= (FEW_LINKS if few is None else few):
+        return materialize(edges.coalesce(1).mapInArrow(_united, "node long, root long"), "roots")
     seen = None
     while True:
         edges = materialize(star(star(edges, True), False), "star")

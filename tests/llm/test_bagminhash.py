@@ -96,8 +96,9 @@ def test_classes_equal_brute_force(spark):
 
 
 @pytest.mark.parametrize("edges", [[], [(1, 2)], [(i, i + 1) for i in range(40)] + [(100, 200), (200, 300), (50, 51)], [(0, i) for i in range(1, 30)]])
-def test_components(spark, edges):
-    got = dict(bag.components(spark.createDataFrame(edges, "a long, b long")).collect())
+@pytest.mark.parametrize("few", [0, 1000])
+def test_components(spark, edges, few):
+    got = dict(bag.components(spark.createDataFrame(edges, "a long, b long"), few).collect())
     root = {x: x for e in edges for x in e}
     for _ in root:
         for a, b in edges:
