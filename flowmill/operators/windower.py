@@ -103,12 +103,15 @@ def inter_arrival(flows: DataFrame, keys: list[str], longest_ms: int) -> DataFra
     )
 
 
-def port_entropy(flows: DataFrame, keys: list[str], samples: int = 30, strict_compat: bool = True) -> DataFrame:
+def port_entropy(flows: DataFrame, keys: list[str], samples: int = 30, strict_compat: bool = True, seed: int | None = None) -> DataFrame:
     """Natural-log entropy of port_src per key.
 
     strict_compat counts the sample's unused slots as port 0 while there are fewer flows than slots; the histogram
-    beyond that is exact rather than sampled.
+    beyond that is exact, or with a seed that of a uniform sample of as many flows as there are slots.
     """
+    if seed is not None:
+        order = Window.partitionBy(*keys).orderBy(F.xxhash64(F.lit(seed), "arrival_seq"), "arrival_seq")
+        flows = flows.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= samples).drop("__r")
     counts = flows.groupBy(*keys, "port_src").agg(F.count("*").alias("n"))
     total = Window.partitionBy(*keys)
     counts = counts.withColumn("all", F.sum("n").over(total))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowmill.functions import ports, scalars
-from flowmill.operators import aggregates, joins, profiles, sampling, scaling, windower
+from flowmill.operators import aggregates, joins, preprocess, profiles, sampling, scaling, windower
 from flowmill.plans import dashboards
 from flowmill.plans.flows import events_as_flows, flows_cte
 from flowmill.session import share_code, table
@@ -228,6 +228,22 @@ def ratios(spark, sf_dir):
     return _round(rows.select("flow_id", *scalars.rates("IN"), *scalars.rates("OUT")))
 
 
+_PRE = ["flow_id", "ip_src", "ip_dst", "protocol", "port_src", "port_dst", "icmp_type", "flags", "in_bytes", "in_pkts", "out_bytes", "out_pkts", "duration_in", "duration_out", "ttl", "label"]
+
+
+@query(_flows(*_PRE) + f""" SELECT flow_id AS "Label", ip_src AS "IP_SRC", ip_dst AS "IP_DST", in_bytes AS "IN_BYTES", 0 AS "MAX_TTL", round({_per('in_bytes', _side('duration_in'))}, 5) AS "IN_BPS", round({_per('out_bytes', 'out_pkts')}, 5) AS "OUT_BPP",
+    {', '.join(f'CAST((flags >> {i}) & 1 AS TINYINT) AS "CLIENT_{n}"' for i, n in enumerate(ports.TCP_FLAGS))}, CAST(protocol = 1 AS TINYINT) AS "PROTOCOL_ICMP", CAST(port_dst IN (80, 8080) AS TINYINT) AS "L4_DST_PORT_WEB_NOENC",
+    CAST(protocol = 1 AND icmp_type // 256 = 0 AS TINYINT) AS "ICMP_TYPE_ECHO_REPLY", CAST(icmp_type // 256 = 8 AS TINYINT) AS "ICMP_TYPE_ECHO_REQUEST", 115 AS n_columns FROM flows""")
+def preprocess_features(spark, sf_dir):
+    """F1 to F16: the whole projection to 110 features (a choice of columns is compared)."""
+    names = {"ip_src": "IPV4_SRC_ADDR", "ip_dst": "IPV4_DST_ADDR", "protocol": "PROTOCOL", "port_src": "L4_SRC_PORT", "port_dst": "L4_DST_PORT", "icmp_type": "ICMP_TYPE", "flags": "CLIENT_TCP_FLAGS",
+             "in_bytes": "IN_BYTES", "in_pkts": "IN_PKTS", "out_bytes": "OUT_BYTES", "out_pkts": "OUT_PKTS", "duration_in": "DURATION_IN", "duration_out": "DURATION_OUT", "ttl": "MIN_TTL", "flow_id": "Label"}
+    raw = events_as_flows(spark, sf_dir, *_PRE).drop("label").withColumnsRenamed(names).withColumn("IPV6_SRC_ADDR", F.lit("::")).withColumn("IPV6_DST_ADDR", F.lit("::"))
+    out = preprocess.features(raw.withColumn("SRC_DENY", F.lit(False)).withColumn("DST_DENY", F.lit(False)))
+    flags = [f"CLIENT_{n}" for n in ports.TCP_FLAGS]
+    return _round(out.select("Label", "IP_SRC", "IP_DST", "IN_BYTES", "MAX_TTL", "IN_BPS", "OUT_BPP", *flags, "PROTOCOL_ICMP", "L4_DST_PORT_WEB_NOENC", "ICMP_TYPE_ECHO_REPLY", "ICMP_TYPE_ECHO_REQUEST", F.lit(len(out.columns)).alias("n_columns")))
+
+
 _SWAP = ["in_bytes", "out_bytes", "in_pkts", "out_pkts"]
 
 
@@ -615,6 +631,13 @@ def background_flows(spark, sf_dir):
     return events_as_flows(spark, sf_dir, "flow_id", "label", "out_bytes").where((F.lower("label") == "background") & (F.col("out_bytes") != 0) & F.col("label").contains("back")).select("flow_id")
 
 
+@query("SELECT a.event_id, n_name FROM (SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id) AS r FROM events) a JOIN (SELECT n_name, row_number() OVER (ORDER BY n_name) AS r FROM nation) b ON a.r = b.r")
+def positional_join(spark, sf_dir):
+    """Rows paired by their place."""
+    events = table(spark, sf_dir, "events").select("event_id", (-F.unix_micros(F.col("ts").cast("timestamp"))).alias("o"))
+    return joins.by_position(events, table(spark, sf_dir, "nation").select("n_name"), ["o", "event_id"], ["n_name"]).select("event_id", "n_name")
+
+
 # --- profiles -------------------------------------------------------------------------------------------------------
 
 _PRO = ("ip_src", "ip_dst", "port_src", "port_dst", "start_ms", "in_bytes", "out_bytes")
