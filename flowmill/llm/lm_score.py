@@ -1,14 +1,15 @@
 """Language-model scoring by prediction by partial matching (PPM) over bytes, pretrained on the corpus.
 
 Model. A text is its words, each followed by a separator byte, then an end byte. A symbol's context is the up to ORDER
-bytes before it; contexts begin anew at each word, with the separator, so a word's code length is the same in all
-texts and each distinct word is coded once for the whole corpus. The trie holds, for each context of 0 to ORDER
-bytes, the counts of the bytes that follow it in the training words. Coding tries the longest known context; a byte it hasn't seen
-escapes to the context one byte shorter, whose counts leave out the symbols already ruled out (symbol exclusion). The escape estimate is
-method C: distinct / (total + distinct). Below order 0 all bytes not yet ruled out are equally likely.
-
-Plan. Workers split documents into blocks and send each block's distinct words with training counts, never the
-tokens. Words are summed over the corpus; the trie is built by aggregation from distinct words, sharded by the last
+bytes before it, of which at most the last HISTORY bytes of the word before and its separator lie outside the word. So a
+word's code length depends on the word and those bytes, and each distinct (history, word) is coded once for the corpus. The trie holds, for
+each context of 0 to ORDER bytes, the counts of the bytes that follow it in the training texts. Coding tries the longest
+known context; a byte it hasn't seen escapes to the context one byte shorter, whose counts leave out the symbols already ruled
+out (symbol exclusion). Escapes are estimated by method D: each of d distinct symbols among n gives up half a count, so an
+escape has d / 2n. Below order 0 all bytes not yet ruled out are equally likely.
+
+Plan. Workers split documents into blocks and send each block's distinct entries (history, word) with training counts, not the
+tokens. Entries are summed over the corpus, all of a word in one shard; the trie is built by aggregation from distinct entries, sharded by the last
 two bytes of the context, so that a context and all it may escape to (but the two lowest orders, whose size is bounded by 65,536
 rows and which are broadcast) lie in one shard. Codes go back to words, words to blocks, blocks to documents.
 """
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from flowmill.llm.common import bucket_of, materialize, prepare
 
-ORDER = 4
+ORDER, HISTORY = 6, 2
 SEPARATOR, END = b" ", b"\n"
 #: Bytes of text in a block: bounds a worker's memory.
 BLOCK_BYTES = 24_000_000
@@ -46,7 +47,7 @@ def _open(x: pa.Scalar, kind: str | None = None):
 
 
 def _words(raw: bytes) -> list[bytes]:
-    """The opposite of joining by the end byte, which no word contains; the empty word stands for the end of a text."""
+    """The opposite of joining by the end byte, which no entry contains."""
     return raw.split(END) if raw != b"-" else []
 
 
@@ -59,10 +60,21 @@ def tokens(text: str | None) -> list[bytes]:
     return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), b""]
 
 
-def symbols(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For each coded byte of the words: context and byte as a number, and the word it belongs to."""
-    pad = SEPARATOR * ORDER
-    parts = [pad + (w + SEPARATOR if w else END) for w in words]
+def entries(words: list[bytes]) -> list[bytes]:
+    """Each token with its history: the last bytes of the word before (none for the first), the separator, the word."""
+    return [a[-HISTORY:] + SEPARATOR + w for a, w in zip([b"", *words], words)]
+
+
+def _word(entry: bytes) -> bytes:
+    return entry.partition(SEPARATOR)[2]
+
+
+def symbols(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """For each coded byte of the entries: context and byte as a number, and the entry it belongs to."""
+    pad, parts = SEPARATOR * ORDER, []
+    for x in found:
+        history, _, word = x.partition(SEPARATOR)
+        parts.append((pad + history + SEPARATOR)[-ORDER:] + (word + SEPARATOR if word else END))
     buffer = np.frombuffer(b"".join(parts), np.uint8)
     lengths = np.fromiter(map(len, parts), np.int64, len(parts))
     key = np.zeros(len(buffer), np.uint64)
@@ -106,7 +118,7 @@ class Trie:
             use = todo & (new > 0)
             seen = use & (mine > 0)
             with np.errstate(divide="ignore", invalid="ignore"):
-                out = np.where(seen, out + np.log10(mine / (left + new)), np.where(use, out + np.log10(new / (left + new)), out))
+                out = np.where(seen, out + np.log10((mine - 0.5) / left), np.where(use, out + np.log10(new / (2 * left)), out))
             todo &= ~seen
             # What this order rules out in the next one: the bytes seen here, by their counts there.
             if k > 2:
@@ -124,8 +136,8 @@ class Trie:
         return np.where(todo, out - np.log10(max(rest, 1)), out)
 
 
-def _shard_of(words: list[bytes], shards: int) -> np.ndarray:
-    return np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % shards
+def _shard_of(found: list[bytes], shards: int) -> np.ndarray:
+    return np.fromiter((zlib.crc32(_word(x)) for x in found), np.int64, len(found)) % shards
 
 
 def _suffix_of(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -144,15 +156,14 @@ def _table(rows: list[tuple]) -> pa.Table:
 
 
 def _split(shards: int):
-    """Documents to blocks: 'doc' rows with word numbers, 'ask' rows with a shard's words and training counts."""
+    """Documents to blocks: 'doc' rows with entry numbers, 'ask' rows with a shard's entries and training counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 24
-        docs, held = [], 0
+        number: dict[bytes, int] = {}
+        coded, held = [], 0
 
         def block() -> pa.Table:
-            number: dict[bytes, int] = {}
-            coded = [(i, h, np.array([number.setdefault(w, len(number)) for w in ws], np.int64)) for i, h, ws in docs]
             words = list(number)
             train = np.zeros(len(words), np.int64)
             for _, h, x in coded:
@@ -174,19 +185,19 @@ def _split(shards: int):
         for batch in batches:
             for i, h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 text = text.as_py()
-                docs.append((i, h, tokens(text)))
+                coded.append((i, h, np.array([number.setdefault(w, len(number)) for w in entries(tokens(text))], np.int32)))
                 held += len(text or "")
                 if held >= BLOCK_BYTES:
                     yield from block().to_batches()
-                    docs, held, base = [], 0, base + 1
-        if docs:
+                    number, coded, held, base = {}, [], 0, base + 1
+        if coded:
             yield from block().to_batches()
 
     return run
 
 
 def _merge(shards: int):
-    """A shard's words, summed over blocks: a 'word' row, and 'gram' rows for the trie."""
+    """A shard's entries, summed over blocks: a 'word' row, and 'gram' rows for the trie."""
 
     def run(key, table):
         total: dict[bytes, int] = {}
@@ -196,7 +207,8 @@ def _merge(shards: int):
         words = sorted(total)
         counts = np.array([total[w] for w in words], np.int64)
         s = key[0].as_py()
-        rows = [("word", None, s, None, None, int((counts > 0).sum()), _pack(_joined(words)), _pack(counts.astype("<i8")))]
+        known = len({_word(w) for w, c in total.items() if c})
+        rows = [("word", None, s, None, None, known, _pack(_joined(words)), _pack(counts.astype("<i8")))]
         grams, of = symbols(words)
         grams, at = np.unique(grams, return_inverse=True)
         trained = np.bincount(at, counts[of], len(grams))
@@ -237,7 +249,7 @@ def _coded(low):
 
 
 def _answer(shards: int):
-    """A word shard's 'word', 'code' and 'ask' rows to 'tell' rows: count and code of each word a block asked for."""
+    """A word shard's 'word', 'code' and 'ask' rows to 'tell' rows: word count and code of each entry a block asked for."""
 
     def run(key, table):
         rows = table.to_pylist()
@@ -252,6 +264,9 @@ def _answer(shards: int):
                 code[suffix == r["block"]] = np.frombuffer(raw(r["a"]), "<f8")
         whole = np.bincount(of, code[at], len(words))
         place = {w: i for i, w in enumerate(words)}
+        of_word: dict[bytes, int] = {}
+        word_of = np.array([of_word.setdefault(_word(w), len(of_word)) for w in words], np.int64)
+        counts = np.bincount(word_of, counts, len(of_word)).astype(np.int64)[word_of]  # the word's, over all histories
         out = []
         for r in rows:
             if r["kind"] == "ask":

@@ -12,19 +12,27 @@ def spell(token):
     return token + b" " if token else b"\n"
 
 
-def brute(train_tokens):
+def brute(texts):
     """Counts by context for all orders, and a coder that follows the definition symbol by symbol."""
     tries = defaultdict(Counter)
-    for token in train_tokens:
-        past = b" " * lm_score.ORDER
-        for x in spell(token):
+
+    def steps(words):
+        before = b""
+        for word in words:
+            past = (b" " * lm_score.ORDER + before[-lm_score.HISTORY :] + b" ")[-lm_score.ORDER :]
+            for x in spell(word):
+                yield past, x
+                past = (past + bytes([x]))[-lm_score.ORDER :]
+            before = word
+
+    for words in texts:
+        for past, x in steps(words):
             for k in range(lm_score.ORDER + 1):
                 tries[past[len(past) - k :]][x] += 1
-            past = (past + bytes([x]))[-lm_score.ORDER :]
 
-    def code(token):
-        out, past = 0.0, b" " * lm_score.ORDER
-        for x in spell(token):
+    def code(words):
+        out = 0.0
+        for past, x in steps(words):
             ruled_out = set()
             for k in range(lm_score.ORDER, -1, -1):
                 follow = {s: c for s, c in tries.get(past[len(past) - k :], {}).items() if s not in ruled_out}
@@ -32,13 +40,12 @@ def brute(train_tokens):
                     continue
                 total, distinct = sum(follow.values()), len(follow)
                 if x in follow:
-                    out += math.log10(follow[x] / (total + distinct))
+                    out += math.log10((follow[x] - 0.5) / total)
                     break
-                out += math.log10(distinct / (total + distinct))
+                out += math.log10(distinct / (2 * total))
                 ruled_out |= set(follow)
             else:
                 out -= math.log10(256 - len(ruled_out))
-            past = (past + bytes([x]))[-lm_score.ORDER :]
         return out
 
     return code
@@ -53,21 +60,21 @@ def test_scores_equal_brute_force(spark, monkeypatch):
     assert len(got) == len(rows)
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
     train = Counter(w for i, t in rows if not held(i) for w in lm_score.tokens(t))
-    code = brute([w for w, c in train.items() for _ in range(c)])
+    code = brute([lm_score.tokens(t) for i, t in rows if not held(i)])
     n, v = sum(train.values()), len(train)
     want = []
     for i, t in rows:
         ws = lm_score.tokens(t)
         base = sum(math.log10((train[w] + 1) / (n + v + 1)) for w in ws)
-        want.append((-1 if i is None else i, held(i), len(ws), sum(train[w] > 0 for w in ws), n, base, sum(map(code, ws))))
+        want.append((-1 if i is None else i, held(i), len(ws), sum(train[w] > 0 for w in ws), n, base, code(ws)))
     have = sorted((-1 if r.doc_id is None else r.doc_id, *r[1:]) for r in got)
     for a, b in zip(have, sorted(want), strict=True):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-5)
 
 
 def test_probabilities_sum_to_one_at_most():
-    code = brute([b"ab", b"abc", b"b"])
-    assert sum(10 ** code(bytes([x])) for x in range(256) if x not in b" \t\n\r\x0b\x0c") < 1
+    code = brute([[b"ab", b"abc", b"b", b""]])
+    assert sum(10 ** code([bytes([x]), b""]) for x in range(256) if x not in b" \t\n\r\x0b\x0c") < 1
 
 
 def test_without_training_rows_and_empty(spark):
