@@ -10,7 +10,7 @@ if a component stays empty the horizon doubles, which never changes the points b
 Candidates. BANDS keys of ROWS components each. Texts with the same words in the same order are one text first. In a bucket of few texts
 each pair is a candidate; in a larger one each text is paired with one leader, so that a group of near copies of any
 size gives as many pairs as members. Larger buckets that the links leave in several parts get further rounds: texts outside the
-largest part are paired with another of its texts, drawn anew, and with each other as in a bucket of their own. Rounds end when
+largest part are paired with a few of its texts, drawn anew, and with each other as in a bucket of their own. Rounds end when
 all buckets are whole or a round finds no link.
 
 Verification. Each candidate pair's shingle multisets are compared in full. Classes are the components of the links.
@@ -36,8 +36,8 @@ ROWS, BANDS = 5, 32
 M = ROWS * BANDS
 #: Buckets of at most so many texts give all pairs (28); larger ones one pair a text.
 SMALL = 8
-#: Rounds with new leaders, at most.
-ROUNDS = 4
+#: Rounds with new leaders, at most, and leaders of a bucket in each.
+ROUNDS, LEADERS = 2, 3
 #: Links that one task may unite: 16 bytes each, some 100 MB as a dictionary.
 FEW_LINKS = 500_000
 #: Shingles that are drawn for at once.
@@ -278,15 +278,16 @@ def _bucket_pairs(buckets: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
     return _all_pairs(members.where(F.col("k") <= SMALL)).unionByName(stars), large.select("key", "rid", "n")
 
 
-def _open_pairs(large: DataFrame, roots: DataFrame, seed: int) -> DataFrame:
-    """Candidate pairs of larger buckets that links left in several parts."""
+def _open_pairs(large: DataFrame, roots: DataFrame, first_seed: int) -> DataFrame:
+    """Candidate pairs of larger buckets that links left in several parts: what stands apart with LEADERS texts of the largest part."""
     parts = large.join(roots, large["rid"] == roots["node"], "left").select("key", "rid", "n", F.coalesce("root", "rid").alias("part"))
-    lead = F.min_by(F.struct("rid", "n"), F.xxhash64(F.lit(seed), "rid"))
-    sizes = parts.groupBy("key", "part").agg(F.count("*").alias("c"), lead.alias("lead"))
-    most = sizes.groupBy("key").agg(F.max_by(F.struct("part", "lead"), F.struct("c", "part")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
-    apart = materialize(parts.join(most.select("key", "top"), "key").where(F.col("part") != F.col("top.part")).select("key", "rid", "n", "top.lead"), "apart")
-    ahead = apart.select(F.col("lead.rid").alias("a"), F.col("rid").alias("b"), F.col("lead.n").alias("na"), F.col("n").alias("nb"))
-    return ahead.unionByName(_bucket_pairs(apart.select("key", "rid", "n"), seed)[0])
+    leads = F.array(*[F.min_by(F.struct("rid", "n"), F.xxhash64(F.lit(first_seed + i), "rid")) for i in range(LEADERS)])
+    sizes = parts.groupBy("key", "part").agg(F.count("*").alias("c"), leads.alias("leads"))
+    most = sizes.groupBy("key").agg(F.max_by(F.struct("part", "leads"), F.struct("c", "part")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
+    apart = materialize(parts.join(most.select("key", "top"), "key").where(F.col("part") != F.col("top.part")).select("key", "rid", "n", "top.leads"), "apart")
+    ahead = apart.select("rid", "n", F.explode(F.array_distinct("leads")).alias("lead"))
+    ahead = ahead.select(F.col("lead.rid").alias("a"), F.col("rid").alias("b"), F.col("lead.n").alias("na"), F.col("n").alias("nb"))
+    return ahead.unionByName(_bucket_pairs(apart.select("key", "rid", "n"), first_seed)[0])
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
