@@ -37,7 +37,7 @@ M = ROWS * BANDS
 #: Buckets of at most so many texts give all pairs (28); larger ones one pair a text.
 SMALL = 8
 #: Rounds with new leaders, at most, and leaders of a bucket in each.
-ROUNDS, LEADERS = 2, 3
+ROUNDS, LEADERS = 1, 6
 #: Links that one task may unite: 16 bytes each, some 100 MB as a dictionary.
 FEW_LINKS = 500_000
 #: Shingles that are drawn for at once.
