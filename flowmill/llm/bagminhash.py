@@ -11,7 +11,9 @@ Candidates. BANDS keys of ROWS components each. Texts with the same words in the
 each pair is a candidate; in a larger one each text is paired with one leader, so that a group of near copies of any
 size gives as many pairs as members. Larger buckets that the links leave in several parts get further rounds: texts outside the
 largest part are paired with a few of its texts, drawn anew, and with each other as in a bucket of their own. Rounds end when
-all buckets are whole or a round finds no link.
+all buckets are whole or a round finds no link. The texts of buckets that are still open are joined exactly: a link of two
+texts in different parts shares one of the few rarest shingles of both (prefix filter), at places that leave enough for
+the overlap (positional filter), so a passage that many texts share makes no pairs unless it is long enough for a link.
 
 Verification. Each candidate pair's shingle multisets are compared in full. Classes are the components of the links.
 """
@@ -38,6 +40,8 @@ M = ROWS * BANDS
 SMALL = 8
 #: Rounds with new leaders, at most, and leaders of a bucket in each.
 ROUNDS, LEADERS = 1, 6
+#: Counters of how common a shingle is among texts of open buckets; shared ones only make the exact join slower.
+COUNTERS = 1 << 20
 #: Links that one task may unite: 16 bytes each, some 100 MB as a dictionary.
 FEW_LINKS = 500_000
 #: Shingles that are drawn for at once.
@@ -204,6 +208,38 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], names=["a", "b"])
 
 
+def _unit_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rid, part, units): a shingle that occurs c times is c units, so that overlaps of multisets are those of sets."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 250):
+            part, units = batch.slice(at, 250), []
+            for text in part.column(2):
+                h, c = shingles(words_of(text.as_py()))
+                nth = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+                units.append(_mix(np.repeat(h, c) ^ _mix(nth.astype(_U))).view(np.int64))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(units, pa.list_(pa.int64()))], names=["rid", "part", "units"])
+
+
+def _prefixes(common: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(unit, rid, n, most, part) of each text's rarest units, in one order for all texts.
+
+    A pair whose first common unit is this one, the i-th of n, overlaps in n - i units at most, which is enough for
+    a link with a text of `most` units at most. A link needs a text of SIMILAR hundredths of n at least.
+    """
+    for batch in batches:
+        out = [[] for _ in range(5)]
+        for rid, part, units in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            units = units.values.to_numpy(zero_copy_only=False)
+            n = len(units)
+            most = (100 * n - (100 + SIMILAR) * np.arange(n)) // SIMILAR
+            most = most[100 * most >= SIMILAR * n]
+            units = units[np.lexsort((units, common[units & (COUNTERS - 1)]))[: len(most)]]
+            for x, y in zip(out, (units, np.full(len(most), rid), np.full(len(most), n), most, np.full(len(most), part))):
+                x.append(y)
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in out], names=["unit", "rid", "n", "most", "part"])
+
+
 def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, root) of all links of one task, by union-find with the least node as root."""
     root: dict[int, int] = {}
@@ -278,9 +314,15 @@ def _bucket_pairs(buckets: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
     return _all_pairs(members.where(F.col("k") <= SMALL)).unionByName(stars), large.select("key", "rid", "n")
 
 
+def _parts(large: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows (key, rid, n, part) of texts (rid, n, keys): a text meets its root once, not once for each bucket."""
+    named = large.join(roots, large["rid"] == roots["node"], "left")
+    return named.select(F.explode("keys").alias("key"), "rid", "n", F.coalesce("root", "rid").alias("part"))
+
+
 def _open_pairs(large: DataFrame, roots: DataFrame, first_seed: int) -> DataFrame:
     """Candidate pairs of larger buckets that links left in several parts: what stands apart with LEADERS texts of the largest part."""
-    parts = large.join(roots, large["rid"] == roots["node"], "left").select("key", "rid", "n", F.coalesce("root", "rid").alias("part"))
+    parts = _parts(large, roots)
     leads = F.array(*[F.min_by(F.struct("rid", "n"), F.xxhash64(F.lit(first_seed + i), "rid")) for i in range(LEADERS)])
     sizes = parts.groupBy("key", "part").agg(F.count("*").alias("c"), leads.alias("leads"))
     most = sizes.groupBy("key").agg(F.max_by(F.struct("part", "leads"), F.struct("c", "part")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
@@ -290,6 +332,35 @@ def _open_pairs(large: DataFrame, roots: DataFrame, first_seed: int) -> DataFram
     return ahead.unionByName(_bucket_pairs(apart.select("key", "rid", "n"), first_seed)[0])
 
 
+def _left_pairs(large: DataFrame, roots: DataFrame, placed: DataFrame) -> DataFrame:
+    """All pairs that may be links between different parts of the larger buckets: none that is one is left out.
+
+    For each unit the pairs are made from the fewer of two sets of rows, either of which each pair has a member in: those
+    outside the unit's largest part, and those that a text of the same size or a larger one may match.
+    """
+    parts = _parts(large, roots)
+    open_keys = parts.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
+    texts = few_or_shuffled(parts.join(open_keys, "key", "left_semi").select("rid", "part").distinct(), "open")
+    bodies = placed.select("rid", "body").join(texts, "rid").select("rid", "part", "body")
+    units = materialize(bodies.mapInArrow(_unit_hashes, "rid long, part long, units array<long>"), "units")
+    slots = units.select(F.explode("units").alias("u")).groupBy(F.col("u").bitwiseAND(F.lit(COUNTERS - 1)).cast("int").alias("slot")).agg(F.count("*").alias("c"))
+    counted = slots.where("c > 1").toArrow()
+    common = np.zeros(COUNTERS, np.int64)
+    common[counted.column("slot").to_numpy()] = counted.column("c").to_numpy()
+    shared = placed.sparkSession.sparkContext.broadcast(common)
+    rows = materialize(units.mapInArrow(lambda batches: _prefixes(shared.value, batches), "unit long, rid long, n long, most long, part long"), "prefixes")
+    rows = rows.withColumn("up", F.col("most") >= F.col("n"))
+    sizes = rows.groupBy("unit", "part").agg(F.count("*").alias("c"), F.count_if("up").alias("ups"))
+    sizes = sizes.groupBy("unit").agg(
+        F.max_by("part", F.struct("c", "part")).alias("top"), (F.sum("c") - F.max("c")).alias("apart"), F.sum("ups").alias("ups"), F.count("*").alias("parts")
+    )
+    shared_units = materialize(sizes.where("parts > 1 and ups > 0").select("unit", "top", (F.col("ups") <= F.col("apart")).alias("by_up")), "shared")
+    rows = materialize(rows.join(shared_units, "unit"), "matched")
+    x, y = rows.where(F.when(F.col("by_up"), F.col("up")).otherwise(F.col("part") != F.col("top"))).alias("x"), rows.alias("y")
+    meet = (F.col("x.unit") == F.col("y.unit")) & (F.col("x.part") != F.col("y.part")) & (F.col("x.n") <= F.col("y.most")) & (F.col("y.n") <= F.col("x.most"))
+    return x.join(y, meet).select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, class_id (least id of the class), class_size, n_links, kept, rid (place in the scan).
 
@@ -309,6 +380,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     tested = materialize(_fit(found), "pairs")
     links = materialize(_verify(placed, tested), "verified")
     roots = components(links)
+    large = materialize(large.groupBy("rid", "n").agg(F.collect_list("key").alias("keys")), "large")
     if not large.isEmpty():
         for seed in range(1, ROUNDS + 1):
             new = materialize(_fit(_open_pairs(large, roots, seed)).join(tested, ["a", "b"], "left_anti"), "pairs")
@@ -319,6 +391,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 break
             tested, links = tested.unionByName(new), links.unionByName(more)
             roots = components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        new = materialize(_fit(_left_pairs(large, roots, placed)).join(tested, ["a", "b"], "left_anti"), "pairs")
+        more = materialize(_verify(placed, new), "verified")
+        links = links.unionByName(more)
+        roots = components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     degree = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
     named = sketch.select("rid", "id").join(spare, "rid", "left").withColumn("rep", F.coalesce("rep", "rid"))
     named = named.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))

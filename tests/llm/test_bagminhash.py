@@ -108,3 +108,22 @@ def test_components(spark, edges, few):
 
 def test_empty(spark):
     assert bag.near_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_pairs_among_many_texts_that_share_a_passage(spark):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(200_000)]
+    passage = [rng.choice(words) for _ in range(154)]  # 150 shingles
+    rows = []
+    for i in range(300):  # 0.76 to 0.79 with each other
+        own = [rng.choice(words) for _ in range(20 + i % 4)]
+        rows.append((2 * i, " ".join(passage + own)))
+        if i % 3 == 0:  # 0.81 or more with its own pair alone
+            rows.append((2 * i + 1, " ".join(passage + own[:5] + [rng.choice(words) for _ in own[5:]])))
+    bags = {i: multiset(t) for i, t in rows}
+    want = {(a, b) for b in bags for a in bags if a < b and similarity(bags[a], bags[b]) >= 0.8}
+    assert want == {(2 * i, 2 * i + 1) for i in range(0, 300, 3)}
+    got = {}
+    for r in bag.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect():
+        got.setdefault(r.class_id, []).append(r.doc_id)
+    assert {tuple(sorted(c)) for c in got.values() if len(c) > 1} == want
