@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowmill.llm.common import few_or_shuffled, fixed_rows, materialize, prepare
+from flowmill.llm.common import few_or_shuffled, materialize, numbered, prepare
 
 SHINGLE = 5
 #: A pair is a link if 100 * overlap >= SIMILAR * union of the multisets.
@@ -361,15 +361,18 @@ def _left_pairs(large: DataFrame, roots: DataFrame, placed: DataFrame) -> DataFr
     return x.join(y, meet).select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, class_id (least id of the class), class_size, n_links, kept, rid (place in the scan).
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rid_col: str | None = None) -> DataFrame:
+    """One row per input row: id, class_id (least id of the class), class_size, n_links, kept, rid.
+
+    rid is the column rid_col, which must be stored with the rows; without it the rows are written with one first.
 
     n_links counts the verified links of the row's text to different texts. One row of each class stays: the one with
     the least id, the first of repeated rows. Null text counts as empty; texts without a word are copies of each
     other. Null ids come last in a class. An empty table gives an empty result; other columns are ignored.
     """
     prepare(docs.sparkSession)
-    placed = fixed_rows(docs).select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
+    columns = [F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body")]
+    placed = docs.select(F.col(rid_col).alias("rid"), *columns) if rid_col else numbered(docs.select(*columns)).select("rid", "id", "body")
     sketch = materialize(placed.mapInArrow(_sketched, SKETCH), "sketch")
     texts = sketch.groupBy("same").agg(F.min("rid").alias("rep"), F.count("*").alias("copies"))
     again = materialize(texts.where("copies > 1").select("same", "rep"), "copies")
@@ -422,7 +425,6 @@ def _verify(placed: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input rows, all columns, with one row of each class of near copies."""
-    docs = fixed_rows(docs)
-    marked = docs.withColumn("__rid", F.monotonically_increasing_id())
-    gone = near_groups(docs, id_col, text_col).where(~F.col("kept")).select(F.col("rid").alias("__rid"))
+    marked = numbered(docs, "__rid")
+    gone = near_groups(marked, id_col, text_col, "__rid").where(~F.col("kept")).select(F.col("rid").alias("__rid"))
     return marked.join(few_or_shuffled(gone, "gone"), "__rid", "left_anti").drop("__rid")

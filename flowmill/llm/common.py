@@ -61,7 +61,7 @@ _FIXED = {"Project", "Filter", "Relation", "LogicalRDD", "LocalRelation", "Subqu
 
 
 def fixed_rows(df: DataFrame) -> DataFrame:
-    """The table with rows that keep their place, so that monotonically_increasing_id() agrees between two uses.
+    """The table with rows that two scans agree on, though not on their order or place: see numbered.
 
     Projections and filters of a scan do, whatever columns are pruned; anything with an exchange below is written first.
     """
@@ -69,6 +69,15 @@ def fixed_rows(df: DataFrame) -> DataFrame:
     return df if set(nodes) <= _FIXED else materialize(df, "rows")
 
 
+def numbered(df: DataFrame, name: str = "rid") -> DataFrame:
+    """The table written with a number for each row, to be told apart by.
+
+    A number drawn again in a second scan may name another row: it depends on the scan's splits, and those on the cores
+    registered at that moment.
+    """
+    return materialize(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
 #: Ids that may be broadcast: 8 bytes each, about 64 MB in a hash table.
 BROADCAST_IDS = 1_000_000
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowmill.llm.common import few_or_shuffled, fixed_rows, materialize, text_of
+from flowmill.llm.common import few_or_shuffled, fixed_rows, materialize, numbered, text_of
 
 #: Code points that the prefix hash covers.
 PREFIX = 256
@@ -16,8 +16,10 @@ PREFIX = 256
 BROADCAST_KEYS = 1_000_000
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_all: bool = False) -> DataFrame:
-    """One row per input row: id, keep_id, group_size, kept, text_sha256.
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_all: bool = False, rid_col: str | None = None) -> DataFrame:
+    """One row per input row: id, keep_id, group_size, kept, text_sha256, rid.
+
+    rid is the column rid_col, or else a number drawn in the scan that hashes, good for telling the result's rows apart only.
 
     Texts are equal when identical; null counts as empty. The row with the largest id stays; of repeated rows
     with that id exactly one does. Null ids rank below all others. text_sha256 is null for rows that an earlier
@@ -28,7 +30,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     broadcast if they are few, and otherwise every row is hashed in the scan, which is cheaper than moving it.
     """
     keyed = fixed_rows(docs).select(
-        F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("rid"), text_of(text_col).alias("body")
+        F.col(id_col).alias("id"), (F.col(rid_col) if rid_col else F.monotonically_increasing_id()).alias("rid"), text_of(text_col).alias("body")
     ).select("id", "rid", "body", F.octet_length("body").alias("size"))
     keyed = keyed.withColumn("head", F.xxhash64(F.substring("body", 1, PREFIX)))
     shared = materialize(
@@ -58,9 +60,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input rows, all columns, without the copies: one row for each distinct text.
 
-    Rows are joined by their position in the scan (rid), so repeated ids are told apart.
+    Rows are joined by a number written with them (__rid), so repeated ids are told apart.
     """
-    docs = fixed_rows(docs)
-    marked = docs.withColumn("__rid", F.monotonically_increasing_id())
-    gone = exact_groups(docs, id_col, text_col).where(~F.col("kept")).select(F.col("rid").alias("__rid"))
+    marked = numbered(docs, "__rid")
+    gone = exact_groups(marked, id_col, text_col, rid_col="__rid").where(~F.col("kept")).select(F.col("rid").alias("__rid"))
     return marked.join(few_or_shuffled(gone, "gone"), "__rid", "left_anti").drop("__rid")
