@@ -1,23 +1,26 @@
 """Language-model scoring by prediction by partial matching (PPM) over bytes, pretrained on the corpus.
 
-Model. A text is its words, each followed by a separator byte, then an end byte. A symbol's context is the up to ORDER
-bytes before it, of which at most the last HISTORY bytes of the word before and its separator lie outside the word. So a
-word's code length depends on the word and those bytes, and each distinct (history, word) is coded once for the corpus. The trie holds, for
-each context of 0 to ORDER bytes, the counts of the bytes that follow it in the training texts. Coding tries the longest
-known context; a byte it hasn't seen escapes to the context one byte shorter, whose counts leave out the symbols already ruled
-out (symbol exclusion). Escapes are estimated by method D: each of d distinct symbols among n gives up half a count, so an
-escape has d / 2n. Below order 0 all bytes not yet ruled out are equally likely.
-
-Plan. Workers split documents into blocks and send each block's distinct entries (history, word) with training counts, not the
-tokens. Entries are summed over the corpus, all of a word in one shard; the trie is built by aggregation from distinct entries, sharded by the last
-two bytes of the context, so that a context and all it may escape to (but the two lowest orders, whose size is bounded by 65,536
-rows and which are broadcast) lie in one shard. Codes go back to words, words to blocks, blocks to documents.
+Model. A text is its words, each followed by a separator byte, then an end byte. A symbol's context is the ORDER bytes before
+it, across words; separators stand before the first. The trie holds, for each context of 0 to ORDER bytes, the counts of
+the bytes that follow it in the training texts. Coding tries the longest known context; a byte it hasn't seen escapes to the
+context one byte shorter, whose counts leave out the symbols already ruled out (symbol exclusion). Escapes are estimated by
+method D: each of d distinct symbols among n gives up half a count, so an escape has d / 2n. Below order 0 all bytes not yet
+ruled out are equally likely.
+
+Plan. A gram is a context and the byte after it, in one number whose highest bytes are the nearest ones, so that a context's grams
+and those of all longer contexts that end in it are neighbours. Workers split documents into blocks and send each block's distinct
+grams and words with their training counts, cut into SHARDS ranges; texts go along compressed, once. GROUP blocks are merged to a sum and to each
+block's places in it, so no task reads a range of more than GROUP blocks. The sums are cut into narrower ranges, as many as
+their size asks for, and each range's codes are computed from its grams and the counts of all byte triples (2^24 at most), which are broadcast. Codes
+go back to the groups, to the blocks, and are added up over the texts. What is broadcast doesn't grow with the input, and no
+task but that of a single three-byte context grows with it.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,31 +31,58 @@ from pyspark.sql import functions as F
 
 from flowmill.llm.common import bucket_of, materialize, prepare
 
-ORDER, HISTORY = 6, 2
+ORDER = 6
 SEPARATOR, END = b" ", b"\n"
-#: Bytes of text in a block: bounds a worker's memory.
-BLOCK_BYTES = 24_000_000
-#: Shards of the distinct words for each task of the scan: shards stay equally large as the input grows.
-SHARDS_PER_TASK = 2
-_MASK = [np.uint64((1 << (8 * (k + 1))) - 1) for k in range(ORDER + 1)]
+#: Bytes of text in a block, and in one piece of it that is in a worker's memory as numbers.
+BLOCK_BYTES, PIECE_BYTES = 64_000_000, 2_000_000
+#: Ranges of grams and of words in a block's rows; blocks of a group; grams of a narrower range, about.
+SHARDS, GROUP, RANGE = 64, 512, 2_000_000
+#: Grams that are held before they are merged.
+HELD = 16_000_000
+_U = np.uint64
+#: An odd number and its inverse modulo 2^24: they spread the nearest three bytes evenly over the ranges.
+_SPREAD, _GATHER = _U(0x9E3779), _U(pow(0x9E3779, -1, 1 << 24))
+_24 = _U((1 << 24) - 1)
+#: Bits of a gram, and of the number of a range.
+_TOP = 8 * (ORDER + 1)
+_BITS = SHARDS.bit_length() - 1
+
+
+def _pack(x: np.ndarray | bytes, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(x if isinstance(x, bytes) else np.ascontiguousarray(x).tobytes())
+
+
+def _open(x, kind: str | None = None):
+    raw = zstandard.ZstdDecompressor().decompress(x.as_py() if isinstance(x, pa.Scalar) else x)
+    return raw if kind is None else np.frombuffer(raw, kind)
 
 
-def _pack(x: np.ndarray | bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(x if isinstance(x, bytes) else np.ascontiguousarray(x).tobytes())
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers by their lowest bytes, then the next ones, and so on: compresses better."""
+    return _pack(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T)
 
 
-def _open(x: pa.Scalar, kind: str | None = None):
-    raw = zstandard.ZstdDecompressor().decompress(x.as_py())
-    return raw if kind is None else np.frombuffer(raw, kind)
+def _unplanes(x, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(_open(x, "u1").reshape(size, -1).T).view(kind).ravel()
+
+
+def _rising(x: np.ndarray, kind: str = "<u8") -> bytes:
+    """Sorted numbers by their differences."""
+    return _planes(np.diff(x, prepend=x.dtype.type(0)).astype(kind))
 
 
-def _words(raw: bytes) -> list[bytes]:
-    """The opposite of joining by the end byte, which no entry contains."""
-    return raw.split(END) if raw != b"-" else []
+def _risen(x, kind: str = "<u8") -> np.ndarray:
+    return np.cumsum(_unplanes(x, kind), dtype=kind)
 
 
 def _joined(words: list[bytes]) -> bytes:
-    return END.join(words) if words else b"-"
+    return _pack(END.join(words))
+
+
+def _words(x) -> list[bytes]:
+    """The opposite of _joined, for one word at least: no word contains the end byte."""
+    return _open(x).split(END)
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -60,241 +90,321 @@ def tokens(text: str | None) -> list[bytes]:
     return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), b""]
 
 
-def entries(words: list[bytes]) -> list[bytes]:
-    """Each token with its history: the last bytes of the word before (none for the first), the separator, the word."""
-    return [a[-HISTORY:] + SEPARATOR + w for a, w in zip([b"", *words], words)]
+def spelt(words: list[bytes]) -> bytes:
+    """The coded bytes of tokens."""
+    return SEPARATOR.join(words) + END
+
+
+def pieces(body: bytes, size: int) -> Iterator[tuple[bytes, bytes]]:
+    """A body in parts of bounded size, each with the ORDER bytes before it."""
+    past = SEPARATOR * ORDER
+    for at in range(0, len(body), size):
+        part = body[at : at + size]
+        yield past, part
+        past = (past + part[-ORDER:])[-ORDER:]
 
 
-def _word(entry: bytes) -> bytes:
-    return entry.partition(SEPARATOR)[2]
+def grams(parts: list[tuple[bytes, bytes]]) -> np.ndarray:
+    """The gram of each byte of the parts: three nearest bytes (spread), the farther ones, the byte itself."""
+    buffer = np.frombuffer(b"".join(x for part in parts for x in part), np.uint8)
+    key = buffer.astype(_U)
+    for back in range(1, ORDER + 1):
+        key[back:] |= buffer[:-back].astype(_U) << _U(8 * (ORDER + 1 - back))
+    lengths = np.fromiter((len(b) for _, b in parts), np.int64, len(parts))
+    start = np.cumsum(lengths + ORDER) - lengths
+    coded = np.ones(len(key), bool)
+    coded[(start[:, None] - np.arange(1, ORDER + 1)).ravel()] = False
+    key = key[coded]
+    low = _U(_TOP - 24)
+    return (key & ((_U(1) << low) - _U(1))) | (((key >> low) * _SPREAD & _24) << low)
 
 
-def symbols(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For each coded byte of the entries: context and byte as a number, and the entry it belongs to."""
-    pad, parts = SEPARATOR * ORDER, []
-    for x in found:
-        history, _, word = x.partition(SEPARATOR)
-        parts.append((pad + history + SEPARATOR)[-ORDER:] + (word + SEPARATOR if word else END))
-    buffer = np.frombuffer(b"".join(parts), np.uint8)
-    lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-    key = np.zeros(len(buffer), np.uint64)
-    for back in range(ORDER + 1):
-        key[back:] |= buffer[: len(buffer) - back].astype(np.uint64) << np.uint64(8 * back)
-    start = np.repeat(np.cumsum(lengths) - lengths, lengths)
-    coded = np.arange(len(buffer)) - start >= ORDER
-    return key[coded], np.repeat(np.arange(len(parts)), lengths - ORDER)
+def _summed_grams(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct grams of several sorted lists, and their counts' sums."""
+    keys, counts = np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])
+    if len(parts) == 1 or not len(keys):
+        return keys, counts
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(counts[order], first)
 
 
 class Trie:
-    """PPM over (context, byte) counts. `low` counts the pairs of neighbouring bytes of the whole corpus."""
+    """PPM over grams. `triples` are the numbers (nearest byte, the one before it, symbol) of the whole corpus, sorted, with their counts."""
 
-    def __init__(self, low: np.ndarray):
-        self.pair = low.reshape(256, 256).astype(float)
+    def __init__(self, triples: np.ndarray, counts: np.ndarray):
+        self.triples, self.counts = triples, counts.astype(float)
+        symbol, nearest, both = triples & 255, triples >> 16, triples >> 8
+        self.pair = np.bincount(nearest << 8 | symbol, self.counts, 65536).reshape(256, 256)
         self.single = self.pair.sum(0)
+        self.total2, self.distinct2 = np.bincount(both, self.counts, 65536), np.bincount(both, minlength=65536)
+        #: What a context of two bytes rules out in that of one, and one byte in none.
+        self.over2 = np.bincount(both, self.pair[nearest, symbol], 65536)
+        self.over1 = ((self.pair > 0) * self.single).sum(1)
+
+    def triple(self, ids: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.triples, ids)
+        at[at == len(self.triples)] = 0
+        return np.where(self.triples[at] == ids, self.counts[at], 0.0) if len(self.triples) else np.zeros(len(ids))
 
     def codes(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """log10 probability of each key's byte after its context.
+        """log10 probability of each gram's symbol after its context.
 
-        `keys` are distinct and sorted, and hold all trained continuations of the contexts of order 2 and more that
+        `keys` are distinct and sorted, and hold all trained grams of the contexts of three bytes and more that
         they belong to; `counts` are 0 for those that training didn't see.
         """
-        out = np.zeros(len(keys))
-        todo = np.ones(len(keys), bool)
-        byte = (keys & np.uint64(255)).astype(np.int64)
-        out_total, out_distinct = np.zeros(len(keys)), np.zeros(len(keys))  # of the symbols ruled out, in this order
+        out, todo = np.zeros(len(keys)), np.ones(len(keys), bool)
+        symbol = (keys & _U(255)).astype(np.int64)
+        near = ((keys >> _U(_TOP - 24)) * _GATHER & _24).astype(np.int64)  # nearest byte, second, third
+        out_total, out_distinct = np.zeros(len(keys)), np.zeros(len(keys))  # of the symbols ruled out
         for k in range(ORDER, -1, -1):
-            if k >= 2:
-                entry, at = np.unique(keys & _MASK[k], return_inverse=True)
+            ruled = None
+            if k >= 3:
+                entry = keys if k == ORDER else (keys >> _U(8 * (ORDER + 1 - k))) << _U(8) | (keys & _U(255))
+                entry, where, at = np.unique(entry, return_index=True, return_inverse=True)
                 count = np.bincount(at, counts, len(entry))
-                context, of = np.unique(entry >> np.uint64(8), return_inverse=True)
-                total, distinct = np.bincount(of, count, len(context))[of][at], np.bincount(of, count > 0, len(context))[of][at]
-                mine = count[at]
+                context = entry >> _U(8)
+                of = np.cumsum(np.concatenate([[True], context[1:] != context[:-1]])) - 1
+                if k > 3:  # the counts of this order's symbols in the next one
+                    lower = (keys[where] >> _U(8 * (ORDER + 2 - k))) << _U(8) | (keys[where] & _U(255))
+                    _, back = np.unique(lower, return_inverse=True)
+                    there = np.bincount(back, count)[back]
+                else:
+                    there = self.triple((near[where] >> 8) << 8 | symbol[where])
+                sums = lambda x: np.bincount(of, x)[of][at]
+                total, distinct, mine, ruled = sums(count), sums(count > 0), count[at], sums(np.where(count > 0, there, 0.0))
+            elif k == 2:
+                both = near >> 8
+                total, distinct, mine, ruled = self.total2[both], self.distinct2[both], self.triple(both << 8 | symbol), self.over2[both]
             elif k == 1:
-                first = (keys >> np.uint64(8) & np.uint64(255)).astype(np.int64)
-                total, distinct, mine = self.pair.sum(1)[first], (self.pair > 0).sum(1)[first], self.pair[first, byte]
+                first = near >> 16
+                total, distinct, mine, ruled = self.pair.sum(1)[first], (self.pair > 0).sum(1)[first], self.pair[first, symbol], self.over1[first]
             else:
-                total, distinct, mine = self.single.sum(), (self.single > 0).sum(), self.single[byte]
+                total, distinct, mine = self.single.sum(), (self.single > 0).sum(), self.single[symbol]
             left, new = total - out_total, distinct - out_distinct
             use = todo & (new > 0)
             seen = use & (mine > 0)
             with np.errstate(divide="ignore", invalid="ignore"):
                 out = np.where(seen, out + np.log10((mine - 0.5) / left), np.where(use, out + np.log10(new / (2 * left)), out))
             todo &= ~seen
-            # What this order rules out in the next one: the bytes seen here, by their counts there.
-            if k > 2:
-                lower, where = np.unique(keys & _MASK[k - 1], return_inverse=True)
-                there = np.bincount(where, counts, len(lower))
-                value = there[np.searchsorted(lower, entry & _MASK[k - 1])]
-            elif k == 2:
-                value = self.pair[(entry >> np.uint64(8) & np.uint64(255)).astype(np.int64), (entry & np.uint64(255)).astype(np.int64)]
-            if k >= 2:
-                out_total = np.bincount(of, np.where(count > 0, value, 0.0), len(context))[of][at]
-            elif k == 1:
-                out_total = ((self.pair > 0) * self.single).sum(1)[first]
-            out_distinct = distinct
+            out_total, out_distinct = ruled, distinct
         rest = 256 - (self.single > 0).sum()
         return np.where(todo, out - np.log10(max(rest, 1)), out)
 
 
-def _shard_of(found: list[bytes], shards: int) -> np.ndarray:
-    return np.fromiter((zlib.crc32(_word(x)) for x in found), np.int64, len(found)) % shards
+def _runs(bodies: Iterable[bytes]) -> Iterator[tuple[np.ndarray, list[tuple[bytes, bytes]]]]:
+    """Bounded runs of pieces of bodies: the number of each piece's body, and the pieces."""
+    now, of, total = [], [], 0
+    for n, body in enumerate(bodies):
+        for p in pieces(body, PIECE_BYTES):
+            if now and total + len(p[1]) > PIECE_BYTES:
+                yield np.array(of), now
+                now, of, total = [], [], 0
+            now.append(p)
+            of.append(n)
+            total += len(p[1])
+    if now:
+        yield np.array(of), now
 
 
-def _suffix_of(keys: np.ndarray, shards: int) -> np.ndarray:
-    """Shard of a context: by the last two bytes of it."""
-    return ((keys >> np.uint64(8) & np.uint64(0xFFFF)) * np.uint64(0x9E3779B1) >> np.uint64(7)).astype(np.int64) % shards
+def _bodies(x) -> list[bytes]:
+    """A text row's bodies: each ends in the end byte, which is nowhere else."""
+    return _open(x).splitlines(keepends=True)
 
 
-BLOCKS = "kind string, block long, shard long, id long, held_out boolean, n long, a binary, b binary"
-_BLOCK_TYPES = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary()]
+BLOCKS = "kind string, block long, shard int, part int, n long, a binary, b binary"
+_TYPES = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
 
 
 def _table(rows: list[tuple]) -> pa.Table:
-    names = [x.split()[0] for x in BLOCKS.split(", ")]
-    columns = list(zip(*rows)) if rows else [[]] * len(names)
-    return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(columns, _BLOCK_TYPES)], names=names)
+    columns = list(zip(*rows)) if rows else [[]] * len(_TYPES)
+    return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(columns, _TYPES)], names=[x.split()[0] for x in BLOCKS.split(", ")])
+
+
+def _ranked(words: Iterable[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """Words by their hash, then by themselves, and the hashes: the order that all lists of words have."""
+    pairs = sorted((zlib.crc32(w), w) for w in words)
+    return [w for _, w in pairs], np.array([h for h, _ in pairs], _U)
+
+
+def _cuts(numbers: np.ndarray, width: int, first: int, count: int, bits: int) -> np.ndarray:
+    """Where each of `count` ranges, from the first one on, of sorted numbers of `width` bits begins; ranges go by the highest bits."""
+    return np.searchsorted(numbers, (_U(first) + np.arange(count + 1, dtype=_U)) << _U(width - bits))
+
+
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents (id, held out, text) to blocks: 'text', 'word' and 'gram' rows."""
+    block, number = TaskContext.get().partitionId() << 24, 0
+    held, size = 0, 0  # bytes in the block and in its last piece
+    bodies, ids = [], []
+    trained, seen, found = Counter(), set(), []
+
+    def piece() -> pa.Table:
+        """The texts since the last piece: their grams are counted, the row holds what is scored later."""
+        for out_of_training in (False, True):
+            for _, now in _runs([body for body, (_, h) in zip(bodies, ids) if h == out_of_training]):
+                keys, counts = np.unique(grams(now), return_counts=True)
+                found.append((keys, counts * 0 if out_of_training else counts))
+            if sum(len(k) for k, _ in found) > HELD:
+                found[:] = [_summed_grams(found)]
+        whose = np.array([(i is None, h) for i, h in ids], "u1").tobytes() + np.array([i or 0 for i, _ in ids], "<i8").tobytes()
+        return _table([("text", block + number, None, None, len(ids), _pack(b"".join(bodies), 3), whose)])
+
+    def asked() -> pa.Table:
+        words, hashes = _ranked(seen)
+        keys, counts = _summed_grams(found)
+        of_words, of_keys, rows = _cuts(hashes, 32, 0, SHARDS, _BITS), _cuts(keys, _TOP, 0, SHARDS, _BITS), []
+        for s in range(SHARDS):
+            if own := words[of_words[s] : of_words[s + 1]]:
+                rows.append(("word", block + number, s, None, len(own), _joined(own), _planes(np.array([trained[w] for w in own], "<u8"))))
+            if len(own := keys[of_keys[s] : of_keys[s + 1]]):
+                rows.append(("gram", block + number, s, None, len(own), _rising(own), _planes(counts[of_keys[s] : of_keys[s + 1]].astype("<u8"))))
+        return _table(rows)
+
+    for batch in batches:
+        for i, h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            words = tokens(text.as_py())
+            if not h:
+                trained.update(words)
+            seen.update(words)
+            bodies.append(spelt(words))
+            ids.append((i, h))
+            size, held = size + len(bodies[-1]), held + len(bodies[-1])
+            if size >= PIECE_BYTES or held >= BLOCK_BYTES:
+                yield from piece().to_batches()
+                bodies, ids, size = [], [], 0
+            if held >= BLOCK_BYTES:
+                yield from asked().to_batches()
+                trained, seen, found, held, number = Counter(), set(), [], 0, number + 1
+    if ids:
+        yield from piece().to_batches()
+    if held:
+        yield from asked().to_batches()
+
+
+def _merge(key, table):
+    """A group's rows of one kind and range: a 'sum' row of all grams or words with counts, and each block's places in it."""
+    kind, group, shard = (x.as_py() for x in key)
+    if kind == "gram":
+        lists = [_risen(x) for x in table["a"]]
+        whole, counts = _summed_grams([(x, _unplanes(c, "<u8")) for x, c in zip(lists, table["b"])])
+        packed, places = _rising(whole), (np.searchsorted(whole, x) for x in lists)
+    else:
+        lists, sums = [_words(x) for x in table["a"]], Counter()
+        for words, c in zip(lists, table["b"]):
+            for w, n in zip(words, _unplanes(c, "<u8").tolist()):
+                sums[w] += n
+        whole, _ = _ranked(sums)
+        place = {w: i for i, w in enumerate(whole)}
+        counts, packed = np.array([sums[w] for w in whole], "<u8"), _joined(whole)
+        places = (np.fromiter(map(place.__getitem__, x), np.int64, len(x)) for x in lists)
+    rows = [(f"{kind} sum", group, shard, 0, len(whole), packed, _planes(counts.astype("<u8")))]
+    for block, x in zip(table["block"].to_pylist(), places):
+        rows.append((f"{kind} map", block, shard, group, len(x), _rising(x, "<u4"), None))
+    return _table(rows)
+
+
+def _triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of (nearest byte, the one before it, symbol), summed over a row of grams."""
+    for batch in batches:
+        for a, b in zip(batch.column(0), batch.column(1)):
+            keys = _risen(a)
+            near = (keys >> _U(_TOP - 24)) * _GATHER & _24
+            ids, at = np.unique((near >> _U(8) << _U(8) | (keys & _U(255))).astype(np.int64), return_inverse=True)
+            n = np.bincount(at, _unplanes(b, "<u8"), len(ids)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[n > 0], pa.int64()), pa.array(n[n > 0])], names=["triple", "n"])
 
 
-def _split(shards: int):
-    """Documents to blocks: 'doc' rows with entry numbers, 'ask' rows with a shard's entries and training counts."""
+def _cut(bits: int):
+    """'sum' rows in 2^bits narrower ranges each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = TaskContext.get().partitionId() << 24
-        number: dict[bytes, int] = {}
-        coded, held = [], 0
-
-        def block() -> pa.Table:
-            words = list(number)
-            train = np.zeros(len(words), np.int64)
-            for _, h, x in coded:
-                if not h:
-                    np.add.at(train, x, 1)
-            shard = _shard_of(words, shards)
-            by_word = np.array(sorted(range(len(words)), key=words.__getitem__))
-            order = by_word[np.argsort(shard[by_word], kind="stable")]
-            place = np.empty(len(order), np.int64)
-            place[order] = np.arange(len(order))
-            rows = [("doc", base, None, i, h, len(x), _pack(place[x].astype("<u4")), None) for i, h, x in coded]
-            cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-            for s in range(shards):
-                part = order[cuts[s] : cuts[s + 1]]
-                if len(part):
-                    rows.append(("ask", base, s, None, None, len(part), _pack(_joined([words[i] for i in part])), _pack(train[part].astype("<i8"))))
-            return _table(rows)
-
         for batch in batches:
-            for i, h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                text = text.as_py()
-                coded.append((i, h, np.array([number.setdefault(w, len(number)) for w in entries(tokens(text))], np.int32)))
-                held += len(text or "")
-                if held >= BLOCK_BYTES:
-                    yield from block().to_batches()
-                    number, coded, held, base = {}, [], 0, base + 1
-        if coded:
-            yield from block().to_batches()
-
-    return run
-
-
-def _merge(shards: int):
-    """A shard's entries, summed over blocks: a 'word' row, and 'gram' rows for the trie."""
-
-    def run(key, table):
-        total: dict[bytes, int] = {}
-        for a, b in zip(table["a"], table["b"]):
-            for w, c in zip(_words(_open(a)), _open(b, "<i8").tolist()):
-                total[w] = total.get(w, 0) + c
-        words = sorted(total)
-        counts = np.array([total[w] for w in words], np.int64)
-        s = key[0].as_py()
-        known = len({_word(w) for w, c in total.items() if c})
-        rows = [("word", None, s, None, None, known, _pack(_joined(words)), _pack(counts.astype("<i8")))]
-        grams, of = symbols(words)
-        grams, at = np.unique(grams, return_inverse=True)
-        trained = np.bincount(at, counts[of], len(grams))
-        suffix = _suffix_of(grams, shards)
-        for t in np.unique(suffix).tolist():
-            part = suffix == t
-            rows.append(("gram", t, s, None, None, int(part.sum()), _pack(grams[part].astype("<u8")), _pack(trained[part].astype("<f8"))))
-        return _table(rows)
+            for r in batch.to_pylist():
+                words = _words(r["a"]) if r["kind"] == "word sum" else None
+                numbers, width = (np.fromiter(map(zlib.crc32, words), _U, len(words)), 32) if words else (_risen(r["a"]), _TOP)
+                cuts, counts = _cuts(numbers, width, r["shard"] << bits, 1 << bits, _BITS + bits), _unplanes(r["b"], "<u8")
+                for p in range(1 << bits):
+                    a, b = cuts[p], cuts[p + 1]
+                    if a < b:
+                        yield from _table([(r["kind"], r["block"], r["shard"], p, b - a, _joined(words[a:b]) if words else _rising(numbers[a:b]), _planes(counts[a:b]))]).to_batches()
 
     return run
 
 
-def _pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of neighbouring bytes, summed over a batch: at most 65,536 rows."""
-    for batch in batches:
-        low = np.zeros(65536)
-        for a, b in zip(batch.column(0), batch.column(1)):
-            np.add.at(low, (_open(a, "<u8") & np.uint64(0xFFFF)).astype(np.int64), _open(b, "<f8"))
-        at = np.flatnonzero(low)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(low[at].astype(np.int64))], names=["pair", "n"])
-
-
-def _coded(low):
-    """'gram' rows of one suffix shard to 'code' rows, in each word shard's order of keys."""
+def _coded(shared):
+    """All groups' sums of one range to 'gram code' rows: the codes of each group's grams, in their order."""
 
     def run(key, table):
-        asked = [_open(x, "<u8") for x in table["a"]]
-        keys, at = np.unique(np.concatenate(asked), return_inverse=True)
-        counts = np.bincount(at, np.concatenate([_open(x, "<f8") for x in table["b"]]), len(keys))
-        codes = Trie(low.value).codes(keys, counts)[at]
-        rows, start = [], 0
-        for s, x in zip(table["shard"].to_pylist(), asked):
-            rows.append(("code", key[0].as_py(), s, None, None, len(x), _pack(codes[start : start + len(x)].astype("<f8")), None))
-            start += len(x)
-        return _table(rows)
+        lists = [_risen(x) for x in table["a"]]
+        keys, counts = _summed_grams([(x, _unplanes(c, "<u8")) for x, c in zip(lists, table["b"])])
+        codes = Trie(*shared.value).codes(keys, counts.astype(float)).astype("<f4")
+        return _table([("gram code", g, key[0].as_py(), key[1].as_py(), len(x), _planes(codes[np.searchsorted(keys, x)]), None) for g, x in zip(table["block"].to_pylist(), lists)])
 
     return run
 
 
-def _answer(shards: int):
-    """A word shard's 'word', 'code' and 'ask' rows to 'tell' rows: word count and code of each entry a block asked for."""
+def _counted(key, table):
+    """All groups' sums of a range of words to 'word code' rows of the whole corpus's counts, and a 'known' row."""
+    sums: Counter = Counter()
+    lists = [_words(x) for x in table["a"]]
+    for words, c in zip(lists, table["b"]):
+        for w, n in zip(words, _unplanes(c, "<u8").tolist()):
+            sums[w] += n
+    rows = [("word code", g, key[0].as_py(), key[1].as_py(), len(x), _planes(np.array([sums[w] for w in x], "<u8")), None) for g, x in zip(table["block"].to_pylist(), lists)]
+    return _table([*rows, ("known", None, None, None, sum(n > 0 for n in sums.values()), None, None), ("trained", None, None, None, sum(sums.values()), None, None)])
 
-    def run(key, table):
-        rows = table.to_pylist()
-        raw = zstandard.ZstdDecompressor().decompress
-        word = next(r for r in rows if r["kind"] == "word")
-        words, counts = _words(raw(word["a"])), np.frombuffer(raw(word["b"]), "<i8")
-        grams, of = symbols(words)
-        grams, at = np.unique(grams, return_inverse=True)
-        suffix, code = _suffix_of(grams, shards), np.zeros(len(grams))
-        for r in rows:
-            if r["kind"] == "code":
-                code[suffix == r["block"]] = np.frombuffer(raw(r["a"]), "<f8")
-        whole = np.bincount(of, code[at], len(words))
-        place = {w: i for i, w in enumerate(words)}
-        of_word: dict[bytes, int] = {}
-        word_of = np.array([of_word.setdefault(_word(w), len(of_word)) for w in words], np.int64)
-        counts = np.bincount(word_of, counts, len(of_word)).astype(np.int64)[word_of]  # the word's, over all histories
-        out = []
-        for r in rows:
-            if r["kind"] == "ask":
-                asked = np.fromiter(map(place.__getitem__, _words(raw(r["a"]))), np.int64, r["n"])
-                out.append(("tell", r["block"], key[0].as_py(), None, None, r["n"], _pack(counts[asked].astype("<i8")), _pack(whole[asked].astype("<f4"))))
-        return _table(out)
 
-    return run
+def _told(key, table):
+    """A group's 'code' and 'map' rows of one range to 'tell' rows: each block's codes or counts, in the order it asked."""
+    kind, _, shard = (x.as_py() for x in key)
+    number = "<f4" if kind == "gram" else "<u8"
+    rows = table.to_pylist()
+    codes = np.concatenate([_unplanes(r["a"], number) for r in sorted((r for r in rows if r["kind"].endswith("code")), key=lambda r: r["part"])])
+    return _table([(f"{kind} tell", r["block"], shard, None, r["n"], _planes(codes[_risen(r["a"], "<u4")]), None) for r in rows if r["kind"].endswith("map")])
 
 
 SCORES = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _summed(train_tokens: int, known: int):
-    """A block's 'doc' and 'tell' rows to scores."""
+def _scored(train_tokens: int, known: int):
+    """A block's 'text' and 'tell' rows to scores."""
 
     def run(key, table):
-        kind = np.array(table["kind"].to_pylist())
-        tell = table.filter(pa.array(kind == "tell")).sort_by("shard")
-        counts = np.concatenate([_open(x, "<i8") for x in tell["a"]])
-        codes = np.concatenate([_open(x, "<f4") for x in tell["b"]]).astype(float)
+        tells = table.filter(pa.array([k != "text" for k in table["kind"].to_pylist()])).sort_by("shard")
+        told = {kind: [x for k, x in zip(tells["kind"].to_pylist(), tells["a"]) if k == f"{kind} tell"] for kind in ("gram", "word")}
+        codes = np.concatenate([_unplanes(x, "<f4") for x in told["gram"]])
+        counts = np.concatenate([_unplanes(x, "<u8") for x in told["word"]]).astype(float)
+        texts = table.filter(pa.array([k == "text" for k in table["kind"].to_pylist()]))
+        runs, seen = [], set()
+
+        for x in texts["a"]:  # the block's grams and words again, in the order that the tells have
+            for body in _bodies(x):
+                seen.update(body.split())
+            runs += [(np.unique(grams(now)),) * 2 for _, now in _runs(_bodies(x))]
+            if sum(len(k) for k, _ in runs) > HELD:
+                runs = [_summed_grams(runs)]
+        keys, _ = _summed_grams(runs)
+        seen.add(b"")
+        place = {w: i for i, w in enumerate(_ranked(seen)[0])}
         base = np.log10((counts + 1) / (train_tokens + known + 1))
-        docs = table.filter(pa.array(kind == "doc"))
-        out = {x.split()[0]: [] for x in SCORES.split(", ")}
-        for i, h, n, a in zip(docs["id"].to_pylist(), docs["held_out"].to_pylist(), docs["n"].to_pylist(), docs["a"]):
-            at = _open(a, "<u4")
-            for name, x in zip(out, (i, h, n, int((counts[at] > 0).sum()), train_tokens, float(base[at].sum()), float(codes[at].sum()))):
-                out[name].append(x)
+        out = {name.split()[0]: [] for name in SCORES.split(", ")}
+        for x, whose in zip(texts["a"], texts["b"].to_pylist()):
+            n = len(whose) // 10
+            marks, ids = np.frombuffer(whose[: 2 * n], "u1").reshape(n, 2), np.frombuffer(whose[2 * n :], "<i8")
+            score = np.zeros(n)
+            for of, now in _runs(_bodies(x)):
+                found, at = np.unique(grams(now), return_inverse=True)
+                each = codes[np.searchsorted(keys, found)].astype(float)[at]
+                lengths = np.fromiter((len(b) for _, b in now), np.int64, len(now))
+                np.add.at(score, of, np.add.reduceat(each, np.cumsum(lengths) - lengths))
+            for j, body in enumerate(_bodies(x)):
+                words = [*body.split(), b""]
+                at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+                row = (None if marks[j, 0] else int(ids[j]), bool(marks[j, 1]), len(words), int((counts[at] > 0).sum()), train_tokens, float(base[at].sum()), float(score[j]))
+                for name, v in zip(out, row):
+                    out[name].append(v)
         types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(out.values(), types)], names=list(out))
 
@@ -309,21 +419,28 @@ def ppm_scores(docs: DataFrame, held_out: Column | None = None, id_col: str = "d
     model with add-one smoothing over the same tokens. Repeated rows are counted and scored each. Without any training row
     all bytes are equally likely. An empty table gives an empty result; other columns are ignored.
     """
-    prepare(docs.sparkSession)
+    spark = prepare(docs.sparkSession)
     held = F.coalesce(bucket_of(id_col, 7) == 2 if held_out is None else held_out, F.lit(False))
-    picked = docs.select(F.col(id_col).cast("long"), held, F.col(text_col))
-    shards = SHARDS_PER_TASK * max(1, picked.rdd.getNumPartitions())
-    blocks = materialize(picked.mapInArrow(_split(shards), BLOCKS), "blocks")
-    asks = blocks.where("kind = 'ask'")
-    merged = materialize(asks.groupBy("shard").applyInArrow(_merge(shards), BLOCKS), "words")
-    words, grams = merged.where("kind = 'word'"), merged.where("kind = 'gram'")
-    train_tokens = blocks.where("kind = 'doc' and not held_out").agg(F.sum("n")).first()[0] or 0
-    known = words.agg(F.sum("n")).first()[0] or 0
-    low = np.zeros(65536)
-    for r in grams.select("a", "b").mapInArrow(_pairs_of, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
-        low[r["pair"]] = r["n"]  # at most 65,536 rows
-    shared = docs.sparkSession.sparkContext.broadcast(low)
-    codes = grams.groupBy("block").applyInArrow(_coded(shared), BLOCKS)
-    tells = asks.unionByName(words).unionByName(codes).groupBy("shard").applyInArrow(_answer(shards), BLOCKS)
-    scored = blocks.where("kind = 'doc'").unionByName(tells).groupBy("block").applyInArrow(_summed(train_tokens, known), SCORES)
+    blocks = materialize(docs.select(F.col(id_col).cast("long"), held, F.col(text_col)).mapInArrow(_split, BLOCKS), "blocks")
+    asks = blocks.where("kind <> 'text'")
+    groups = 1 + (asks.agg(F.count_distinct("block")).first()[0] or 0) // GROUP
+    dealt = asks.withColumn("dealt", F.pmod(F.xxhash64("block"), F.lit(groups)))
+    merged = materialize(dealt.groupBy("kind", "dealt", "shard").applyInArrow(_merge, BLOCKS), "merged")
+    sums = {k: merged.where(F.col("kind") == f"{k} sum") for k in ("gram", "word")}
+    sizes = dict(merged.groupBy("kind").agg(F.sum("n")).collect())  # four rows
+
+    def ranges(kind: str) -> DataFrame:
+        bits = max(0, int(sizes.get(f"{kind} sum", 0)) // (SHARDS * RANGE)).bit_length()
+        return sums[kind].mapInArrow(_cut(bits), BLOCKS).groupBy("shard", "part")
+
+    words = materialize(ranges("word").applyInArrow(_counted, BLOCKS), "words")
+    totals = dict(words.groupBy("kind").agg(F.sum("n")).collect())  # three rows
+    triples = sums["gram"].select("a", "b").mapInArrow(_triples, "triple long, n long").groupBy("triple").agg(F.sum("n").alias("n"))
+    low = triples.toArrow().sort_by("triple")  # at most 2^24 rows
+    shared = spark.sparkContext.broadcast((low["triple"].to_numpy(), low["n"].to_numpy()))
+    codes = ranges("gram").applyInArrow(_coded(shared), BLOCKS).unionByName(words.where("kind = 'word code'"))
+    is_map = F.col("kind").endswith("map")
+    routed = codes.unionByName(merged.where(is_map)).select("*", F.substring_index("kind", " ", 1).alias("what"), F.when(is_map, F.col("part")).otherwise(F.col("block")).alias("dealt"))
+    tells = routed.groupBy("what", "dealt", "shard").applyInArrow(_told, BLOCKS)
+    scored = blocks.where("kind = 'text'").unionByName(tells).groupBy("block").applyInArrow(_scored(totals.get("trained", 0), totals.get("known", 0)), SCORES)
     return scored.withColumnRenamed("id", id_col)

@@ -17,13 +17,10 @@ def brute(texts):
     tries = defaultdict(Counter)
 
     def steps(words):
-        before = b""
-        for word in words:
-            past = (b" " * lm_score.ORDER + before[-lm_score.HISTORY :] + b" ")[-lm_score.ORDER :]
-            for x in spell(word):
-                yield past, x
-                past = (past + bytes([x]))[-lm_score.ORDER :]
-            before = word
+        past = b" " * lm_score.ORDER
+        for x in b"".join(map(spell, words)):
+            yield past, x
+            past = past[1:] + bytes([x])
 
     for words in texts:
         for past, x in steps(words):
