@@ -11,6 +11,7 @@ parts, check sum) and may not overlap a pattern's span.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import random
 import re
@@ -35,8 +36,8 @@ PATTERNS = {
 }
 Span = tuple[str, int, int]
 
-#: Window and stride, in characters; a span longer than their difference is seen whole by no window.
-WINDOW, STRIDE = 96, 40
+#: Window and stride, in characters: a span of up to their difference, 96, lies whole in some window wherever it is.
+WINDOW, STRIDE = 160, 64
 EMBED, HIDDEN = 10, 20
 TAGS = ["O"] + [f"{p}-{k}" for k in KINDS for p in "BI"]
 _TRIGGER = re.compile(r"[0-9@]|[\[({<]\x20?[aA][tT]\x20?[\])}>]")
@@ -50,21 +51,54 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _byte(digits: str) -> bool:
+    """Whether a run of digits, however long, is at most 255."""
+    digits = digits.lstrip("0")
+    return len(digits) <= 3 and int(digits or 0) <= 255
+
+
 def _valid(kind: str, text: str) -> bool:
     digits = re.sub(r"[^0-9]", "", text)
     if kind == "ip":
-        return all(int(x) <= 255 for x in text.split("."))
+        return all(map(_byte, text.split(".")))
     if kind == "card":
         return 13 <= len(digits) <= 19 and luhn(digits)
     return kind != "phone" or 9 <= len(digits) <= 15
 
 
+# The same languages as PATTERNS, searched in time that grows with the text's length alone: nothing is tried again inside a
+# run that has failed.
+_HOST = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+_LINEAR = {
+    "ip": re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"),
+    "card": re.compile(r"[0-9](?:[\x20-]?[0-9])++"),
+    "phone": PATTERNS["phone"],
+}
+_USER = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+
+
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """From each at sign back over the user's name, as far as the match or the at sign before, and on over the host."""
+    done = 0
+    at = text.find("@")
+    while at >= 0:
+        start = at
+        while start > done and text[start - 1] in _USER:
+            start -= 1
+        host = _HOST.match(text, at + 1) if start < at else None
+        if host:
+            yield start, host.end()
+        done = host.end() if host else at + 1
+        at = text.find("@", done)
+
+
 def plain_spans(text: str) -> list[Span]:
     """Leftmost matches that don't overlap, for each kind on its own; failing matches are dropped without a retry."""
     # A text without what every match of a kind holds needs no search.
     digits = bool(_DIGIT.search(text))
-    may = {"email": "@" in text, "ip": digits and "." in text, "card": digits, "phone": digits and "+" in text}
-    return [(kind, m.start(), m.end()) for kind in KINDS if may[kind] for m in PATTERNS[kind].finditer(text) if _valid(kind, m[0])]
+    may = {"ip": digits and "." in text, "card": digits, "phone": digits and "+" in text}
+    found = [("email", a, b) for a, b in _emails(text)]
+    return found + [(kind, m.start(), m.end()) for kind, pattern in _LINEAR.items() if may[kind] for m in pattern.finditer(text) if _valid(kind, m[0])]
 
 
 _DIGIT = re.compile("[0-9]")
@@ -285,7 +319,7 @@ def _make_up(kind: str, text: str) -> bool:
         return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+\s?(?:@|[\[({<]\s?at\s?[\])}>])\s?[A-Za-z0-9-]+(?:\s?[\[({]?\s?(?:\.|dot)\s?[\])}]?\s?[A-Za-z0-9-]+)+", text, re.I))
     if kind == "ip":
         numbers = re.findall("[0-9]+", text)
-        return len(numbers) == 4 and all(int(x) <= 255 for x in numbers) and len(set(re.sub("[0-9]+", " ", text).split())) == 1
+        return len(numbers) == 4 and all(map(_byte, numbers)) and len(set(re.sub("[0-9]+", " ", text).split())) == 1
     if kind == "card":
         return 13 <= len(digits) <= 19 and luhn(digits) and not re.search("[A-Za-z]", text)
     return 9 <= len(digits) <= 15 and not re.search("[^0-9 ()+./-]", text)
@@ -330,13 +364,25 @@ def added_spans(text: str, claimed: Sequence[Span], model: Tagger, batch: int =
                 if min(left, right) > 0:
                     found[span] = max(found.get(span, 0), min(left, right))
                 t = end
+    # Accepted spans and merged claimed ones, none of which overlap, by their starts: a new one need only be held against its neighbours.
     out: list[Span] = []
+    placed: list[tuple[int, int]] = []
+    for a, b in taken:
+        if placed and a < placed[-1][1]:
+            placed[-1] = (placed[-1][0], max(placed[-1][1], b))
+        else:
+            placed.append((a, b))
     for span in sorted(found, key=lambda x: (-found[x], x[1] - x[2], x[1], x[0])):
         kind, a, b = span
         body = text[a:b]
         a, b = a + len(body) - len(body.lstrip(" \n.,;:")), b - len(body) + len(body.rstrip(" \n.,;:"))
-        if a < b and _make_up(kind, text[a:b]) and not any(a < y and x < b for x, y in taken) and not any(a < y and x < b for _, x, y in out):
-            out.append((kind, a, b))
+        if a >= b or not _make_up(kind, text[a:b]):
+            continue
+        at = bisect.bisect_left(placed, (a, b))
+        if (at and placed[at - 1][1] > a) or (at < len(placed) and placed[at][0] < b):
+            continue
+        placed.insert(at, (a, b))
+        out.append((kind, a, b))
     return out
 
 
@@ -361,7 +407,8 @@ def find_pii(docs: DataFrame, model: Tagger | None = None, id_col: str = "doc_id
     """One row per input row: id, the patterns' spans, the network's added spans (code points, end exclusive), and the
     redacted text if asked for.
 
-    Null and empty texts have no spans. Whole texts are read, however long. Patterns of different kinds may overlap, added
+    Null and empty texts have no spans; an empty table gives an empty result. Whole texts are read, however long, in time
+    that grows with their length. Patterns of different kinds may overlap, added
     spans overlap none. Repeated rows and null ids are treated as any row; other columns are ignored.
     """
     spark = prepare(docs.sparkSession)

@@ -56,7 +56,8 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.array_join(F.transform(keyed, lambda x: F.concat_ws(":", x["k"], x["a"].cast("string"), x["b"].cast("string"))), ",")
 
     return found.select(
-        "doc_id", *map(count, pii.KINDS), F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(F.concat("base", "added")).alias("spans")
+        "doc_id", *map(count, pii.KINDS), F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(F.concat("base", "added")).alias("spans"),
+        (F.size("base") + F.size("added")).cast("long").alias("n_spans"),
     )
 
 

@@ -1,4 +1,6 @@
+import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -21,6 +23,35 @@ def test_gates_lose_no_match():
         assert pii.plain_spans(text) == plain
 
 
+def test_long_runs_take_linear_time():
+    began = time.monotonic()
+    n = 1_000_000
+    assert pii.plain_spans("7" * n + " . ") == [] and pii.plain_spans("a" * n) == [] and pii.plain_spans("+1" + " " * n) == []
+    assert pii.plain_spans("a" * n + "@b.cd") == [("email", 0, n + 5)] and pii.plain_spans("a@" + "b" * n) == []
+    assert pii.plain_spans("1." * n) == [("ip", i, i + 7) for i in range(0, 2 * n - 7, 8)]
+    assert pii.plain_spans("9" * 5000 + ".1.1.1") == [] and pii.plain_spans("0" * 5000 + ".1.1.1") == [("ip", 0, 5006)]
+    assert pii.plain_spans("@" * n) == [] and pii.plain_spans("a@b.c" * (n // 5)) and pii.plain_spans("+1(" * (n // 3)) == []
+    assert time.monotonic() - began < 30
+
+
+def test_sums_and_best_paths_equal_enumeration():
+    rng = np.random.default_rng(4)
+    model = pii.Tagger(2)
+    for name in ("trans", "out", "bias"):
+        model.p[name] = rng.normal(0, 1, model.p[name].shape)
+    ids, tags, n = rng.integers(0, 60, (3, 4)), rng.integers(0, len(pii.TAGS), (3, 4)), len(pii.TAGS)
+    e, _ = model.emissions(ids)
+    paths = np.array(list(itertools.product(range(n), repeat=4)))
+    loss = 0.0
+    for b in range(3):
+        score = e[np.arange(4), b, paths].sum(1) + model.p["trans"][paths[:, :-1], paths[:, 1:]].sum(1)
+        gold = score[(paths == tags[b]).all(1)][0]
+        loss += np.log(np.exp(score).sum()) - gold
+        allowed = ~(model.banned[paths[:, :-1], paths[:, 1:]].any(1) | model.no_start[paths[:, 0]])
+        assert (model.decode(ids)[b] == paths[np.where(allowed, score, -np.inf).argmax()]).all()
+    assert model.step(ids, tags)[0] == pytest.approx(loss / 3)
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     model = pii.Tagger(1)
@@ -62,6 +93,21 @@ def test_windows_are_reconciled(model):
     assert pii.added_spans("no trigger here " * 1000, [], model) == []
 
 
+LONG = (
+    "maximiliane.featherstone_99 (at) correspondence-mail.example.org", "maximiliane.featherstone_99 (at) mail.correspondence.department.example.org",
+    "john_featherstonehaugh [at] correspondence-department (dot) international-example (dot) org",
+)
+
+
+@pytest.mark.parametrize("span", LONG)
+def test_long_spans_are_seen_whole_at_every_offset(model, span):
+    """If the network takes a span whole at all, it does so wherever the grid of windows cuts the text."""
+    assert 60 <= len(span) <= pii.WINDOW - pii.STRIDE
+    for pad in range(pii.STRIDE):
+        text = ("lorem ipsum " * 30)[pad:] + span + " dolor sit " * 30
+        assert [text[a:b] for _, a, b in pii.added_spans(text, [], model)] == [span], pad
+
+
 def test_frames(spark, model):
     rows = [(1, "mail a@b.cd or 988-555-2485 now"), (1, "mail a@b.cd or 988-555-2485 now"), (2, None), (3, ""), (None, "1.2.3.4"), (4, "word " * 100_000 + "a@b.cd")]
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, base string, kind int")
