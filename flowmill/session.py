@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from functools import lru_cache
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,12 +29,38 @@ def build_session(app: str = "flowmill", master: str | None = None, **conf: str)
     return builder.config(map=settings).getOrCreate()
 
 
+_shipped: set[str] = set()
+
+
 def share_code(spark: SparkSession) -> None:
-    """Let Python workers import this package from the folder the driver has it in."""
-    root = str(Path(__file__).resolve().parents[1])
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+    """Let Python workers import this package: from its folder in local mode, else from an archive that Spark sends to them."""
+    package, context = Path(__file__).resolve().parent, spark.sparkContext
+    if context.master == "local" or context.master.startswith("local["):
+        env = context.environment
+        if str(package.parent) not in env.get("PYTHONPATH", "").split(os.pathsep):
+            env["PYTHONPATH"] = os.pathsep.join(x for x in (str(package.parent), env.get("PYTHONPATH", "")) if x)
+    elif context.applicationId not in _shipped:
+        archive = Path(tempfile.mkdtemp(prefix="flowmill-code-")) / f"{package.name}.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for file in sorted(package.rglob("*.py")):
+                out.write(file, file.relative_to(package.parent))
+        context.addPyFile(str(archive))  # the driver's file server hands it out
+        _shipped.add(context.applicationId)
+
+
+@lru_cache(maxsize=1)
+def _local_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="flowmill-")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share (spark.checkpoint.dir); a temporary one only in local mode."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = _local_dir()
+    return found.rstrip("/")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
