@@ -34,11 +34,11 @@ from flowmill.llm.common import bucket_of, materialize, prepare
 ORDER = 6
 SEPARATOR, END = b" ", b"\n"
 #: Bytes of text in a block, and in one piece of it that is in a worker's memory as numbers.
-BLOCK_BYTES, PIECE_BYTES = 64_000_000, 2_000_000
+BLOCK_BYTES, PIECE_BYTES = 16_000_000, 1_000_000
 #: Ranges of grams and of words in a block's rows; blocks of a group; grams of a narrower range, about.
 SHARDS, GROUP, RANGE = 64, 512, 2_000_000
 #: Grams that are held before they are merged.
-HELD = 16_000_000
+HELD = 2_000_000
 _U = np.uint64
 #: An odd number and its inverse modulo 2^24: they spread the nearest three bytes evenly over the ranges.
 _SPREAD, _GATHER = _U(0x9E3779), _U(pow(0x9E3779, -1, 1 << 24))
@@ -77,22 +77,40 @@ def _risen(x, kind: str = "<u8") -> np.ndarray:
 
 
 def _joined(words: list[bytes]) -> bytes:
-    return _pack(END.join(words))
+    """Words, none of which contains the end byte but the end token, which is nothing else."""
+    return _pack(END.join(b"" if w == END else w for w in words))
 
 
 def _words(x) -> list[bytes]:
-    """The opposite of _joined, for one word at least: no word contains the end byte."""
-    return _open(x).split(END)
+    """The opposite of _joined, for one word at least."""
+    return [w or END for w in _open(x).split(END)]
 
 
 def tokens(text: str | None) -> list[bytes]:
-    """Words, A-Z in lower case, then the empty word for the end."""
-    return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), b""]
+    """Words, A-Z in lower case, then the end token."""
+    return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), END]
 
 
 def spelt(words: list[bytes]) -> bytes:
     """The coded bytes of tokens."""
-    return SEPARATOR.join(words) + END
+    return SEPARATOR.join(words)
+
+
+def _ranked(words: pa.ChunkedArray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words by their hash, then by themselves, which is the order that all lists of words have; the hashes; each given word's place."""
+    coded = words.combine_chunks().dictionary_encode()
+    coded = coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded
+    found = coded.dictionary.to_pylist()
+    hashes = np.fromiter(map(zlib.crc32, found), _U, len(found))
+    order = np.argsort(hashes, kind="stable")
+    ties = hashes[order]
+    for i in np.flatnonzero(ties[1:] == ties[:-1]).tolist():  # few words share a hash; neighbours change places until none is out of order
+        while i >= 0 and ties[i] == ties[i + 1] and found[order[i]] > found[order[i + 1]]:
+            order[i], order[i + 1] = order[i + 1], order[i]
+            i -= 1
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return [found[i] for i in order.tolist()], ties, place[coded.indices.to_numpy()]
 
 
 def pieces(body: bytes, size: int) -> Iterator[tuple[bytes, bytes]]:
@@ -119,6 +137,12 @@ def grams(parts: list[tuple[bytes, bytes]]) -> np.ndarray:
     return (key & ((_U(1) << low) - _U(1))) | (((key >> low) * _SPREAD & _24) << low)
 
 
+def _union(lists: list[np.ndarray]) -> np.ndarray:
+    """Sorted distinct numbers (np.unique hashes when asked for nothing else, which is slower than sorting)."""
+    x = np.sort(np.concatenate(lists))
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def _summed_grams(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct grams of several sorted lists, and their counts' sums."""
     keys, counts = np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])
@@ -222,12 +246,6 @@ def _table(rows: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(columns, _TYPES)], names=[x.split()[0] for x in BLOCKS.split(", ")])
 
 
-def _ranked(words: Iterable[bytes]) -> tuple[list[bytes], np.ndarray]:
-    """Words by their hash, then by themselves, and the hashes: the order that all lists of words have."""
-    pairs = sorted((zlib.crc32(w), w) for w in words)
-    return [w for _, w in pairs], np.array([h for h, _ in pairs], _U)
-
-
 def _cuts(numbers: np.ndarray, width: int, first: int, count: int, bits: int) -> np.ndarray:
     """Where each of `count` ranges, from the first one on, of sorted numbers of `width` bits begins; ranges go by the highest bits."""
     return np.searchsorted(numbers, (_U(first) + np.arange(count + 1, dtype=_U)) << _U(width - bits))
@@ -237,8 +255,8 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents (id, held out, text) to blocks: 'text', 'word' and 'gram' rows."""
     block, number = TaskContext.get().partitionId() << 24, 0
     held, size = 0, 0  # bytes in the block and in its last piece
-    bodies, ids = [], []
-    trained, seen, found = Counter(), set(), []
+    bodies, ids, fresh = [], [], []
+    words, trained, found = [], [], []  # of the block: its tokens, whether they are learned from, its grams
 
     def piece() -> pa.Table:
         """The texts since the last piece: their grams are counted, the row holds what is scored later."""
@@ -248,35 +266,35 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 found.append((keys, counts * 0 if out_of_training else counts))
             if sum(len(k) for k, _ in found) > HELD:
                 found[:] = [_summed_grams(found)]
+        words.append(pa.array([w for part in fresh for w in part], pa.binary()))
+        trained.append(np.repeat([not h for _, h in ids], [len(part) for part in fresh]))
         whose = np.array([(i is None, h) for i, h in ids], "u1").tobytes() + np.array([i or 0 for i, _ in ids], "<i8").tobytes()
         return _table([("text", block + number, None, None, len(ids), _pack(b"".join(bodies), 3), whose)])
 
     def asked() -> pa.Table:
-        words, hashes = _ranked(seen)
+        ranked, hashes, place = _ranked(pa.chunked_array(words))
+        known = np.bincount(place, np.concatenate(trained), len(ranked))
         keys, counts = _summed_grams(found)
         of_words, of_keys, rows = _cuts(hashes, 32, 0, SHARDS, _BITS), _cuts(keys, _TOP, 0, SHARDS, _BITS), []
         for s in range(SHARDS):
-            if own := words[of_words[s] : of_words[s + 1]]:
-                rows.append(("word", block + number, s, None, len(own), _joined(own), _planes(np.array([trained[w] for w in own], "<u8"))))
+            if own := ranked[of_words[s] : of_words[s + 1]]:
+                rows.append(("word", block + number, s, None, len(own), _joined(own), _planes(known[of_words[s] : of_words[s + 1]].astype("<u8"))))
             if len(own := keys[of_keys[s] : of_keys[s + 1]]):
                 rows.append(("gram", block + number, s, None, len(own), _rising(own), _planes(counts[of_keys[s] : of_keys[s + 1]].astype("<u8"))))
         return _table(rows)
 
     for batch in batches:
         for i, h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            words = tokens(text.as_py())
-            if not h:
-                trained.update(words)
-            seen.update(words)
-            bodies.append(spelt(words))
+            fresh.append(tokens(text.as_py()))
+            bodies.append(spelt(fresh[-1]))
             ids.append((i, h))
             size, held = size + len(bodies[-1]), held + len(bodies[-1])
             if size >= PIECE_BYTES or held >= BLOCK_BYTES:
                 yield from piece().to_batches()
-                bodies, ids, size = [], [], 0
+                bodies, ids, fresh, size = [], [], [], 0
             if held >= BLOCK_BYTES:
                 yield from asked().to_batches()
-                trained, seen, found, held, number = Counter(), set(), [], 0, number + 1
+                words, trained, found, held, number = [], [], [], 0, number + 1
     if ids:
         yield from piece().to_batches()
     if held:
@@ -295,7 +313,7 @@ def _merge(key, table):
         for words, c in zip(lists, table["b"]):
             for w, n in zip(words, _unplanes(c, "<u8").tolist()):
                 sums[w] += n
-        whole, _ = _ranked(sums)
+        whole = sorted(sums, key=lambda w: (zlib.crc32(w), w))
         place = {w: i for i, w in enumerate(whole)}
         counts, packed = np.array([sums[w] for w in whole], "<u8"), _joined(whole)
         places = (np.fromiter(map(place.__getitem__, x), np.int64, len(x)) for x in lists)
@@ -377,34 +395,36 @@ def _scored(train_tokens: int, known: int):
         codes = np.concatenate([_unplanes(x, "<f4") for x in told["gram"]])
         counts = np.concatenate([_unplanes(x, "<u8") for x in told["word"]]).astype(float)
         texts = table.filter(pa.array([k == "text" for k in table["kind"].to_pylist()]))
-        runs, seen = [], set()
-
+        runs, words = [], []
         for x in texts["a"]:  # the block's grams and words again, in the order that the tells have
-            for body in _bodies(x):
-                seen.update(body.split())
-            runs += [(np.unique(grams(now)),) * 2 for _, now in _runs(_bodies(x))]
-            if sum(len(k) for k, _ in runs) > HELD:
-                runs = [_summed_grams(runs)]
-        keys, _ = _summed_grams(runs)
-        seen.add(b"")
-        place = {w: i for i, w in enumerate(_ranked(seen)[0])}
-        base = np.log10((counts + 1) / (train_tokens + known + 1))
-        out = {name.split()[0]: [] for name in SCORES.split(", ")}
-        for x, whose in zip(texts["a"], texts["b"].to_pylist()):
-            n = len(whose) // 10
+            bodies = _bodies(x)
+            words.append(pa.array([w for body in bodies for w in (*body.split(), END)], pa.binary()))
+            runs += [_union([grams(now)]) for _, now in _runs(bodies)]
+            if sum(map(len, runs)) > HELD:
+                runs = [_union(runs)]
+        keys = _union(runs)
+        place = _ranked(pa.chunked_array(words))[2]
+        base, seen = np.log10((counts + 1) / (train_tokens + known + 1))[place], (counts > 0)[place]
+        out, at = {name.split()[0]: [] for name in SCORES.split(", ")}, 0
+        for x, whose, own in zip(texts["a"], texts["b"].to_pylist(), words):
+            bodies, n = _bodies(x), len(whose) // 10
             marks, ids = np.frombuffer(whose[: 2 * n], "u1").reshape(n, 2), np.frombuffer(whose[2 * n :], "<i8")
             score = np.zeros(n)
-            for of, now in _runs(_bodies(x)):
-                found, at = np.unique(grams(now), return_inverse=True)
-                each = codes[np.searchsorted(keys, found)].astype(float)[at]
+            for of, now in _runs(bodies):
+                found, back = np.unique(grams(now), return_inverse=True)
+                each = codes[np.searchsorted(keys, found)].astype(float)[back]
                 lengths = np.fromiter((len(b) for _, b in now), np.int64, len(now))
                 np.add.at(score, of, np.add.reduceat(each, np.cumsum(lengths) - lengths))
-            for j, body in enumerate(_bodies(x)):
-                words = [*body.split(), b""]
-                at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
-                row = (None if marks[j, 0] else int(ids[j]), bool(marks[j, 1]), len(words), int((counts[at] > 0).sum()), train_tokens, float(base[at].sum()), float(score[j]))
-                for name, v in zip(out, row):
-                    out[name].append(v)
+            tokens_of = np.fromiter((body.count(SEPARATOR) + 1 for body in bodies), np.int64, n)
+            first = np.cumsum(tokens_of) - tokens_of
+            out["id"] += [None if none else i for none, i in zip(marks[:, 0].tolist(), ids.tolist())]
+            out["held_out"] += (marks[:, 1] > 0).tolist()
+            out["n_tokens"] += tokens_of.tolist()
+            out["n_known"] += np.add.reduceat(seen[at : at + len(own)].astype(np.int64), first).tolist()
+            out["train_tokens"] += [train_tokens] * n
+            out["base_score"] += np.add.reduceat(base[at : at + len(own)], first).tolist()
+            out["score"] += score.tolist()
+            at += len(own)
         types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(out.values(), types)], names=list(out))
 
