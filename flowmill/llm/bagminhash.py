@@ -9,9 +9,9 @@ if a component stays empty the horizon doubles, which never changes the points b
 
 Candidates. BANDS keys of ROWS components each. Texts with the same words in the same order are one text first. In a bucket of few texts
 each pair is a candidate; in a larger one each text is paired with one leader, so that a group of near copies of any
-size gives as many pairs as members. Larger buckets that the links leave in several parts get further rounds: texts outside the
-largest part are paired with a few of its texts, drawn anew, and with each other as in a bucket of their own. Rounds end when
-all buckets are whole or a round finds no link. The texts of buckets that are still open are joined exactly: a link of two
+size gives as many pairs as members. Larger buckets that the links leave in several parts get another round: texts outside the
+largest part are paired with a few of its texts, drawn anew, and with each other as in a bucket of their own. The texts of buckets that are
+still open are then joined exactly: a link of two
 texts in different parts shares one of the few rarest shingles of both (prefix filter), at places that leave enough for
 the overlap (positional filter), so a passage that many texts share makes no pairs unless it is long enough for a link.
 
@@ -20,7 +20,7 @@ Verification. Each candidate pair's shingle multisets are compared in full. Clas
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowmill.llm.common import few_or_shuffled, materialize, numbered, prepare
+from flowmill.llm.common import few_or_shuffled, free, join_groups, materialize, numbered, prepare, scratch
 
 SHINGLE = 5
 #: A pair is a link if 100 * overlap >= SIMILAR * union of the multisets.
@@ -279,16 +279,17 @@ def components(links: DataFrame, few: int | None = None) -> DataFrame:
             new = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         return new.where("a <> b").distinct()
 
-    edges = materialize(links.select("a", "b").where("a <> b").distinct(), "links")
-    if edges.count() <= (FEW_LINKS if few is None else few):
-        return materialize(edges.coalesce(1).mapInArrow(_united, "node long, root long"), "roots")
-    seen = None
-    while True:
-        edges = materialize(star(star(edges, True), False), "star")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == seen:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        seen = now
+    with scratch() as keep:
+        edges = materialize(links.select("a", "b").where("a <> b").distinct(), "links")
+        if edges.count() <= (FEW_LINKS if few is None else few):
+            return keep(materialize(edges.coalesce(1).mapInArrow(_united, "node long, root long"), "roots"))
+        seen = None
+        while True:
+            edges = materialize(star(star(edges, True), False), "star")
+            now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+            if now == seen:
+                return keep(edges).select(F.col("a").alias("node"), F.col("b").alias("root"))
+            seen = now
 
 
 def _all_pairs(few: DataFrame) -> DataFrame:
@@ -307,8 +308,8 @@ def _fit(pairs: DataFrame) -> DataFrame:
 def _bucket_pairs(buckets: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
     """Candidate pairs of rows (key, rid, n): all in small buckets, a star in larger ones; and the larger buckets' rows."""
     lead = F.min_by(F.struct("rid", "n"), F.xxhash64(F.lit(seed), "rid"))
-    groups = buckets.groupBy("key").agg(F.count("*").alias("k"), lead.alias("lead")).where("k > 1")
-    members = materialize(buckets.join(groups, "key"), "buckets")
+    groups = materialize(buckets.groupBy("key").agg(F.count("*").alias("k"), lead.alias("lead")).where("k > 1"), "groups")
+    members = materialize(join_groups(buckets, groups, "key"), "buckets")
     large = members.where(F.col("k") > SMALL)
     stars = large.select(F.col("lead.rid").alias("a"), F.col("rid").alias("b"), F.col("lead.n").alias("na"), F.col("n").alias("nb"))
     return _all_pairs(members.where(F.col("k") <= SMALL)).unionByName(stars), large.select("key", "rid", "n")
@@ -326,7 +327,8 @@ def _open_pairs(large: DataFrame, roots: DataFrame, first_seed: int) -> DataFram
     leads = F.array(*[F.min_by(F.struct("rid", "n"), F.xxhash64(F.lit(first_seed + i), "rid")) for i in range(LEADERS)])
     sizes = parts.groupBy("key", "part").agg(F.count("*").alias("c"), leads.alias("leads"))
     most = sizes.groupBy("key").agg(F.max_by(F.struct("part", "leads"), F.struct("c", "part")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
-    apart = materialize(parts.join(most.select("key", "top"), "key").where(F.col("part") != F.col("top.part")).select("key", "rid", "n", "top.leads"), "apart")
+    top = materialize(most.select("key", "top"), "top")
+    apart = materialize(join_groups(parts, top, "key").where(F.col("part") != F.col("top.part")).select("key", "rid", "n", "top.leads"), "apart")
     ahead = apart.select("rid", "n", F.explode(F.array_distinct("leads")).alias("lead"))
     ahead = ahead.select(F.col("lead.rid").alias("a"), F.col("rid").alias("b"), F.col("lead.n").alias("na"), F.col("n").alias("nb"))
     return ahead.unionByName(_bucket_pairs(apart.select("key", "rid", "n"), first_seed)[0])
@@ -339,8 +341,8 @@ def _left_pairs(large: DataFrame, roots: DataFrame, placed: DataFrame) -> DataFr
     outside the unit's largest part, and those that a text of the same size or a larger one may match.
     """
     parts = _parts(large, roots)
-    open_keys = parts.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
-    texts = few_or_shuffled(parts.join(open_keys, "key", "left_semi").select("rid", "part").distinct(), "open")
+    open_keys = materialize(parts.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key"), "open-keys")
+    texts = few_or_shuffled(join_groups(parts, open_keys, "key").select("rid", "part").distinct(), "open")
     bodies = placed.select("rid", "body").join(texts, "rid").select("rid", "part", "body")
     units = materialize(bodies.mapInArrow(_unit_hashes, "rid long, part long, units array<long>"), "units")
     slots = units.select(F.explode("units").alias("u")).groupBy(F.col("u").bitwiseAND(F.lit(COUNTERS - 1)).cast("int").alias("slot")).agg(F.count("*").alias("c"))
@@ -355,49 +357,54 @@ def _left_pairs(large: DataFrame, roots: DataFrame, placed: DataFrame) -> DataFr
         F.max_by("part", F.struct("c", "part")).alias("top"), (F.sum("c") - F.max("c")).alias("apart"), F.sum("ups").alias("ups"), F.count("*").alias("parts")
     )
     shared_units = materialize(sizes.where("parts > 1 and ups > 0").select("unit", "top", (F.col("ups") <= F.col("apart")).alias("by_up")), "shared")
-    rows = materialize(rows.join(shared_units, "unit"), "matched")
+    rows = materialize(join_groups(rows, shared_units, "unit"), "matched")
     x, y = rows.where(F.when(F.col("by_up"), F.col("up")).otherwise(F.col("part") != F.col("top"))).alias("x"), rows.alias("y")
     meet = (F.col("x.unit") == F.col("y.unit")) & (F.col("x.part") != F.col("y.part")) & (F.col("x.n") <= F.col("y.most")) & (F.col("y.n") <= F.col("x.most"))
     return x.join(y, meet).select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rid_col: str | None = None) -> DataFrame:
-    """One row per input row: id, class_id (least id of the class), class_size, n_links, kept, rid.
+def _tested(pairs: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """Pairs that may be links and haven't been compared, written."""
+    pairs = _fit(pairs)
+    return materialize(pairs if before is None else pairs.join(before, ["a", "b"], "left_anti"), "pairs")
 
-    rid is the column rid_col, which must be stored with the rows; without it the rows are written with one first.
 
-    n_links counts the verified links of the row's text to different texts. One row of each class stays: the one with
-    the least id, the first of repeated rows. Null text counts as empty; texts without a word are copies of each
-    other. Null ids come last in a class. An empty table gives an empty result; other columns are ignored.
-    """
-    prepare(docs.sparkSession)
-    columns = [F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body")]
-    placed = docs.select(F.col(rid_col).alias("rid"), *columns) if rid_col else numbered(docs.select(*columns)).select("rid", "id", "body")
+def _linked(placed: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs that are links, written; the texts that were moved for it are deleted again."""
+    with scratch() as keep:
+        return keep(materialize(_verify(placed, pairs), "verified"))
+
+
+def _classes(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (rid, id, root, n_links) of all texts (rid, id, body), and (root, class_id, class_size, first) of classes of several rows; both written."""
     sketch = materialize(placed.mapInArrow(_sketched, SKETCH), "sketch")
     texts = sketch.groupBy("same").agg(F.min("rid").alias("rep"), F.count("*").alias("copies"))
     again = materialize(texts.where("copies > 1").select("same", "rep"), "copies")
     # Rows whose text occurs once are their own representative and need no join back.
-    spare = materialize(sketch.select("rid", "same").join(again, "same").where("rid <> rep").select("rid", "rep"), "spare")
+    spare = materialize(join_groups(sketch.select("rid", "same"), again, "same").where("rid <> rep").select("rid", "rep"), "spare")
     reps = sketch.join(spare.select("rid"), "rid", "left_anti").where("n > 0")
-    found, large = _bucket_pairs(reps.select(F.explode("bands").alias("key"), "rid", "n"), 0)
-    tested = materialize(_fit(found), "pairs")
-    links = materialize(_verify(placed, tested), "verified")
+    with scratch() as keep:
+        found, large = _bucket_pairs(reps.select(F.explode("bands").alias("key"), "rid", "n"), 0)
+        tested = keep(_tested(found))
+        large = keep(materialize(large.groupBy("rid", "n").agg(F.collect_list("key").alias("keys")), "large"))
+    links = _linked(placed, tested)
     roots = components(links)
-    large = materialize(large.groupBy("rid", "n").agg(F.collect_list("key").alias("keys")), "large")
     if not large.isEmpty():
-        for seed in range(1, ROUNDS + 1):
-            new = materialize(_fit(_open_pairs(large, roots, seed)).join(tested, ["a", "b"], "left_anti"), "pairs")
-            if new.isEmpty():
-                break
-            more = materialize(_verify(placed, new), "verified")
-            if more.isEmpty():
-                break
+
+        def extend(pairs: Callable[[], DataFrame]) -> bool:
+            """Compare more pairs; whether any was a link."""
+            nonlocal tested, links, roots
+            with scratch() as keep:
+                new = keep(_tested(pairs(), tested))
+            more = _linked(placed, new)
             tested, links = tested.unionByName(new), links.unionByName(more)
             roots = components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-        new = materialize(_fit(_left_pairs(large, roots, placed)).join(tested, ["a", "b"], "left_anti"), "pairs")
-        more = materialize(_verify(placed, new), "verified")
-        links = links.unionByName(more)
-        roots = components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+            return not more.isEmpty()
+
+        for seed in range(1, ROUNDS + 1):
+            if not extend(lambda: _open_pairs(large, roots, seed)):
+                break
+        extend(lambda: _left_pairs(large, roots, placed))
     degree = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
     named = sketch.select("rid", "id").join(spare, "rid", "left").withColumn("rep", F.coalesce("rep", "rid"))
     named = named.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
@@ -405,8 +412,26 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = named.groupBy("root").agg(
         F.min("id").alias("class_id"), F.count("*").alias("class_size"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid")).alias("first")
     )
-    several = classes.where("class_size > 1")
-    joined = named.join(several, "root", "left")
+    return named, materialize(classes.where("class_size > 1"), "classes")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rid_col: str | None = None) -> DataFrame:
+    """One row per input row: id, class_id (least id of the class), class_size, n_links, kept, rid.
+
+    rid is the column rid_col, which must be stored with the rows; without it the rows are written with one first.
+
+    n_links counts the verified links of the row's text to different texts. One row of each class stays: the one with
+    the least id, the first of repeated rows. Null text counts as empty; texts without a word are copies of each
+    other. Null ids come last in a class. An empty table gives an empty result; other columns are ignored.
+    """
+    prepare(docs.sparkSession)
+    columns = [F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body")]
+    with scratch() as keep:
+        placed = docs.select(F.col(rid_col).alias("rid"), *columns) if rid_col else numbered(docs.select(*columns)).select("rid", "id", "body")
+        named, classes = _classes(placed)
+        keep(named)
+        keep(classes)
+    joined = join_groups(named, classes, "root", how="left")
     return joined.select(
         F.col("id").alias(id_col), F.when(F.col("class_size").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"), "n_links",
@@ -425,6 +450,9 @@ def _verify(placed: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input rows, all columns, with one row of each class of near copies."""
-    marked = numbered(docs, "__rid")
-    gone = near_groups(marked, id_col, text_col, "__rid").where(~F.col("kept")).select(F.col("rid").alias("__rid"))
-    return marked.join(few_or_shuffled(gone, "gone"), "__rid", "left_anti").drop("__rid")
+    rid = free(docs, "__rid")
+    marked = numbered(docs, rid)
+    with scratch() as keep:
+        gone = near_groups(marked, id_col, text_col, rid).where(~F.col("kept")).select(F.col("rid").alias(rid))
+        gone = keep(materialize(gone, "gone"))
+    return marked.join(few_or_shuffled(gone), rid, "left_anti").drop(rid)

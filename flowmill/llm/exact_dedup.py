@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowmill.llm.common import few_or_shuffled, fixed_rows, materialize, numbered, text_of
+from flowmill.llm.common import few_or_shuffled, fixed_rows, free, join_groups, materialize, numbered, scratch, text_of
 
 #: Code points that the prefix hash covers.
 PREFIX = 256
@@ -27,7 +27,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Levels 1 and 2 are one partial aggregation over (length, prefix hash), so a hot group shrinks to one row
     per task before the shuffle. Texts are never shuffled: the keys of groups with copies come back as a
-    broadcast if they are few, and otherwise every row is hashed in the scan, which is cheaper than moving it.
+    broadcast if they are few, and otherwise every row is hashed in the scan, which is cheaper than moving it. A group
+    meets its rows by join_groups, so no task gets all rows of a large one.
     """
     keyed = fixed_rows(docs).select(
         F.col(id_col).alias("id"), (F.col(rid_col) if rid_col else F.monotonically_increasing_id()).alias("rid"), text_of(text_col).alias("body")
@@ -49,19 +50,25 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.col("id").alias(id_col), F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", "rid"
     )
     rest = slim.where("again")
-    # Order of struct fields: id, then the earliest of repeated rows.
+    # Order of struct fields: id, then the earliest of repeated rows. Only groups of several rows are joined back.
     groups = rest.groupBy("text_sha256").agg(F.max(F.struct("id", (-F.col("rid")).alias("back"))).alias("best"), F.count("*").alias("group_size"))
-    found = rest.join(groups, "text_sha256").select(
-        F.col("id").alias(id_col), F.col("best.id").alias("keep_id"), "group_size", (F.col("best.back") == -F.col("rid")).alias("kept"), "text_sha256", "rid"
-    )
+    joined = join_groups(rest, materialize(groups.where("group_size > 1"), "groups"), "text_sha256", how="left")
+    several = F.col("group_size").isNotNull()
+    found = joined.select(
+        F.col("id").alias(id_col), F.when(several, F.col("best.id")).otherwise(F.col("id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
+        F.coalesce(F.col("best.back") == -F.col("rid"), F.lit(True)).alias("kept"), "text_sha256", "rid",
+    )
     return alone.unionByName(found)
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input rows, all columns, without the copies: one row for each distinct text.
 
-    Rows are joined by a number written with them (__rid), so repeated ids are told apart.
+    Rows are joined by a number written with them, so repeated ids are told apart.
     """
-    marked = numbered(docs, "__rid")
-    gone = exact_groups(marked, id_col, text_col, rid_col="__rid").where(~F.col("kept")).select(F.col("rid").alias("__rid"))
-    return marked.join(few_or_shuffled(gone, "gone"), "__rid", "left_anti").drop("__rid")
+    rid = free(docs, "__rid")
+    marked = numbered(docs, rid)
+    with scratch() as keep:
+        gone = exact_groups(marked, id_col, text_col, rid_col=rid).where(~F.col("kept")).select(F.col("rid").alias(rid))
+        gone = keep(materialize(gone, "gone"))
+    return marked.join(few_or_shuffled(gone), rid, "left_anti").drop(rid)

@@ -54,7 +54,8 @@ def mix(
 
     Size is the number of words; null text has none; null is a source of its own. A row's copies are
     floor(rate) plus one with probability equal to the fraction, drawn from a hash of (seed, id), so reruns and
-    retried tasks agree; repeated rows of one id draw alike. Rates of a bounded number of sources are broadcast;
+    retried tasks agree; repeated rows of one id draw alike, null ids too. An empty table gives an empty result. Input columns
+    named like the added ones are replaced. Rates of a bounded number of sources are broadcast;
     beyond that they are joined on (source, salt), so that a hot source spreads over SALTS partitions.
     """
     sized = docs.withColumn("__size", count_words(text_of(text_col)))

@@ -110,7 +110,8 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "tex
     __n_stop_words, the ratios the rules use (under their plain names inside __ratios) and __passes.
 
     One narrow projection: no shuffle, no user function. Null text counts as empty: every count is 0, every ratio
-    is 0, and the word minimum rejects it. Very long texts are measured whole. Other columns pass through.
+    is 0, and the word minimum rejects it. Very long texts are measured whole. Repeated rows and null ids are judged as any row,
+    an empty table gives an empty result. Other columns pass through; those named like the added ones are replaced.
     """
     m = lambda name: F.col(f"__m.{name}")
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))

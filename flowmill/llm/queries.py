@@ -20,7 +20,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.ppm_scores(read_documents(spark, sf_dir))
+    return lm_score.ppm_scores(read_documents(spark, sf_dir)).withColumn("mean_score", F.col("score") / F.col("n_tokens"))
 
 
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

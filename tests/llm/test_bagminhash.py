@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from flowmill.llm import bagminhash as bag
+from flowmill.llm import common
 
 
 def multiset(text):
@@ -64,7 +65,10 @@ def corpus():
     return rows
 
 
-def test_classes_equal_brute_force(spark):
+@pytest.mark.parametrize("limit", [None, 0])
+def test_classes_equal_brute_force(spark, monkeypatch, limit):
+    if limit is not None:  # groups joined by shuffle, their rows dealt
+        monkeypatch.setattr(common, "BROADCAST_GROUPS", limit)
     rows = corpus()
     df = spark.createDataFrame([(*r, 1, "b") for r in rows], "doc_id long, text string, rep int, bands string").repartition(4)
     got = bag.near_groups(df).collect()
@@ -85,12 +89,19 @@ def test_classes_equal_brute_force(spark):
             if bags[a] and similarity(bags[a], bags[b]) >= 0.8:
                 root[find(a)] = find(b)
                 links[a] += 1
+                links[b] += 1
     classes = {}
     for (doc, _), k in zip(rows, keys):
         classes.setdefault(find(k), []).append(doc)
     want = sorted((doc is None, doc, min(x for x in c if x is not None), len(c)) for c in classes.values() for doc in c)
     assert sorted((r.doc_id is None, r.doc_id, r.class_id, r.class_size) for r in got) == want
     assert sum(r.kept for r in got) == len(classes)
+    # A text's links are to different texts and found ones only; each class is connected by them.
+    key_of = {}
+    for (doc, _), k in zip(rows, keys):
+        key_of.setdefault(doc, set()).add(k)
+    for r in got:
+        assert any(r.n_links <= links[k] and (r.n_links > 0) == (links[k] > 0) for k in key_of[r.doc_id]), r
     kept = bag.drop_near_copies(df)
     assert kept.columns == df.columns and kept.count() == len(classes)
 

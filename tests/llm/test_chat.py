@@ -48,4 +48,6 @@ def test_frames(spark):
     assert got[2].turns_sha256 == hashlib.sha256(b"\n\n\n\n").hexdigest() and got[3].loss_chars == 100_000
     one = chat.format_conversations(df).where("conv_id = 1").first()
     assert one.formatted[one.loss_starts[0] : one.loss_ends[0]] == "b" and len(one.formatted) == got[1].formatted_chars
+    again = spark.createDataFrame([(-7, 0, "user", "mine")], "conv_id long, turn long, role string, text string")
+    assert chat.read_back(again.unionByName(again)).first().n_turns == 2  # an id twice is one conversation
     assert chat.read_back(df.limit(0)).count() == 0 and chat.format_conversations(df.limit(0)).count() == 0

@@ -1,13 +1,14 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flowmill.llm import exact_dedup, mixing, quality, toxicity
+from flowmill.llm import common, exact_dedup, mixing, quality, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -22,6 +23,7 @@ def test_exact_groups(spark, monkeypatch):
     want = sorted((i is None, i or 0, max((x for x in g if x is not None), default=None) or -1, len(g), hashlib.sha256(t.encode()).hexdigest()) for t, g in groups.items() for i in g)
     for limit in (exact_dedup.BROADCAST_KEYS, 0):
         monkeypatch.setattr(exact_dedup, "BROADCAST_KEYS", limit)
+        monkeypatch.setattr(common, "BROADCAST_GROUPS", limit)
         got = exact_dedup.exact_groups(df, digest_all=True).collect()
         assert sorted((r.doc_id is None, r.doc_id or 0, r.keep_id or -1, r.group_size, r.text_sha256) for r in got) == want
         assert sum(r.kept for r in got) == len(groups) and all(r.kept <= (r.doc_id == r.keep_id) for r in got)
@@ -90,9 +92,42 @@ def test_quality(spark):
     assert "PythonUDF" not in judged._jdf.queryExecution().toString() and "Exchange" not in judged._jdf.queryExecution().executedPlan().toString()
     for r in judged.collect():
         assert (r["__n_words"], r["__word_chars"], r["__n_symbols"], r["__n_dup_lines"], r["__n_repeat_words"]) == brute(r.text), repr(r.text)[:200]
+        assert r["__passes"] == verdict(r.text), repr(r.text)[:200]
     assert quality.judge(df.limit(0)).count() == 0
 
 
+def verdict(text):
+    """The production rules, plainly."""
+    words = WORD.findall(text or "")
+    lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+    n, chars, symbols, dup, again = brute(text)
+    per = lambda a, b: a / b if b else 0.0
+    stop = {*quality.STOP_WORDS, *(w.capitalize() for w in quality.STOP_WORDS)}
+    stutter = sum(a == b for a, b in zip(words, words[1:]))
+    return (
+        n >= 20 and 2 <= per(chars, n) <= 14 and per(symbols, n) <= 0.1 and per(dup, len(lines)) <= 0.3 and per(again, n) <= 0.3
+        and per(stutter, n) <= 0.3 and per(sum(w in stop for w in words), n) >= 0.02
+    )
+
+
+def test_quality_verdicts(spark):
+    rng = random.Random(12)
+    good = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(300):  # around each threshold: length, word length, symbols, copies of lines, stutter, function words
+        words = [rng.choice(good) for _ in range(rng.randrange(15, 60))] + ["The", "von"] * rng.randrange(3)
+        words += [rng.choice(["x" * 60, "#", "a"]) for _ in range(rng.choice([0, 0, 4, 12]))]
+        words += ["echo"] * rng.choice([0, 0, 10, 40])
+        rng.shuffle(words)
+        text = " ".join(words)
+        rows.append((i, "\n".join([text] * rng.choice([1, 1, 2]) + ["line the"] * rng.choice([0, 2, 9]))))
+    rows += [(900, "the word " * 40_000), (901, None), (901, None)]
+    df = spark.createDataFrame([(*r, 1, 2.0) for r in rows], "doc_id long, text string, __m int, stop_ratio double")
+    got = [(r.text, r["__passes"]) for r in quality.judge(df).collect()]
+    assert len(got) == len(rows) and 20 < sum(p for _, p in got) < 280
+    assert all(p == verdict(t) for t, p in got)
+
+
 def test_machine_learns_a_pair(spark):
     """Neither term alone tells: only both together are toxic."""
     rng = random.Random(3)
@@ -116,6 +151,43 @@ def test_machine_learns_a_pair(spark):
     assert toxicity.score(docs.limit(0), machine).count() == 0
 
 
+def test_score_equals_the_sum_over_all_pairs():
+    rng = np.random.default_rng(5)
+    slots = np.zeros(1 << toxicity.BITS, np.int32)
+    slots[:50] = np.arange(1, 51)
+    machine = toxicity.Machine(-0.7, slots, np.r_[0.0, rng.normal(0, 0.3, 50)], np.vstack([np.zeros((1, toxicity.FACTORS)), rng.normal(0, 0.3, (50, toxicity.FACTORS))]))
+    for size in (0, 1, 2, 7, 30):
+        terms = rng.choice(200, size, replace=False).astype(np.uint32)
+        z = machine.bias
+        for a, i in enumerate(terms):
+            z += machine.w[slots[i]]
+            for j in terms[:a]:
+                z += machine.v[slots[i]] @ machine.v[slots[j]]
+        assert machine.score(terms) == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+def test_term_that_tells_only_beside_another(spark):
+    """`them` is as common in toxic texts as in others: it turns one insult toxic and the other harmless."""
+    rng, filler, rows = random.Random(6), [f"w{i}" for i in range(300)], []
+    for i in range(6000):
+        one, other, them = rng.random() < 0.3, rng.random() < 0.3, rng.random() < 0.5
+        words = [rng.choice(filler) for _ in range(20)] + ["scum"] * one + ["rogue"] * other + ["them"] * them
+        # `scum` is toxic with `them` and `rogue` without, so that neither is as common in toxic texts as in others.
+        rows.append((i, " ".join(words), int((one and them) or (other and not them))))
+    docs = spark.createDataFrame([r[:2] for r in rows] + [rows[0][:2]] * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    flat = [(toxicity.terms_of(t).astype(np.int32).tolist(), y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    kept = toxicity.related(spark.createDataFrame([(y, t) for t, y in flat], "label int, terms array<int>"))
+    them = int(toxicity.terms_of("them")[0])
+    alone = [(them in t, y) for t, y in flat]
+    n, seen, pos, both = len(alone), sum(a for a, _ in alone), sum(y for _, y in alone), sum(a and y for a, y in alone)
+    cells = [(both, seen * pos / n), (seen - both, seen * (n - pos) / n), (pos - both, (n - seen) * pos / n), (n - pos - seen + both, (n - seen) * (n - pos) / n)]
+    assert 2 * sum(g * np.log(g / w) for g, w in cells) < toxicity.LEAST_RATIO and them in kept
+    machine = toxicity.train(docs, labels)
+    got = {r.doc_id: r["__score"] for r in toxicity.score(docs, machine).collect()}
+    assert np.mean([(got[i] >= 0.5) == bool(y) for i, _, y in rows if zlib.crc32(str(i).encode()) % 4 == 2]) > 0.97
+
+
 def test_held_out_rows_teach_nothing(spark):
     docs = spark.createDataFrame([(i, "bad" if i % 2 else "good") for i in range(400)], "doc_id long, text string")
     labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))

@@ -43,6 +43,29 @@ def test_pii_digests(spark, documents):
         assert [row[f"n_{k}"] for k in pii.KINDS] == [sum(x[0] == k for x in base) for k in pii.KINDS]
 
 
+def test_quality_query(spark, documents):
+    from test_filters import brute, verdict
+
+    got = queries.QUERIES["op2_quality"](spark, FOLDER).toPandas().set_index("doc_id")
+    assert len(got) == len(documents)
+    for doc, text in zip(documents["doc_id"], documents["text"]):
+        n, chars, symbols, dup, again = brute(text)
+        failed = n < 20 or 100 * again > 30 * n
+        assert tuple(got.loc[doc]) == (n, chars, symbols, dup, again, failed, not failed and verdict(text)), doc
+
+
+def test_mixing_query(spark, documents):
+    from test_filters import WORD, targets
+
+    got = queries.QUERIES["op5_mixing"](spark, FOLDER).toPandas().merge(documents, on="doc_id")
+    sizes = documents.assign(n=[len(WORD.findall(t or "")) for t in documents["text"]]).groupby("source", dropna=False)["n"].sum().to_dict()
+    want = targets({None if isinstance(k, float) else k: v for k, v in sizes.items()})
+    assert len(got) == len(documents)
+    for r in got.itertuples():
+        n = len(WORD.findall(r.text or ""))
+        assert (r.size, r.source_size) == (n, sizes[r.source]) and r.target == pytest.approx(want[r.source]) and r.taken in (0, n, 2 * n)
+
+
 def test_toxicity_separates_held_out_documents(spark):
     folder = "/root/testdata/sf0.1"
     got = queries.QUERIES["op9_toxicity"](spark, folder).toPandas().merge(spark.read.parquet(f"{folder}/labels.parquet").toPandas(), on="doc_id")

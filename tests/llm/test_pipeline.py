@@ -35,6 +35,25 @@ def test_stages(spark, folder):
     assert Counter(r.doc_id for r in pieces if r.start == 0) == mixed
 
 
+def test_clashing_columns_nulls_and_repeats(spark, tmp_path):
+    """Columns named like the stages' own helpers go through all stages but the last; repeated rows and null ids are as any row."""
+    extra = ["rid", "__rid", "id", "body", "size", "label", "terms", "part", "n", "root"]
+    texts = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(30)]
+    rows = [(i, t, "en", f"s{i % 3}", 1, *range(len(extra))) for i, t in enumerate(texts)]
+    rows += [rows[0], rows[0], (None, texts[5], None, None, None, *range(len(extra))), (None, None, "en", "s1", 0, *range(len(extra)))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} int" for c in extra)
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 0, 0) for i in range(30)], "doc_id long, quality long, toxic long").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    columns, sizes = docs.columns, []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.materialize(stage(spark, docs, str(tmp_path)), "test")
+        assert docs.columns == columns, name
+        sizes.append(docs.count())
+    assert sizes[:3] == [34, 31, 31]  # two repeats and one copy of a text without an id go
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
 def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality long, toxic long").write.parquet(f"{tmp_path}/labels.parquet")
