@@ -117,6 +117,11 @@ def micros_to_millis(x: Column) -> Column:
     return F.floor(x / 1000)
 
 
+def epoch_seconds(text: Column) -> Column:
+    """Epoch seconds of a time's text, with its fraction; null if it isn't one."""
+    return F.unix_micros(F.try_to_timestamp(text)) / F.lit(1e6)
+
+
 def floor_millis(seconds: Column) -> Column:
     """Epoch seconds rounded down to 1 ms."""
     return F.floor(seconds * 1000) / F.lit(1000.0)

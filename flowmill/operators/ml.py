@@ -21,11 +21,13 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowmill.operators import ranks
+
 #: Rows a network or a density clustering is fitted on, at most.
 SAMPLE_ROWS = 20_000
 
 
-def train_forest(rows: DataFrame, features: Sequence[str], label: str, trees: int = 50, depth: int = 8, seed: int = 7, search: bool = False) -> PipelineModel:
+def train_forest(rows: DataFrame, features: Sequence[str], label: str, trees: int = 200, depth: int = 8, seed: int = 7, search: bool = False) -> PipelineModel:
     """A random forest (entropy, sqrt of the features, no bootstrap), optionally chosen by cross-validation over a small grid."""
     forest = RandomForestClassifier(labelCol="__label", featuresCol="__x", numTrees=trees, maxDepth=depth, impurity="entropy", featureSubsetStrategy="sqrt", bootstrap=False, seed=seed)
     last = forest
@@ -47,55 +49,78 @@ def forest_scores(model: PipelineModel, rows: DataFrame) -> DataFrame:
 
 @dataclass
 class Autoencoder:
-    """Variational or plain autoencoder with one hidden layer each way, sigmoid output, in numpy."""
+    """Variational or plain dense autoencoder in numpy: hidden layers of the given widths with ReLU, mirrored in the decoder, and
+    a sigmoid (variational) or ReLU (plain) output."""
 
     size: int
-    hidden: int = 32
-    latent: int = 8
+    hidden: tuple[int, ...] = (512, 512, 1024)
+    latent: int = 100
     variational: bool = True
     seed: int = 7
     p: dict[str, np.ndarray] = field(default_factory=dict)
 
     def __post_init__(self):
         rng = np.random.default_rng(self.seed)
-        shapes = {"w1": (self.size, self.hidden), "wm": (self.hidden, self.latent), "ws": (self.hidden, self.latent), "w2": (self.latent, self.hidden), "w3": (self.hidden, self.size)}
+        down, up = (self.size, *self.hidden), (self.latent, *reversed(self.hidden), self.size)
+        shapes = {f"e{i}": x for i, x in enumerate(zip(down, down[1:]))} | {f"d{i}": x for i, x in enumerate(zip(up, up[1:]))}
+        shapes |= {"m": (down[-1], self.latent)} | ({"s": (down[-1], self.latent)} if self.variational else {})
         if not self.p:
             for name, (a, b) in shapes.items():
-                self.p[name], self.p["b" + name[1:]] = rng.normal(0, np.sqrt(2 / (a + b)), (a, b)), np.zeros(b)
+                self.p["w" + name], self.p["b" + name] = rng.normal(0, np.sqrt(2 / (a + b)), (a, b)), np.zeros(b)
+
+    def _dense(self, x: np.ndarray, name: str) -> np.ndarray:
+        return x @ self.p["w" + name] + self.p["b" + name]
 
     def forward(self, x: np.ndarray, noise: np.ndarray | float = 0.0):
-        p = self.p
-        h = np.maximum(x @ p["w1"] + p["b1"], 0)
-        mean, spread = h @ p["wm"] + p["bm"], np.clip(h @ p["ws"] + p["bs"], -8, 8)
-        z = mean + noise * np.exp(spread / 2)
-        g = np.maximum(z @ p["w2"] + p["b2"], 0)
-        return 1 / (1 + np.exp(-(g @ p["w3"] + p["b3"]))), (h, mean, spread, z, g)
-
-    def fit(self, x: np.ndarray, epochs: int = 40, batch: int = 128, rate: float = 1e-3, decay: float = 1e-5, patience: int = 5) -> "Autoencoder":
-        """Adam on binary cross entropy plus, if variational, the divergence from a unit normal; stops early without progress."""
+        """Reconstruction, then (inputs of the encoder's layers, mean, log variance, inputs of the decoder's layers)."""
+        ins = [x]
+        for i in range(len(self.hidden)):
+            ins.append(np.maximum(self._dense(ins[-1], f"e{i}"), 0))
+        mean = self._dense(ins[-1], "m")
+        spread = np.clip(self._dense(ins[-1], "s"), -8, 8) if self.variational else np.zeros_like(mean)
+        outs = [mean + noise * np.exp(spread / 2)]
+        for i in range(len(self.hidden)):
+            outs.append(np.maximum(self._dense(outs[-1], f"d{i}"), 0))
+        last = self._dense(outs[-1], f"d{len(self.hidden)}")
+        return (1 / (1 + np.exp(-np.clip(last, -30, 30))) if self.variational else np.maximum(last, 0)), (ins, mean, spread, outs)
+
+    def gradients(self, x: np.ndarray, noise: np.ndarray | float = 0.0) -> tuple[float, dict[str, np.ndarray]]:
+        """Loss a row and its gradients: binary cross entropy plus the divergence from a unit normal, or the squared error."""
+        y, (ins, mean, spread, outs) = self.forward(x, noise)
+        grad, n = {}, len(x)
+
+        def back(d: np.ndarray, name: str, before: np.ndarray) -> np.ndarray:
+            grad["w" + name], grad["b" + name] = before.T @ d, d.sum(0)
+            return d @ self.p["w" + name].T
+
+        if self.variational:
+            loss = float(-(x * np.log(y + 1e-9) + (1 - x) * np.log(1 - y + 1e-9)).sum() - 0.5 * (1 + spread - mean**2 - np.exp(spread)).sum()) / n
+            d = (y - x) / n
+        else:
+            loss, d = float(((y - x) ** 2).sum()) / n, 2 * (y - x) * (y > 0) / n
+        for i in range(len(self.hidden), -1, -1):
+            d = back(d, f"d{i}", outs[i])
+            d = d * (outs[i] > 0) if i else d
+        over = back(d + (mean / n if self.variational else 0), "m", ins[-1])
+        if self.variational:
+            over = over + back(d * noise * np.exp(spread / 2) / 2 + (np.exp(spread) - 1) / (2 * n), "s", ins[-1])
+        for i in range(len(self.hidden) - 1, -1, -1):
+            over = back(over * (ins[i + 1] > 0), f"e{i}", ins[i])
+        return loss, grad
+
+    def fit(self, x: np.ndarray, epochs: int = 40, batch: int = 300, rate: float = 1e-3, decay: float = 1e-2, patience: int = 5) -> "Autoencoder":
+        """Adam with decayed weights; stops early without progress."""
         rng, p = np.random.default_rng(self.seed), self.p
         m, v, t, best, stale = {k: 0.0 for k in p}, {k: 0.0 for k in p}, 0, np.inf, 0
         for _ in range(epochs):
             order, total = rng.permutation(len(x)), 0.0
             for at in range(0, len(x), batch):
                 part = x[order[at : at + batch]]
-                noise = rng.normal(size=(len(part), self.latent)) if self.variational else np.zeros((len(part), self.latent))
-                y, (h, mean, spread, z, g) = self.forward(part, noise)
-                total += float(-(part * np.log(y + 1e-9) + (1 - part) * np.log(1 - y + 1e-9)).sum())
-                grad, n = {}, len(part)
-                dy = (y - part) / n
-                grad["w3"], grad["b3"] = g.T @ dy, dy.sum(0)
-                dg = dy @ p["w3"].T * (g > 0)
-                grad["w2"], grad["b2"] = z.T @ dg, dg.sum(0)
-                dz = dg @ p["w2"].T
-                dm = dz + (mean / n if self.variational else 0)
-                ds = dz * noise * np.exp(spread / 2) / 2 + ((np.exp(spread) - 1) / (2 * n) if self.variational else 0)
-                grad["wm"], grad["bm"], grad["ws"], grad["bs"] = h.T @ dm, dm.sum(0), h.T @ ds, ds.sum(0)
-                dh = (dm @ p["wm"].T + ds @ p["ws"].T) * (h > 0)
-                grad["w1"], grad["b1"] = part.T @ dh, dh.sum(0)
+                loss, grad = self.gradients(part, rng.normal(size=(len(part), self.latent)) if self.variational else 0.0)
+                total += loss * len(part)
                 t += 1
                 for k in p:
-                    gk = grad[k] + decay * p[k]
+                    gk = grad[k] + decay * p[k] / len(x)
                     m[k], v[k] = 0.9 * m[k] + 0.1 * gk, 0.999 * v[k] + 0.001 * gk * gk
                     p[k] = p[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
             if total < best * 0.9999:
@@ -105,10 +130,10 @@ class Autoencoder:
         return self
 
     def losses(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        """Per row mean squared error and binary cross entropy of the mean reconstruction; divergence of the batch."""
-        y, (_, mean, spread, _, _) = self.forward(x)
-        bce = -(x * np.log(y + 1e-9) + (1 - x) * np.log(1 - y + 1e-9)).mean(1)
-        return ((x - y) ** 2).mean(1), bce, float(-0.5 * (1 + spread - mean**2 - np.exp(spread)).sum(1).mean())
+        """Per row mean squared error and binary cross entropy of the mean reconstruction; the divergence, summed over the batch."""
+        y, (_, mean, spread, _) = self.forward(x)
+        bce = -(x * np.log(y + 1e-9) + (1 - x) * np.log(np.maximum(1 - y, 0) + 1e-9)).mean(1)
+        return ((x - y) ** 2).mean(1), bce, float(-0.5 * (1 + spread - mean**2 - np.exp(spread)).sum())
 
     def attribution(self, x: np.ndarray) -> np.ndarray:
         """Gradient of the squared error by the reconstruction: which feature makes a row odd."""
@@ -117,21 +142,32 @@ class Autoencoder:
 
 
 def fit_autoencoder(rows: DataFrame, feature: str = "feature", seed: int = 7, epochs: int = 40, **options) -> Autoencoder:
-    """Fit on at most SAMPLE_ROWS rows, those with the smallest hash of their features."""
+    """Fit on at most SAMPLE_ROWS rows, those with the smallest hash of their features (a bound on the driver's memory)."""
     sample = rows.select(feature).orderBy(F.xxhash64(F.lit(seed), F.col(feature).cast("string"))).limit(SAMPLE_ROWS)
     x = np.array([r[0] for r in sample.collect()], float)
     return Autoencoder(x.shape[1], seed=seed, **options).fit(x, epochs)
 
 
-def reconstruction_losses(rows: DataFrame, model: Autoencoder, feature: str = "feature") -> DataFrame:
-    """Adds mse_loss, bce_loss and bce_kd_loss (the batch's divergence is added to each of its rows)."""
+#: Rows whose divergence is summed for bce_kd_loss.
+BATCH = 300
+
+
+def reconstruction_losses(rows: DataFrame, model: Autoencoder, feature: str = "feature", batch: int = BATCH) -> DataFrame:
+    """Adds mse_loss, bce_loss and bce_kd_loss: the divergence, summed over a batch of rows, is added to each row of it.
+
+    Which rows share a batch follows from the table's partitions, so bce_kd_loss repeats only for an equal layout; batch=1 makes it a
+    row's own.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("mse_loss double, bce_loss double, bce_kd_loss double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            mse, bce, kd = shared.value.losses(np.stack([np.asarray(x, float) for x in part])) if len(part) else (np.zeros(0), np.zeros(0), 0.0)
-            yield pd.DataFrame({"mse_loss": mse, "bce_loss": bce, "bce_kd_loss": bce + kd})
+            out = [np.zeros((0, 3))]
+            for at in range(0, len(part), batch):
+                mse, bce, kd = shared.value.losses(np.stack([np.asarray(x, float) for x in part.iloc[at : at + batch]]))
+                out.append(np.stack([mse, bce, bce + kd], 1))
+            yield pd.DataFrame(np.concatenate(out), columns=["mse_loss", "bce_loss", "bce_kd_loss"])
 
     return rows.withColumn("__l", score(F.col(feature))).select("*", "__l.*").drop("__l")
 
@@ -147,22 +183,48 @@ def detect(scored: DataFrame, binary: float = 0.75, known: float = 0.5, anomaly:
     return out.where(F.col("event_name").isNotNull())
 
 
-def threshold_grid(scored: DataFrame, filters: Sequence[float] | None = None, sigmas: Sequence[float] = (1 / 3, 1 / 2, 1, 2, 3)) -> DataFrame:
+def detection_chain(rows: DataFrame, binary: PipelineModel, classes: PipelineModel, network: Autoencoder, features: Sequence[str], thresholds: Sequence[float] = (0.75, 0.5, 0.15), background: str = "background") -> DataFrame:
+    """The online chain on fitted models: rows (flow_id and features) to (flow_id, event_name, metric).
+
+    The binary forest (labels attack, background) picks confident attacks; the forest of classes names them if it is confident
+    and doesn't say background; what either isn't confident of, and what is benign, goes to the network, and is an anomaly if its
+    reconstruction error is high. All three score each row in one pass.
+    """
+    least, known, anomaly = thresholds
+    scored = forest_scores(binary, rows).withColumnsRenamed({"predicted": "attack_name", "confidence": "attack_conf"})
+    scored = forest_scores(classes, scored).withColumnsRenamed({"predicted": "class_name", "confidence": "class_prob"})
+    scored = reconstruction_losses(scored.withColumn("__f", F.array(*[F.col(c).cast("float") for c in features])), network, "__f")
+    attack = F.when(F.col("attack_name") == background, F.lit(0.0)).otherwise(F.col("attack_conf"))
+    scored = scored.select("flow_id", attack.alias("attack_prob"), "class_name", "class_prob", "mse_loss")
+    named = F.when(F.col("class_name") == background, F.lit(0.0)).otherwise(F.col("class_prob"))
+    # A confident attack that the classes confidently call background is reported by neither.
+    neither = (F.col("attack_prob") >= least) & (F.col("class_prob") >= known) & (F.col("class_name") == background)
+    return detect(scored.where(~neither).withColumn("class_prob", named), least, known, anomaly)
+
+
+def threshold_grid(scored: DataFrame, filters: Sequence[float] = (0.8, 0.85, 0.9, 0.95, 1.0), sigmas: Sequence[float] = (1 / 3, 1 / 2, 1, 2, 3)) -> DataFrame:
     """Balanced accuracy (the area under a hard decision's ROC curve) for each filter and detector threshold.
 
-    Columns of `scored`: is_attack 0/1, filter_prob, mse_loss. Detector thresholds are mean + s * deviation of the background's loss.
-    A row over the filter's threshold counts as loss 1. One pass: each row meets the 25 thresholds, then one aggregation.
+    Columns of `scored`: is_attack 0/1, filter_pred 0/1, filter_prob, mse_loss. Detector thresholds are mean + s * deviation of the
+    background's loss. A row that the filter calls an attack, at its threshold or above, counts as loss 1. One pass: each row meets the
+    25 thresholds, then one aggregation.
     """
     stats = scored.where("is_attack = 0").agg(F.avg("mse_loss").alias("m"), F.stddev_samp("mse_loss").alias("s"))
-    grid = stats.select(F.explode(F.array(*[F.lit(float(x)) for x in (filters or (0.5, 0.6, 0.7, 0.8, 0.9))])).alias("filter_threshold"), "m", "s")
+    grid = stats.select(F.explode(F.array(*[F.lit(float(x)) for x in filters])).alias("filter_threshold"), "m", "s")
     grid = grid.select("filter_threshold", F.explode(F.array(*[F.col("m") + F.coalesce("s", F.lit(0.0)) * float(x) for x in sigmas])).alias("detector_threshold"))
-    loss = F.when(F.col("filter_prob") >= F.col("filter_threshold"), F.lit(1.0)).otherwise(F.col("mse_loss"))
+    fires = (F.col("filter_pred") == 1) & (F.col("filter_prob") >= F.col("filter_threshold"))
+    loss = F.when(fires, F.lit(1.0)).otherwise(F.col("mse_loss"))
     hit = (loss >= F.col("detector_threshold")).cast("int")
     rows = scored.crossJoin(F.broadcast(grid)).select("filter_threshold", "detector_threshold", "is_attack", hit.alias("hit"))
     rate = lambda y: F.avg(F.when(F.col("is_attack") == y, F.when(F.col("hit") == y, 1.0).otherwise(0.0)))
     return rows.groupBy("filter_threshold", "detector_threshold").agg(((rate(1) + rate(0)) / 2).alias("auc"))
 
 
+def best_thresholds(grid: DataFrame) -> DataFrame:
+    """The pair of thresholds with the greatest area; of equal ones the least detector threshold, then the least filter threshold."""
+    return grid.orderBy(F.col("auc").desc(), "detector_threshold", "filter_threshold").limit(1)
+
+
 def confusion(rows: DataFrame, truth: str, found: str) -> DataFrame:
     return rows.groupBy(truth, found).agg(F.count("*").alias("n"))
 
@@ -179,13 +241,10 @@ def report(rows: DataFrame, truth: str, found: str) -> DataFrame:
 
 
 def roc_auc(rows: DataFrame, label: str, score: str) -> DataFrame:
-    """Area under the ROC curve by rank sums; equal scores share their mean rank. Counts per score are aggregated first."""
-    from pyspark.sql import Window
-
+    """Area under the ROC curve by rank sums; equal scores share their mean rank. Counts per score are aggregated first, and
+    ranked in ranges of scores."""
     per = rows.groupBy(score).agg(F.sum(label).alias("pos"), F.count("*").alias("n"))
-    # One row per distinct score; scores of a bounded precision keep this small.
-    before = F.coalesce(F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = per.withColumn("rank", before + (F.col("n") + 1) / 2)
+    ranked = ranks.before(per, score, "n", name="rank").withColumn("rank", F.col("rank") + (F.col("n") + 1) / 2)
     total = ranked.agg(F.sum(F.col("rank") * F.col("pos")).alias("r"), F.sum("pos").alias("p"), F.sum("n").alias("t"))
     return total.select(F.try_divide(F.col("r") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * (F.col("t") - F.col("p"))).alias("auc"))
 
@@ -205,6 +264,14 @@ def kmeans_grid(rows: DataFrame, features: Sequence[str], ks: Sequence[int], see
     return rows.sparkSession.createDataFrame(found, "k int, inertia double"), centres
 
 
+def few_rows(rows: DataFrame, columns: Sequence[str]) -> np.ndarray:
+    """A table of addresses as a matrix for dbscan and k_medoids, which compare all rows on the driver: SAMPLE_ROWS at most, else an error."""
+    got = rows.select(*[F.col(c).cast("double") for c in columns]).limit(SAMPLE_ROWS + 1).toArrow()
+    if got.num_rows > SAMPLE_ROWS:
+        raise ValueError(f"more than {SAMPLE_ROWS} rows; cluster them with kmeans_grid")
+    return np.stack([got[c].to_numpy() for c in columns], 1)
+
+
 def dbscan(x: np.ndarray, eps: float, least: int) -> np.ndarray:
     """Density clustering of a bounded matrix; -1 is noise."""
     near = [np.flatnonzero(((x - row) ** 2).sum(1) <= eps * eps) for row in x]
@@ -226,7 +293,8 @@ def dbscan(x: np.ndarray, eps: float, least: int) -> np.ndarray:
 def k_medoids(x: np.ndarray, k: int, seed: int = 7, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
     """Labels and medoid rows of a bounded matrix by alternating assignment and medoid choice."""
     rng = np.random.default_rng(seed)
-    apart = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(2))
+    square = (x**2).sum(1)
+    apart = np.sqrt(np.maximum(square[:, None] + square[None, :] - 2 * x @ x.T, 0))
     medoids = rng.choice(len(x), k, replace=False)
     for _ in range(rounds):
         label = apart[:, medoids].argmin(1)
@@ -237,18 +305,18 @@ def k_medoids(x: np.ndarray, k: int, seed: int = 7, rounds: int = 50) -> tuple[n
     return apart[:, medoids].argmin(1), medoids
 
 
-def quantile_uniform(rows: DataFrame, columns: Sequence[str], knots: int = 100) -> DataFrame:
+def quantile_uniform(rows: DataFrame, columns: Sequence[str], knots: int = 1000) -> DataFrame:
     """Map each column to its quantile in [0, 1] by linear interpolation between exact percentile knots."""
     steps = [i / knots for i in range(knots + 1)]
-    got = rows.agg(*[F.percentile(c, steps).alias(c) for c in columns]).first()  # knots per column
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns])
+    values = rows.select(F.explode(cells).alias("x")).select("x.*").where("v is not null")
+    got = {r["feature"]: r["q"] for r in ranks.quantiles(values, steps, ["feature"]).collect()}  # knots per column
 
     def mapped(c: str):
-        edges, out = got[c], None
-        for i, (a, b) in enumerate(zip(edges, edges[1:])):
-            if b > a:
-                inside = (i + (F.col(c) - a) / (b - a)) / knots
-                out = F.when(F.col(c) <= b, inside) if out is None else out.when(F.col(c) <= b, inside)
-        return F.least(F.greatest(out.otherwise(F.lit(1.0)) if out is not None else F.lit(0.0), F.lit(0.0)), F.lit(1.0))
+        v, edges = F.col(c).cast("double"), F.array(*[F.lit(float(x)) for x in got.get(c, [])]).cast("array<double>")
+        below = F.size(F.filter(edges, lambda e: e < v))  # the value lies over the knot before, at or under the one after
+        a, b = F.try_element_at(edges, below), F.try_element_at(edges, below + 1)
+        return F.when(v.isNull(), F.lit(None)).when(below == 0, F.lit(0.0)).otherwise(F.coalesce((below - 1 + (v - a) / (b - a)) / knots, F.lit(1.0)))
 
     return rows.withColumns({c: mapped(c) for c in columns})
 

@@ -13,10 +13,10 @@ from flowmill.operators.aggregates import entropy_of_counts
 CATEGORIES = len(ports.CATEGORY_IDS)
 #: 2^12 buckets keep the sketch's error under 2 %, well inside the 5 % asked for.
 SKETCH_BITS = 12
-#: Sketched distinct counts: name and the columns whose joined values are counted.
+#: Distinct counts, sketched or exact: name and the columns whose joined values are counted.
 DISTINCT = {
-    "num_src_ports": ("port_src",), "num_dst_ports": ("port_dst",), "num_dst_ips": ("ip_dst",), "num_dst_ip_src_cats": ("ip_dst", "src_cat"),
-    "num_dst_ip_dst_cats": ("ip_dst", "dst_cat"),
+    "num_uniques_src_port_dst_port": ("port_src", "port_dst"), "num_uniques_dst_ip": ("ip_dst",), "num_uniques_dst_ip_src_port_category": ("ip_dst", "src_cat"),
+    "num_uniques_dst_ip_dst_port_category": ("ip_dst", "dst_cat"), "num_uniques_dst_ip_src_port_category_dst_port_category": ("ip_dst", "src_cat", "dst_cat"),
 }
 
 
@@ -61,14 +61,20 @@ def merge_profiles(profiles: DataFrame) -> DataFrame:
 
 
 def profile_features(merged: DataFrame) -> DataFrame:
-    """Port-category entropies (natural logarithm, of the address's flows), byte ratio and totals."""
+    """Port-category entropies (natural logarithm) and probabilities of the address's flows, byte ratio and totals."""
     out = merged.withColumn("in_out_bytes_ratio", F.col("in_bytes") / (F.col("out_bytes") + 1)).withColumn("num_total_bytes", F.col("in_bytes") + F.col("out_bytes"))
     for side in ("src", "dst"):
         n = F.array(*[F.col(f"num_{side}_ports_cat_{i}").cast("double") for i in range(CATEGORIES)])
         p = F.transform(n, lambda x: x / F.col("num_flows"))
         h = F.aggregate(p, F.lit(0.0), lambda a, x: a - F.when(x > 0, x * F.log(x)).otherwise(F.lit(0.0)))
         out = out.withColumn(f"{side}_ports_entropy", h)
-    return out
+    shares = {f"{side}_port_probability_{i}": F.col(f"num_{side}_ports_cat_{i}") / F.col("num_flows") for side in ("src", "dst") for i in range(CATEGORIES)}
+    return out.withColumns(shares)
+
+
+def busy_addresses(features: DataFrame, more_than: int = 1) -> DataFrame:
+    """Addresses with more than so many flows: the rest tell too little to be clustered."""
+    return features.where(F.col("num_flows") > more_than)
 
 
 def bytes_by_hour(profiles: DataFrame) -> DataFrame:

@@ -7,6 +7,11 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowmill.operators import ranks
+
+#: Buckets in which the rows of a label are numbered.
+BUCKETS = 1024
+
 
 def draw(seed: int, *keys: str) -> Column:
     """Uniform in [0, 1) from a hash of the keys."""
@@ -38,23 +43,28 @@ def stratified_cap(rows: DataFrame, cap: int, seed: int, keys: list[str], strata
 def balanced(rows: DataFrame, per_label: int, seed: int, keys: list[str], label: str = "label", background: str = "background") -> DataFrame:
     """Draw `per_label` rows with replacement from each attack label and as many in all from the background; adds `binary` 0/1.
 
-    Rows are numbered per label; each draw picks a number by hash and joins it.
+    Rows are dealt to BUCKETS by hash and numbered in each, so no task sees all rows of a label; each draw picks a place among the
+    label's rows by hash, which names a bucket and a number in it.
     """
-    order = Window.partitionBy(label).orderBy(*keys)
-    numbered = rows.withColumn("__r", F.row_number().over(order) - 1)
-    sizes = rows.groupBy(label).agg(F.count("*").alias("__size"))
+    rows = rows.withColumn("__b", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)))
+    numbered = rows.withColumn("__r", F.row_number().over(Window.partitionBy(label, "__b").orderBy(*keys)) - 1)
+    counts = rows.groupBy(label, "__b").agg(F.count("*").alias("__n"))
+    upto = F.sum("__n").over(Window.partitionBy(label).orderBy("__b"))  # BUCKETS rows a label
+    ends = counts.withColumn("__end", upto).groupBy(label).agg(F.sort_array(F.collect_list(F.struct("__end", "__b", "__n"))).alias("__ends"), F.sum("__n").alias("__size"))
+    sizes = ends
     attacks = sizes.agg(F.count_if(F.col(label) != background)).first()[0]
     wanted = F.when(F.col(label) == background, F.lit(per_label * attacks)).otherwise(F.lit(per_label))
     draws = sizes.withColumn("__d", F.explode(F.sequence(F.lit(1), F.greatest(wanted, F.lit(1))))).where(wanted > 0)
-    draws = draws.withColumn("__r", F.pmod(F.xxhash64(F.lit(seed), label, "__d"), F.col("__size")).cast("int")).select(label, "__r", "__d")
-    return draws.join(numbered, [label, "__r"]).withColumn("binary", (F.col(label) != background).cast("int")).drop("__r", "__d")
+    draws = draws.withColumn("__p", F.pmod(F.xxhash64(F.lit(seed), label, "__d"), F.col("__size")))
+    draws = draws.withColumn("__e", F.element_at(F.filter("__ends", lambda e: e["__end"] > F.col("__p")), 1))
+    draws = draws.select(label, F.col("__e.__b").alias("__b"), (F.col("__p") - F.col("__e.__end") + F.col("__e.__n")).cast("int").alias("__r"), "__d")
+    return draws.join(numbered, [label, "__b", "__r"]).withColumn("binary", (F.col(label) != background).cast("int")).drop("__b", "__r", "__d")
 
 
 def split_addresses(activity: DataFrame, low: int, high: int, technique: str, ratio: float = 8 / 3, seed: int = 0) -> DataFrame:
     """Addresses with activity in [low, high], ordered by technique, dealt to train and test: every (round(ratio)+1)-th is test."""
-    orders = {"mostactive": [F.col("packets").desc(), F.col("ip")], "leastactive": [F.col("packets"), F.col("ip")], "random": [draw(seed, "ip"), F.col("ip")]}
+    orders = {"mostactive": -F.col("packets"), "leastactive": F.col("packets"), "random": draw(seed, "ip")}
     step = round(ratio) + 1
-    chosen = activity.where(F.col("packets").between(low, high))
-    # The list of active addresses of one site is ranked as a whole.
-    rank = F.row_number().over(Window.orderBy(*orders[technique]))
-    return chosen.withColumn("part", F.when(F.pmod(rank, F.lit(step)) == 0, "test").otherwise("train"))
+    chosen = activity.where(F.col("packets").between(low, high)).withColumn("__o", orders[technique])
+    ranked = ranks.before(chosen, "__o", ties=["ip"], name="__rank")
+    return ranked.withColumn("part", F.when(F.pmod(F.col("__rank") + 1, F.lit(step)) == 0, "test").otherwise("train")).drop("__o", "__rank")

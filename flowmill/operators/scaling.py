@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowmill.operators import ranks
+
 PERCENTILES = (25, 50, 75, 85, 87.5, 90, 92.5, 95, 100)
 
 
@@ -17,18 +19,23 @@ def percent_key(p: float) -> str:
 def describe(rows: DataFrame, columns: Sequence[str], nonzero: Sequence[str] = (), exact: bool = True) -> DataFrame:
     """One row per column: count, mean, std, min, max and percentiles; of `nonzero` columns only values other than 0 count.
 
-    exact=False uses a bounded quantile sketch instead of sorting each column's values.
+    Exact percentiles rank the distinct values of each column over the cluster (ranks.quantiles); exact=False uses a bounded
+    quantile sketch, which needs no shuffle of the values.
     """
     def value(c: str) -> Column:
         return F.nullif(F.col(c).cast("double"), F.lit(0.0)) if c in nonzero else F.col(c).cast("double")
 
     points = [p / 100 for p in PERCENTILES]
-    ranks = lambda v: F.percentile(v, points) if exact else F.percentile_approx(v, points, 10_000)
     parts = []
     for c in columns:
         v = value(c)
-        parts.append(F.struct(F.lit(c).alias("feature"), F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), ranks(v).alias("q")))
+        sketch = [] if exact else [F.percentile_approx(v, points, 10_000).alias("q")]
+        parts.append(F.struct(F.lit(c).alias("feature"), F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), *sketch))
     out = rows.agg(F.array(*parts).alias("a")).select(F.explode("a").alias("x")).select("x.*")
+    if exact:
+        cells = F.array(*[F.struct(F.lit(c).alias("feature"), value(c).alias("v")) for c in columns])
+        values = rows.select(F.explode(cells).alias("x")).select("x.*").where("v is not null")
+        out = out.join(F.broadcast(ranks.quantiles(values, points, ["feature"])), "feature", "left")  # one row a column
     return out.select("feature", "n", "mean", "std", "min", "max", *[F.element_at("q", i + 1).alias(percent_key(p)) for i, p in enumerate(PERCENTILES)])
 
 
@@ -42,7 +49,7 @@ def _safe(x: float) -> float:
 
 
 def scaled(value: Column, config: Mapping, top: str = "max") -> Column:
-    """One feature by its config. `top` may name a percentile such as 90% instead of the maximum; null becomes 0."""
+    """One feature by its config. `top` may name a percentile such as 90% instead of the maximum; null and NaN become 0."""
     kind, high = config["scaling_type"], config.get(top)
     v = value.cast("double")
     if kind == "absmax":
@@ -57,7 +64,7 @@ def scaled(value: Column, config: Mapping, top: str = "max") -> Column:
         v = (v - config["50%"]) / _safe(config["75%"] - config["25%"])
     elif kind == "bin":
         v = (v > config["threshold"]).cast("double")
-    return F.coalesce(v, F.lit(0.0))
+    return F.coalesce(F.nanvl(v, F.lit(0.0)), F.lit(0.0))
 
 
 def unscaled(value: Column, config: Mapping, top: str = "max") -> Column:

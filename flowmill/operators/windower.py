@@ -21,7 +21,11 @@ from flowmill.functions import ports, scalars
 
 @dataclass(frozen=True)
 class Settings:
-    """Times in ms. strict_compat counts SCTP as any other protocol and a port sample's unused slots as port 0, as trained models expect."""
+    """Times in ms. strict_compat counts SCTP as any other protocol and a port sample's unused slots as port 0, as trained models expect.
+
+    A seed makes the port sample a uniform one of `samples` flows; without it all flows are in it. ordered_bpf gives bpf_std as some models
+    were trained with it: the running sum, in order of arrival, of (bytes - mean bytes before) (bytes - mean bytes a packet so far).
+    """
 
     window_ms: int = 2000
     min_flows: int = 2
@@ -31,6 +35,8 @@ class Settings:
     longest_flow_ms: int = 2000
     samples: int = 30
     strict_compat: bool = True
+    seed: int | None = None
+    ordered_bpf: bool = False
 
 
 #: Statistics of a closed window that are averaged over windows, in output order; the others have their own summary.
@@ -66,7 +72,8 @@ def assign_windows(flows: DataFrame, window_ms: int, first_ms: int | None = None
     """Adds window_id. `first_ms` anchors the grid (default: the least end).
 
     With `late`, ids are a running maximum in arrival order: per chunk of arrival numbers, with the maximum of the earlier
-    chunks from a table of one row per chunk, so no task sees all flows. Without it, ids follow each flow's own end.
+    chunks from a table of one row per chunk, so no task sees all flows (a trillion of them make 200,000 rows of that table). Without it,
+    ids follow each flow's own end.
     """
     if first_ms is None:
         flows = flows.crossJoin(F.broadcast(flows.agg(F.min("end_ms").alias("__t0"))))  # one row
@@ -80,126 +87,147 @@ def assign_windows(flows: DataFrame, window_ms: int, first_ms: int | None = None
     earlier = flows.groupBy("__chunk").agg(F.max("window_id").alias("__top"))
     earlier = earlier.withColumn("__before", F.max("__top").over(Window.orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1))).drop("__top")
     running = F.max("window_id").over(Window.partitionBy("__chunk").orderBy("arrival_seq").rowsBetween(Window.unboundedPreceding, 0))
-    flows = flows.withColumn("window_id", running).join(F.broadcast(earlier), "__chunk")
+    flows = flows.withColumn("window_id", running).join(earlier, "__chunk")
     return flows.withColumn("window_id", F.greatest("window_id", F.coalesce("__before", F.lit(0)))).drop("__chunk", "__before")
 
 
-def concurrency(flows: DataFrame, keys: list[str]) -> DataFrame:
-    """Most flows open at once per key: +1 at starts, -1 at ends, ends first at ties (half-open intervals)."""
-    steps = flows.select(*keys, F.explode(F.array(F.struct(F.col("start_ms").alias("at"), F.lit(1).alias("step")), F.struct(F.col("end_ms").alias("at"), F.lit(-1).alias("step")))).alias("s"))
-    order = Window.partitionBy(*keys).orderBy("s.at", "s.step").rowsBetween(Window.unboundedPreceding, 0)
-    open_now = steps.select(*keys, F.sum("s.step").over(order).alias("n"))
-    return open_now.groupBy(*keys).agg(F.greatest(F.max("n"), F.lit(0)).cast("long").alias("flows_concurrent_max"))
-
+def _marked(flows: DataFrame, settings: Settings) -> DataFrame:
+    """Two rows a flow, its start with all its columns and its end, beside what its neighbours in (ip_src, window_id) say.
 
-def inter_arrival(flows: DataFrame, keys: list[str], longest_ms: int) -> DataFrame:
-    """Gaps in seconds between starts of flows that are not longer than longest_ms; no gap gives zeros."""
-    short = flows.where(F.col("end_ms") - F.col("start_ms") <= longest_ms)
-    gap = (F.col("start_ms") - F.lag("start_ms").over(Window.partitionBy(*keys).orderBy("start_ms", "end_ms"))) / F.lit(1000.0)
-    zero = lambda x: F.coalesce(x, F.lit(0.0))
-    return short.select(*keys, gap.alias("gap")).groupBy(*keys).agg(
-        zero(F.avg("gap")).alias("flows_itimes_avg"), zero(F.stddev_samp("gap")).alias("flows_itimes_std"),
-        zero(F.min("gap")).alias("flows_itimes_min"), zero(F.max("gap")).alias("flows_itimes_max"),
-    )
-
-
-def port_entropy(flows: DataFrame, keys: list[str], samples: int = 30, strict_compat: bool = True, seed: int | None = None) -> DataFrame:
-    """Natural-log entropy of port_src per key.
-
-    strict_compat counts the sample's unused slots as port 0 while there are fewer flows than slots; the histogram
-    beyond that is exact, or with a seed that of a uniform sample of as many flows as there are slots.
+    open: flows open after the event (ends first at ties, so intervals are half-open). gap: seconds since the start before, among
+    flows that are not longer than longest_flow_ms. same_port, same_dst: flows of the same port or destination; sampled: whether the
+    flow's port is in the port sample, same_sampled: how many of the sample have it. One exchange by (ip_src, window_id) serves all.
     """
-    if seed is not None:
-        order = Window.partitionBy(*keys).orderBy(F.xxhash64(F.lit(seed), "arrival_seq"), "arrival_seq")
-        flows = flows.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= samples).drop("__r")
-    counts = flows.groupBy(*keys, "port_src").agg(F.count("*").alias("n"))
-    total = Window.partitionBy(*keys)
-    counts = counts.withColumn("all", F.sum("n").over(total))
-    if strict_compat:
-        spare = F.greatest(F.lit(samples) - F.col("all"), F.lit(0))
-        zero = F.max((F.col("port_src") == 0).cast("int")).over(total)
-        counts = counts.withColumn("spare", spare).withColumn("has_zero", zero)
-        counts = counts.withColumn("n", F.when(F.col("port_src") == 0, F.col("n") + F.col("spare")).otherwise(F.col("n")))
-        counts = counts.withColumn("all", F.col("all") + F.col("spare"))
-    p = F.col("n") / F.col("all")
-    out = counts.groupBy(*keys).agg((-F.sum(p * F.log(p))).alias("h"), *([F.max(F.when((F.col("has_zero") == 0) & (F.col("spare") > 0), F.col("spare") / F.col("all"))).alias("q")] if strict_compat else []))
-    h = F.col("h") - F.coalesce(F.col("q") * F.log("q"), F.lit(0.0)) if strict_compat else F.col("h")
-    return out.select(*keys, h.alias("port_src_entropy"))
+    keys = ["ip_src", "window_id"]
+    event = F.explode(F.array(F.struct(F.col("start_ms").alias("at"), F.lit(1).alias("step")), F.struct(F.col("end_ms").alias("at"), F.lit(-1).alias("step"))))
+    kept = [c for c in flows.columns if c not in (*keys, "start_ms", "end_ms")]
+    rows = flows.withColumn("__short", F.col("end_ms") - F.col("start_ms") <= settings.longest_flow_ms).select(*keys, *kept, "__short", event.alias("e"))
+    starts = F.col("step") == 1
+    rows = rows.select(*keys, "e.at", "e.step", "__short", *kept).select(*keys, "at", "step", *[F.when(starts, F.col(c)).alias(c) for c in ("__short", *kept)])
+    in_time = Window.partitionBy(*keys).orderBy("at", "step")
+    short = F.when(F.col("__short"), F.col("at"))
+    rows = rows.withColumn("open", F.sum("step").over(in_time.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("gap", (short - F.last(short, True).over(in_time.rowsBetween(Window.unboundedPreceding, -1))) / F.lit(1000.0))
+    if settings.seed is None:
+        rows = rows.withColumn("sampled", starts)
+    else:
+        drawn = Window.partitionBy(*keys, "step").orderBy(F.xxhash64(F.lit(settings.seed), "arrival_seq"), "arrival_seq")
+        rows = rows.withColumn("sampled", starts & (F.row_number().over(drawn) <= settings.samples))
+    if settings.ordered_bpf:
+        so_far = Window.partitionBy(*keys, "step").orderBy("arrival_seq")
+        before = F.coalesce(F.avg("bytes").over(so_far.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+        rows = rows.withColumn("bpf_part", (F.col("bytes") - before) * (F.col("bytes") - F.avg("bpp").over(so_far.rowsBetween(Window.unboundedPreceding, 0))))
+    by_port = Window.partitionBy(*keys, "port_src")
+    rows = rows.withColumn("same_port", F.count_if(starts).over(by_port)).withColumn("same_sampled", F.count_if("sampled").over(by_port))
+    return rows.withColumn("same_dst", F.count_if(starts).over(Window.partitionBy(*keys, "ip_dst")))
+
+
+def _port_entropy(settings: Settings) -> Column:
+    """Natural-log entropy of the port sample: log N - sum over its flows of log(flows of the same port) / N.
+
+    strict_compat counts the sample's unused slots as port 0 while there are fewer flows than slots. Without a seed all flows
+    are counted, with one a uniform sample of as many flows as there are slots.
+    """
+    used = F.count_if("sampled").cast("double")
+    if not settings.strict_compat:
+        return F.greatest(F.log(used) - F.sum(F.when(F.col("sampled"), F.log("same_sampled"))) / used, F.lit(0.0))
+    spare = F.greatest(F.lit(float(settings.samples)) - used, F.lit(0.0))
+    is_zero = F.coalesce(F.col("port_src") == 0, F.lit(False))
+    others = F.coalesce(F.sum(F.when(F.col("sampled") & ~is_zero, F.log("same_sampled"))), F.lit(0.0))
+    zeros = F.count_if(F.col("sampled") & is_zero) + spare
+    return F.greatest(F.log(used + spare) - (others + F.when(zeros > 0, zeros * F.log(zeros)).otherwise(F.lit(0.0))) / (used + spare), F.lit(0.0))
 
 
 def window_stats(flows: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """One row per (ip_src, window_id) with WINDOW_COLUMNS."""
-    keys = ["ip_src", "window_id"]
-    flows = flows.repartition(*keys)  # one exchange that the four aggregations below share
+    """One row per (ip_src, window_id) with WINDOW_COLUMNS: the flows are shuffled once, and the final aggregation needs no exchange."""
     variance = lambda c: F.coalesce(F.var_samp(c), F.lit(0.0))
-    base = flows.groupBy(*keys).agg(
-        F.count("*").alias("flows_total"), F.sum("dur").alias("dur_total"), F.avg("dur").alias("dur_avg"), variance("dur").alias("dur_std"),
+    zero = lambda x: F.coalesce(x, F.lit(0.0))
+    # Each of n equal values counts 1 / n.
+    distinct = lambda c, n: F.round(F.coalesce(F.sum(F.when(F.col(c).isNotNull(), 1 / F.col(n))), F.lit(0.0))).cast("long")
+    out = _marked(flows, settings).groupBy("ip_src", "window_id").agg(
+        F.count_if(F.col("step") == 1).alias("flows_total"), F.greatest(F.max("open"), F.lit(0)).cast("long").alias("flows_concurrent_max"),
+        zero(F.avg("gap")).alias("flows_itimes_avg"), zero(F.stddev_samp("gap")).alias("flows_itimes_std"), zero(F.min("gap")).alias("flows_itimes_min"),
+        zero(F.max("gap")).alias("flows_itimes_max"), F.sum("dur").alias("dur_total"), F.avg("dur").alias("dur_avg"), variance("dur").alias("dur_std"),
         F.sum("packets").alias("pkt_total"), F.avg("packets").alias("ppf_avg"), variance("packets").alias("ppf_std"),
-        F.sum("bytes").alias("bytes_total"), F.avg("bytes").alias("bpf_avg"), variance("bytes").alias("bpf_std"),
+        F.sum("bytes").alias("bytes_total"), F.avg("bytes").alias("bpf_avg"),
+        (F.coalesce(F.try_divide(F.sum("bpf_part"), F.count("bpf_part") - 1), F.lit(0.0)) if settings.ordered_bpf else variance("bytes")).alias("bpf_std"),
         F.avg("bpp").alias("bpp_avg"), variance("bpp").alias("bpp_std"), F.avg("bps").alias("bps_avg"), variance("bps").alias("bps_std"),
-        F.avg("pps").alias("pps_avg"), variance("pps").alias("pps_std"), F.count_distinct("port_src").alias("port_src_uniq_cnt"),
-        F.bit_or("proto").cast("long").alias("proto_all_or"), F.avg("syn").alias("flag_syn_ratio"), F.avg("ack").alias("flag_ack_ratio"),
-        F.avg("fin").alias("flag_fin_ratio"), F.count_distinct("ip_dst").alias("ip_dst_uniq"), F.avg("hdr").alias("hdr_payload_ratio_avg"),
-        variance("ttl").alias("ttl_std"),
+        F.avg("pps").alias("pps_avg"), variance("pps").alias("pps_std"), distinct("port_src", "same_port").alias("port_src_uniq_cnt"),
+        _port_entropy(settings).alias("port_src_entropy"), F.bit_or("proto").cast("long").alias("proto_all_or"), F.avg("syn").alias("flag_syn_ratio"),
+        F.avg("ack").alias("flag_ack_ratio"), F.avg("fin").alias("flag_fin_ratio"), distinct("ip_dst", "same_dst").alias("ip_dst_uniq"),
+        F.avg("hdr").alias("hdr_payload_ratio_avg"), variance("ttl").alias("ttl_std"),
     )
-    out = base.join(concurrency(flows, keys), keys).join(port_entropy(flows, keys, settings.samples, settings.strict_compat), keys)
-    out = out.join(inter_arrival(flows, keys, settings.longest_flow_ms), keys, "left").na.fill(0.0, [c for c in WINDOW_COLUMNS if "itimes" in c])
-    return out.select(*keys, *WINDOW_COLUMNS)
+    return out.select("ip_src", "window_id", *WINDOW_COLUMNS)
+
+
+#: Columns whose sums over windows are kept: those with a deviation first.
+SUMMED = (*DEVIATIONS, *[c for c in WINDOW_COLUMNS if c not in DEVIATIONS and c not in SUMMARY])
 
 
 def history(stats: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """One row per (ip_src, window_id): the summary of the source's closed windows before it; zeros if there are too few.
 
-    The range of the timeout and the limit on windows can't be one frame: the closed windows are numbered, and
-    a window at the range's end bounds how far back the numbers go. Whole-number statistics are truncated after averaging.
+    Means and deviations are differences of running sums and sums of squares between the last closed window before and the last
+    one too old or beyond max_windows, so a row costs the same however many windows count; only the extremes walk a frame. Sums are decimal,
+    of values as shares of the source's greatest, so that the differences are exact, even zero, however large earlier values were. A
+    value that isn't finite counts as 0. Whole-number statistics are truncated after averaging.
     """
+    whole = len(str(settings.max_windows))
+    scale = (37 - 2 * whole) // 2  # so that a number of windows times their sum of squares has 38 digits
     closed = F.col("flows_total") >= settings.min_flows
-    by_ip = Window.partitionBy("ip_src").orderBy("window_id")
-    reach = by_ip.rangeBetween(-settings.timeout, -1)
-    fields = F.struct("window_id", *WINDOW_COLUMNS)
-    rows = stats.withColumn("h", F.collect_list(F.when(closed, fields)).over(reach))
-    n = F.size("h")
-    rows = rows.withColumn("h", F.slice("h", F.greatest(n - settings.max_windows + 1, F.lit(1)), settings.max_windows))
-    return summarise(rows, settings)
-
-
-def _mean(name: str) -> Column:
-    values = F.transform(F.col("h"), lambda x: x[name].cast("double"))
-    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size("h")
-
-
-def _deviation(name: str) -> Column:
-    """Population standard deviation, two passes over at most max_windows values."""
-    values = F.transform(F.col("h"), lambda x: x[name].cast("double"))
-    mean = F.col(f"__mean_{name}")
-    return F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / F.size("h"))
-
-
-def summarise(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Summary and inter-window columns from the array h of closed windows."""
-    enough = F.size("h") > settings.min_windows
-    rows = rows.withColumn("h", F.when(enough, F.col("h"))).select("ip_src", "window_id", "h", *[_mean(c).alias(f"__mean_{c}") for c in WINDOW_COLUMNS])
-
-    def summary(name: str) -> Column:
-        values = F.transform(F.col("h"), lambda x: x[name])
-        kind = SUMMARY.get(name)
-        if kind == "max":
-            out = F.array_max(values)
-        elif kind == "min":
-            out = F.array_min(values)
-        elif kind == "bit_or":
-            out = F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
+    of_ip = Window.partitionBy("ip_src")
+    by_ip = of_ip.orderBy("window_id")
+    so_far, first = by_ip.rowsBetween(Window.unboundedPreceding, 0), Window.unboundedPreceding
+    own = lambda c: F.when(closed & (F.abs(F.col(c).cast("double")) < float("inf")), F.col(c).cast("double"))
+    rows = stats.withColumns({f"__top_{c}": F.coalesce(F.nullif(F.max(F.abs(own(c))).over(of_ip), F.lit(0.0)), F.lit(1.0)) for c in SUMMED})
+    rows = rows.withColumns({f"__own_{c}": F.coalesce(own(c) / F.col(f"__top_{c}"), F.lit(0.0)).cast(f"decimal({scale + 1},{scale})") for c in SUMMED})
+    added = lambda x: F.sum(F.when(closed, x)).over(so_far)
+    sums = F.array(*[added(F.col(f"__own_{c}")) for c in SUMMED])
+    squares = F.array(*[added(F.col(f"__own_{c}") * F.col(f"__own_{c}")).cast(f"decimal(37,{2 * scale})") for c in DEVIATIONS])
+    exact = F.array(*[added(F.col(c).cast("long")) for c in WHOLE])
+    place = F.count_if(closed).over(so_far)
+    # Closed windows have even places, others the odd one after the last closed window, so that a range of places holds a number of closed ones.
+    rows = rows.select(
+        "ip_src", "window_id", *SUMMARY, F.array(*[F.col(f"__top_{c}") for c in SUMMED]).alias("top"), closed.alias("closed"), (2 * place + F.when(closed, 0).otherwise(1)).alias("place"),
+        F.when(closed, F.struct(place.alias("n"), sums.alias("s"), squares.alias("q"), exact.alias("w"))).alias("sums"),
+    )
+    by_place = of_ip.orderBy("place")
+    kept = {"id": F.when(F.col("closed"), F.col("window_id"))} | {c: F.when(F.col("closed"), F.col(c)) for c in SUMMARY}
+    fold = {"id": F.min} | {c: {"max": F.max, "min": F.min, "bit_or": F.bit_or}[kind] for c, kind in SUMMARY.items()}
+    frame = lambda w: F.struct(*[fold[c](x).over(w).alias(c) for c, x in kept.items()])
+    last = lambda w: F.last("sums", True).over(w)
+    rows = rows.withColumns({"now": last(by_ip.rangeBetween(first, -1)), "old": last(by_ip.rangeBetween(first, -settings.timeout - 1)), "latest": F.max(kept["id"]).over(by_ip.rangeBetween(first, -1)), "timed": frame(by_ip.rangeBetween(-settings.timeout, -1))})
+    rows = rows.withColumns({"beyond": last(by_place.rangeBetween(first, -2 * settings.max_windows - 1)), "placed": frame(by_place.rangeBetween(-2 * settings.max_windows, -1))})
+
+    capped = F.coalesce(F.col("now.n") - F.coalesce("old.n", F.lit(0)) > settings.max_windows, F.lit(False))
+    rows = rows.select("ip_src", "window_id", "top", "now", "latest", F.when(capped, F.col("beyond")).otherwise(F.col("old")).alias("from"), F.when(capped, F.col("placed")).otherwise(F.col("timed")).alias("seen"))
+    rows = rows.withColumn("n", F.coalesce(F.col("now.n") - F.coalesce("from.n", F.lit(0)), F.lit(0)))
+
+    def between(name: str, kind: str) -> Column:
+        """What was added to running sums since `from`."""
+        return F.transform(F.col(f"now.{name}"), lambda x, i: (x - F.coalesce(F.get(F.col(f"from.{name}"), i), F.lit(0).cast(kind))).cast(kind))
+
+    one, two = f"decimal({whole + scale},{scale})", f"decimal({whole + 2 * scale},{2 * scale})"
+    enough = F.col("n") > settings.min_windows
+    rows = rows.select("ip_src", "window_id", "top", "n", "seen", "latest", *[F.when(enough, x).alias(c) for c, x in (("s", between("s", one)), ("q", between("q", two)), ("w", between("w", "bigint")))])
+    n = F.col("n").cast(f"decimal({whole + 1},0)")
+    spread = F.transform("q", lambda x, i: F.sqrt(F.greatest((n * x - F.get("s", i) * F.get("s", i)).cast("double"), F.lit(0.0))) / F.col("n") * F.get("top", i))
+    mean = F.transform("s", lambda x, i: x.cast("double") / F.col("n") * F.get("top", i))
+    rows = rows.withColumns({"mean": mean, "spread": spread})
+
+    def summary(c: str) -> Column:
+        if c in SUMMARY:
+            out = F.when(enough, F.col(f"seen.{c}"))
         else:
-            out = F.col(f"__mean_{name}")
-        return F.coalesce(out.cast("long") if name in WHOLE else out.cast("double"), F.lit(0)).alias(name)
+            out = F.col("w")[WHOLE.index(c)] / F.col("n") if c in WHOLE else F.col("mean")[SUMMED.index(c)]
+        return F.coalesce(out.cast("long") if c in WHOLE else out.cast("double"), F.lit(0)).alias(c)
 
-    total = F.size("h").cast("double")
-    span = F.element_at("h", -1)["window_id"] - F.element_at("h", 1)["window_id"] + 1
+    span = F.when(enough, F.col("latest") - F.col("seen.id") + 1)
     return rows.select(
-        "ip_src", "window_id", F.coalesce(F.size("h").cast("long"), F.lit(0)).alias("window_total"), F.coalesce(span, F.lit(0)).alias("window_span"),
-        F.coalesce(total / span, F.lit(0.0)).alias("window_active_ratio"), *[summary(c) for c in WINDOW_COLUMNS],
-        *[F.coalesce(_deviation(c), F.lit(0.0)).alias(f"{c}_std") for c in DEVIATIONS],
-    ).withColumn("window_total", F.when(F.col("window_span") > 0, F.col("window_total")).otherwise(F.lit(0)))
+        "ip_src", "window_id", F.when(enough, F.col("n")).otherwise(F.lit(0)).alias("window_total"), F.coalesce(span, F.lit(0)).alias("window_span"),
+        F.coalesce(F.col("n") / span, F.lit(0.0)).alias("window_active_ratio"), *map(summary, WINDOW_COLUMNS),
+        *[F.coalesce(F.col("spread")[i], F.lit(0.0)).alias(f"{c}_std") for i, c in enumerate(DEVIATIONS)],
+    )
 
 
 def window_features(flows: DataFrame, settings: Settings = Settings(), first_ms: int | None = None, late: bool = True) -> DataFrame:

@@ -260,7 +260,7 @@ def swap_src_dst(spark, sf_dir):
     CAST(dayofmonth(epoch_ms(start_ms)) AS INTEGER) AS day, CASE WHEN dayofweek(epoch_ms(start_ms)) IN (0, 6) THEN 'weekend' ELSE 'workday' END AS day_type,
     strftime(epoch_ms(CAST(end_ms - end_ms % 180000 AS BIGINT)), '%Y-%m-%d %H:%M:%S') AS bucket FROM d""")
 def flow_scalars(spark, sf_dir):
-    """F2, F4, F8, F17, F19, F32, F33, F36."""
+    """F2, F4, F8, F17, F19, F32, F33."""
     rows = events_as_flows(spark, sf_dir, "flow_id", "start_ms", "end_ms", "in_bytes", "in_pkts", "protocol", "ip_src")
     s = scalars.window_duration(F.col("start_ms"), F.col("end_ms"))
     return _round(rows.select(
@@ -271,13 +271,24 @@ def flow_scalars(spark, sf_dir):
     ))
 
 
-@query("""SELECT n_nationkey, concat(trim(regexp_replace(concat('Friday morning ', n_name, ' - low aggresivity'), 'Friday|Saturday|Tuesday|Wednesday|Thursday| morning | afternoon | night |advanced | - minimal aggresivity| - low aggresivity| - medium aggresivity| - high aggresivity', '', 'g')), '_1') AS label FROM nation""")
+@query(f"SELECT n_nationkey, concat(trim(regexp_replace(concat('Friday morning ', n_name, ' - low aggresivity'), '{"|".join(scalars.LABEL_NOISE)}', '', 'g')), '_1') AS label FROM nation")
 def clean_labels(spark, sf_dir):
     """F31."""
     raw = F.concat(F.lit("Friday morning "), "n_name", F.lit(" - low aggresivity"))
     return table(spark, sf_dir, "nation").select("n_nationkey", scalars.clean_label(raw).alias("label"))
 
 
+@query("SELECT event_id, round(epoch(ts), 3) AS seconds, epoch_us(ts) // 1000 AS ms, round(epoch_ms(ts) / 1000.0, 2) AS back, CAST(floor(epoch_us(ts) / 1000.0) AS BIGINT) AS low_ms, CAST(ceil(epoch_us(ts) / 1000.0) AS BIGINT) AS high_ms FROM events")
+def timestamp_strings(spark, sf_dir):
+    """time text to epoch seconds, and to whole milliseconds either way; conversions of units."""
+    text = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    seconds = scalars.epoch_seconds(text)
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    return table(spark, sf_dir, "events").select(
+        "event_id", F.round(seconds, 3).alias("seconds"), scalars.micros_to_millis(micros).alias("ms"), F.round(scalars.millis_to_seconds(scalars.seconds_to_millis(seconds)), 2).alias("back"), F.round(scalars.floor_millis(seconds) * 1000).cast("long").alias("low_ms"), F.round(scalars.ceil_millis(seconds) * 1000).cast("long").alias("high_ms")
+    )
+
+
 @query("SELECT l_orderkey, l_linenumber, l_partkey, round(least(greatest((l_extendedprice - 2000.0) / 67999.0, 0.0), 1.0), 6) AS price, round(least(greatest(l_discount * 20 - 0.2, 0.0), 1.0), 6) AS discount FROM lineitem")
 def clip01(spark, sf_dir):
     """F20, F26."""
@@ -353,29 +364,42 @@ def _entropy_cte(c: str) -> str:
     return f", e_{c} AS (SELECT time_window, src_ip, -sum(p * log2(p)) AS entropy_{c} FROM (SELECT time_window, src_ip, count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY time_window, src_ip) AS p FROM g GROUP BY time_window, src_ip, {c}) GROUP BY 1, 2)"
 
 
-_PORT_SLOTS = {p: aggregates.COMMON_PORTS.index(p) + 1 for p in (22, 53, 80, 443, 3389)}
 _TUMBLING = [f"{k}_{m}" for k in ("mean", "std") for m in aggregates.MEASURES] + [f"entropy_{s}" for s in aggregates.SYMBOLS]
+#: The shares in the order of the vector: sources' known ports and the rest, then destinations'.
+_SHARES = {f"{side}_{p}": f"avg(CASE WHEN {side}_port {f'= {p}' if p != 'other' else 'NOT IN (' + ', '.join(map(str, aggregates.COMMON_PORTS)) + ')'} THEN 1.0 ELSE 0.0 END)" for side in ("src", "dst") for p in (*aggregates.COMMON_PORTS, "other")}
+_TUMBLING_SQL = _GEE_CTE + "".join(_entropy_cte(c) for c in aggregates.SYMBOLS) + ", a AS (SELECT time_window, src_ip, " + ", ".join(f"coalesce(avg({m}), 0) AS mean_{m}, coalesce(stddev_samp({m}), 0) AS std_{m}" for m in aggregates.MEASURES) + ", " + ", ".join(
+    f"{x} AS {n}" for n, x in _SHARES.items()
+) + ", CASE WHEN sum(CASE WHEN label = 'background' THEN 1 ELSE 0 END) * 2 > count(*) THEN 'background' WHEN sum(CASE WHEN label = 'attack' THEN 1 ELSE 0 END) * 2 > count(*) THEN 'attack' END AS label FROM g GROUP BY 1, 2 HAVING count(*) >= 10), v AS (SELECT * FROM a " + " ".join(
+    f"JOIN e_{c} USING (time_window, src_ip)" for c in aggregates.SYMBOLS
+) + ")"
 
 
-@query(_GEE_CTE + "".join(_entropy_cte(c) for c in aggregates.SYMBOLS) + ", a AS (SELECT time_window, src_ip, " + ", ".join(f"coalesce(avg({m}), 0) AS mean_{m}, coalesce(stddev_samp({m}), 0) AS std_{m}" for m in aggregates.MEASURES)
-    + ", " + ", ".join(f"avg(CASE WHEN dst_port = {p} THEN 1.0 ELSE 0.0 END) AS dst_{p}" for p in _PORT_SLOTS)
-    + f", avg(CASE WHEN dst_port IN ({', '.join(map(str, aggregates.COMMON_PORTS))}) THEN 0.0 ELSE 1.0 END) AS dst_other, CASE WHEN sum(CASE WHEN label = 'background' THEN 1 ELSE 0 END) * 2 > count(*) THEN 'background' WHEN sum(CASE WHEN label = 'attack' THEN 1 ELSE 0 END) * 2 > count(*) THEN 'attack' END AS label FROM g GROUP BY 1, 2 HAVING count(*) >= 10)"
-    + f" SELECT time_window, src_ip, {_rounded(_TUMBLING, 4)}, {_rounded([f'dst_{p}' for p in [*_PORT_SLOTS, 'other']], 4)}, label FROM a " + " ".join(f"JOIN e_{c} USING (time_window, src_ip)" for c in aggregates.SYMBOLS))
+@query(_TUMBLING_SQL + f" SELECT time_window, src_ip, {_rounded(_TUMBLING, 4)}, {_rounded(_SHARES, 4)}, label FROM v")
 def tumbling_features(spark, sf_dir):
-    """A14 to A17, W6, F18, F19, FLT6: per week and source."""
+    """A14 to A17, W6, F18, F19, FLT6: per week and source, all port shares."""
     out = aggregates.tumbling_features(_tumbling_input(spark, sf_dir), 604800)
-    shares = [F.element_at("proportion_dst_port", i).alias(f"dst_{p}") for p, i in _PORT_SLOTS.items()] + [F.element_at("proportion_dst_port", -1).alias("dst_other")]
+    ports_of = [*aggregates.COMMON_PORTS, "other"]
+    shares = [F.element_at(f"proportion_{side}_port", i + 1).alias(f"{side}_{p}") for side in ("src", "dst") for i, p in enumerate(ports_of)]
     return _round(out.select("time_window", "src_ip", *_TUMBLING, *shares, "label"), 4)
 
 
-@query(_GEE_CTE + _entropy_cte("dst_port") + f""", a AS (SELECT time_window, src_ip, avg(packet) AS mp, avg(duration) AS md FROM g GROUP BY 1, 2 HAVING count(*) >= 10)
-    SELECT time_window, src_ip, 69 AS n, round(greatest(0.0, least(1.0, md / 2042.86)), 6) AS f_duration, round(greatest(0.0, least(1.0, (mp - 1.0) / 109213.27272727272)), 6) AS f_packet,
-    round(least(1.0, entropy_dst_port / 14.027301292191831), 6) AS f_entropy FROM a JOIN e_dst_port USING (time_window, src_ip)""")
+@query(_GEE_CTE.replace("604800", "180") + " SELECT time_window, src_ip, round(avg(packet), 5) AS mean_packet, round(avg(num_of_bytes), 5) AS mean_num_of_bytes, round(avg(CASE WHEN dst_port = 443 THEN 1.0 ELSE 0.0 END), 5) AS dst_443 FROM g GROUP BY 1, 2")
+def tumbling_three_minutes(spark, sf_dir):
+    """Windows of three minutes, however few flows they have."""
+    out = aggregates.tumbling_features(_tumbling_input(spark, sf_dir), 180, least=1)
+    return _round(out.select("time_window", "src_ip", "mean_packet", "mean_num_of_bytes", F.element_at("proportion_dst_port", aggregates.COMMON_PORTS.index(443) + 1).alias("dst_443")), 5)
+
+
+def _unit_sql(feature: str) -> str:
+    low, high = aggregates.FEATURE_RANGES[feature]
+    return f"greatest(0.0, least(1.0, ({feature} - {low!r}) / ({high!r} - {low!r})))"
+
+
+@query(_TUMBLING_SQL + " SELECT time_window, src_ip, 69 AS n, " + ", ".join(f"round({x}, 6) AS f{i}" for i, x in enumerate([*map(_unit_sql, aggregates.FEATURE_RANGES), *_SHARES], 1)) + " FROM v")
 def composed_features(spark, sf_dir):
-    """the vector of 69 normalised features."""
+    """the vector of 69 normalised features, each compared."""
     out = aggregates.compose_features(aggregates.tumbling_features(_tumbling_input(spark, sf_dir), 604800))
-    at = lambda i: F.element_at("features", i)
-    return _round(out.select("time_window", "src_ip", F.size("features").alias("n"), at(1).alias("f_duration"), at(2).alias("f_packet"), at(14).alias("f_entropy")), 6)
+    return _round(out.select("time_window", "src_ip", F.size("features").alias("n"), *[F.element_at("features", i).alias(f"f{i}") for i in range(1, 70)]), 6)
 
 
 @query("SELECT l_returnflag, round(-sum(p * ln(p)), 6) AS entropy FROM (SELECT l_returnflag, count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY l_returnflag) AS p FROM lineitem GROUP BY l_returnflag, l_quantity) GROUP BY 1")
@@ -416,6 +440,12 @@ def histogram(spark, sf_dir):
     return out.withColumn("bin", F.col("bin").cast("int"))
 
 
+@query("WITH b AS (SELECT stddev_samp(l_quantity) * pow(count(l_quantity), -0.2) AS h FROM lineitem), p AS (SELECT unnest([0.0, 12.5, 25.0, 40.0, 60.0]) AS place) SELECT place, round(avg(exp(-pow((l_quantity - place) / h, 2) / 2) / (h * sqrt(2 * pi()))), 8) AS density FROM lineitem, b, p GROUP BY 1")
+def kernel_density(spark, sf_dir):
+    """The density that loss plots show."""
+    return _round(aggregates.kernel_density(table(spark, sf_dir, "lineitem"), "l_quantity", (0.0, 12.5, 25.0, 40.0, 60.0)), 8)
+
+
 @query("SELECT user_id, value, round(cume_dist() OVER (PARTITION BY user_id ORDER BY value), 6) AS ecdf FROM events")
 def ecdf(spark, sf_dir):
     """A31."""
@@ -441,13 +471,15 @@ def _windower_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windower.flow_features(raw)
 
 
-#: Arrival order with late flows: every seventh comes 40 places after its turn.
-LATE = "event_id + CASE WHEN event_id % 7 = 0 THEN 40 ELSE 0 END"
-_WIN_CTE = _flows(*_WIN) + f""", t AS (SELECT min(end_ms) AS t0 FROM flows),
-    w AS (SELECT f.*, CAST(greatest(0, floor((end_ms - t0 - 1) / {DAY_MS}.0)) AS BIGINT) AS window_id, CASE WHEN end_ms = start_ms THEN 0.01 ELSE (end_ms - start_ms) / 1000.0 END AS dur,
+def _win_cte(name: str) -> str:
+    return _flows(*_WIN) + f""", t AS (SELECT min(end_ms) AS t0 FROM flows),
+    {name} AS (SELECT f.*, CAST(greatest(0, floor((end_ms - t0 - 1) / {DAY_MS}.0)) AS BIGINT) AS window_id, CASE WHEN end_ms = start_ms THEN 0.01 ELSE (end_ms - start_ms) / 1000.0 END AS dur,
       {_per('in_bytes', 'in_pkts')} AS bpp FROM flows f, t)"""
 
 
+_WIN_CTE = _win_cte("w")
+
+
 @query(_flows("arrival_seq", "end_ms") + f""", t AS (SELECT min(end_ms) AS t0 FROM flows), w AS (SELECT arrival_seq * 10 + CASE WHEN arrival_seq % 7 = 0 THEN 405 ELSE 0 END AS seq,
     CAST(greatest(0, floor((end_ms - t0 - 1) / 3600000.0)) AS BIGINT) AS own FROM flows, t) SELECT seq, max(own) OVER (ORDER BY seq ROWS UNBOUNDED PRECEDING) AS window_id FROM w""")
 def win_ids(spark, sf_dir):
@@ -512,10 +544,34 @@ def win_features(spark, sf_dir):
     return out.select("arrival_seq", "ip_src", "window_id", F.round("window_active_ratio", 6).alias("window_active_ratio"), *_H_WHOLE, *[F.round(c, 4).alias(c) for c in _H_REAL])
 
 
-@query()
+#: Arrival order with late flows: every seventh comes some 40 places after its turn.
+_LATE = "arrival_seq * 10 + CASE WHEN arrival_seq % 7 = 0 THEN 405 ELSE 0 END"
+_CLOCK_CTE = _win_cte("u") + f", w AS (SELECT * EXCLUDE (arrival_seq, window_id), {_LATE} AS arrival_seq, max(window_id) OVER (ORDER BY {_LATE} ROWS UNBOUNDED PRECEDING) AS window_id FROM u)"
+_FOLD = lambda c: f"{windower.SUMMARY.get(c, 'avg')}({c})"
+_ALL_SQL = """, closed AS (SELECT * FROM stats WHERE flows_total >= 2),
+    past AS (SELECT s.ip_src, s.window_id AS wid, c.*, row_number() OVER (PARTITION BY s.ip_src, s.window_id ORDER BY c.window_id DESC) AS r FROM stats s JOIN closed c ON s.ip_src = c.ip_src AND c.window_id BETWEEN s.window_id - 20 AND s.window_id - 1),
+    summed AS (SELECT ip_src, wid AS window_id, count(*) / (max(window_id) - min(window_id) + 1) AS window_active_ratio, """ + ", ".join(
+    [f"{_FOLD(c)} AS {c}" for c in windower.WINDOW_COLUMNS] + [f"stddev_pop({c}) AS {c}_std" for c in windower.DEVIATIONS]
+) + " FROM past WHERE r <= 8 GROUP BY 1, 2 HAVING count(*) > 3)"
+_far = lambda c: min(_digits(c) - 1, 5)
+#: Means of a few windows often lie halfway between two roundings, where the last bit would decide: this takes them off.
+_NUDGE = 1.000000001
+_ALL_OUT = {c: f"coalesce(CAST(trunc(h.{c}) AS BIGINT), 0)" if c in windower.WHOLE else f"round(coalesce(h.{c}, 0) * {_NUDGE}, {_far(c)})" for c in windower.WINDOW_COLUMNS} | {f"{c}_std": f"round(coalesce(h.{c}_std, 0) * {_NUDGE}, {_far(c)})" for c in windower.DEVIATIONS}
+
+
+@query(_CLOCK_CTE + _STATS_SQL + _ALL_SQL + " SELECT w.arrival_seq, w.ip_src, w.window_id, round(coalesce(h.window_active_ratio, 0), 6) AS window_active_ratio, " + ", ".join(f"{x} AS {c}" for c, x in _ALL_OUT.items()) + " FROM w LEFT JOIN summed h USING (ip_src, window_id)")
 def win_features_all(spark, sf_dir):
-    """W1 to W5 with late flows: all 58 features of each flow (no SQL for the running clock and the truncation together; tested against a sequential model)."""
-    return windower.window_features(_windower_input(spark, sf_dir), SETTINGS)
+    """W1 to W5 with late flows kept in the current window: all 58 features of each flow."""
+    return rounded_features(windower.window_features(late_flows(spark, sf_dir), SETTINGS))
+
+
+def late_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _windower_input(spark, sf_dir).withColumn("arrival_seq", F.expr(_LATE))
+
+
+def rounded_features(out: DataFrame) -> DataFrame:
+    real = {c: F.round(F.col(c) * _NUDGE, _far(c)) for c in windower.WINDOW_COLUMNS if c not in windower.WHOLE} | {f"{c}_std": F.round(F.col(f"{c}_std") * _NUDGE, _far(c)) for c in windower.DEVIATIONS}
+    return out.withColumns(real | {"window_active_ratio": F.round("window_active_ratio", 6)})
 
 
 # --- joins ----------------------------------------------------------------------------------------------------------
@@ -528,6 +584,15 @@ def allow_list_semi(spark, sf_dir):
     return joins.allow_list(events_as_flows(spark, sf_dir, "flow_id", "ip_src", "ip_dst"), listed, ("ip_src", "ip_dst")).select("flow_id")
 
 
+@query(_flows("flow_id") + " SELECT flow_id FROM flows WHERE flow_id % 50 IN (3, 40)")
+def allow_list_ipv6(spark, sf_dir):
+    """FLT1, F30: listed addresses are found however they are spelt."""
+    listed = spark.createDataFrame([("2001:DB8::3",), ("2001:db8:0:0:0:0:0:28",), ("fe80::1",)], "ip_address string")
+    h = F.lower(F.hex(F.col("flow_id") % 50))
+    ip = F.when(F.col("flow_id") % 2 == 0, F.concat(F.lit("2001:db8::"), h)).otherwise(F.concat(F.lit("2001:0db8:0000:0:0:0:0:"), F.lpad(h, 4, "0")))
+    return joins.allow_list(events_as_flows(spark, sf_dir, "flow_id").withColumn("ip", ip), listed, ("ip",)).select("flow_id")
+
+
 @query(_flows("flow_id", "ip_src", "ip_dst") + """, l AS (SELECT concat('10.0.0.', CAST(n_nationkey * 3 AS VARCHAR)) AS ip, n_regionkey AS cluster_label FROM nation)
     SELECT flow_id, coalesce(s.cluster_label, d.cluster_label) AS cluster_label FROM flows LEFT JOIN l s ON ip_src = s.ip LEFT JOIN l d ON ip_dst = d.ip WHERE coalesce(s.cluster_label, d.cluster_label) IS NOT NULL""")
 def cluster_label_coalesce(spark, sf_dir):
@@ -539,11 +604,18 @@ def cluster_label_coalesce(spark, sf_dir):
 @query(_flows("ip_src") + """, l AS (SELECT concat('10.0.0.', CAST(n_nationkey % 9 AS VARCHAR)) AS ip, min(n_name) AS type FROM nation GROUP BY 1)
     SELECT ip_src, coalesce(type, 'Unknown') AS type, count(*) AS n FROM flows LEFT JOIN l ON ip_src = ip GROUP BY 1, 2""")
 def categorize_ip(spark, sf_dir):
-    """J4, W10, R1."""
+    """Unlisted addresses are of type Unknown."""
     listed = table(spark, sf_dir, "nation").select(F.concat(F.lit("10.0.0."), (F.col("n_nationkey") % 9).cast("string")).alias("ip"), F.col("n_name").alias("type"))
     return aggregates.value_counts(joins.categorize(events_as_flows(spark, sf_dir, "ip_src"), listed, "ip_src"), "ip_src", "type")
 
 
+@query(_flows("flow_id", "ip_src") + """, l AS (SELECT concat('10.0.0.', CAST(n_nationkey % 9 AS VARCHAR)) AS ip, min(n_name) AS type FROM nation GROUP BY 1) SELECT flow_id, type FROM flows JOIN l ON ip_src = ip""")
+def known_addresses(spark, sf_dir):
+    """Rows of unlisted addresses go."""
+    listed = table(spark, sf_dir, "nation").select(F.concat(F.lit("10.0.0."), (F.col("n_nationkey") % 9).cast("string")).alias("ip"), F.col("n_name").alias("type"))
+    return joins.categorize(events_as_flows(spark, sf_dir, "flow_id", "ip_src"), listed, "ip_src", unknown=None).select("flow_id", "type")
+
+
 NETS = (("10.0.0.0/8", "all"), ("10.0.0.0/16", "site"), ("10.0.0.64/26", "lab"), ("10.0.0.96/27", "dmz"), ("10.0.0.100", "host"), ("192.168.0.0/16", "home"))
 
 
@@ -555,6 +627,21 @@ def lpm_join(spark, sf_dir):
     return joins.longest_prefix(events_as_flows(spark, sf_dir, "flow_id", "ip_dst"), nets, "ip_dst").select("flow_id", "type")
 
 
+NETS6 = (("2001:db8::/32", "all"), ("2001:db8:0:2::/63", "pair"), ("2001:DB8:0:3:0:0:0:0/64", "lab"), ("2001:db8:0:1::2a", "host"), ("fe80::/10", "link"))
+
+
+@query(_flows("flow_id") + """, n AS (SELECT flow_id, flow_id % 5 AS s, flow_id % 97 AS h FROM flows) SELECT flow_id, CASE WHEN s = 4 AND h % 2 = 0 THEN 'link' WHEN s = 4 THEN NULL WHEN s = 1 AND h = 42 THEN 'host'
+    WHEN s = 3 THEN 'lab' WHEN s = 2 THEN 'pair' ELSE 'all' END AS type FROM n""")
+def lpm6_join(spark, sf_dir):
+    """The longest matching prefix of IPv6 addresses, some shortened and some not."""
+    s, h = F.col("flow_id") % 5, F.col("flow_id") % 97
+    low = F.lower(F.hex(h))
+    long = F.concat(F.lit("2001:0db8:0000:"), s.cast("string"), F.lit(":0:0:0:"), low)
+    ip = F.when(s == 4, F.when(h % 2 == 0, F.concat(F.lit("febf::"), low)).otherwise(F.lit("fec0::1"))).when(h % 3 == 0, long).otherwise(F.concat(F.lit("2001:DB8:0:"), s.cast("string"), F.lit("::"), F.upper(low)))
+    rows = events_as_flows(spark, sf_dir, "flow_id").withColumn("ip", ip)
+    return joins.longest_prefix6(rows, spark.createDataFrame(NETS6, "cidr string, type string"), "ip").select("flow_id", "type")
+
+
 @query("""SELECT * FROM (VALUES ('host', 32, 167772260)) AS t(type, bits, ip_number) UNION ALL SELECT 'dmz', 27, 167772256 + i FROM range(32) r(i)
     UNION ALL SELECT * FROM (VALUES ('all', 8, NULL), ('site', 16, NULL), ('lab', 26, NULL), ('home', 16, NULL)) AS t(type, bits, ip_number)""")
 def expand_small_networks(spark, sf_dir):
@@ -569,12 +656,19 @@ TRUTH = "(SELECT concat('10.0.0.', CAST(n_nationkey AS VARCHAR)) AS ip, n_name A
     hits AS (SELECT flow_id, label FROM flows JOIN gt ON ip_src = ip AND start_ms / 1000.0 <= te AND end_ms / 1000.0 >= ts UNION ALL SELECT flow_id, label FROM flows JOIN gt ON ip_dst = ip AND start_ms / 1000.0 <= te AND end_ms / 1000.0 >= ts)
     SELECT f.flow_id, coalesce(h.label, 'background') AS label FROM flows f LEFT JOIN hits h ON f.flow_id = h.flow_id""")
 def interval_overlap(spark, sf_dir):
-    """Attack intervals; multiplicity is kept."""
+    """Attack intervals; multiplicity is kept."""
     start = F.lit(1704067200) + F.col("n_nationkey") * 40000
     truth = table(spark, sf_dir, "nation").select(F.concat(F.lit("10.0.0."), F.col("n_nationkey").cast("string")).alias("ip"), F.col("n_name").alias("label"), start.alias("ts"), (start + 600000).alias("te"))
     return joins.interval_labels(events_as_flows(spark, sf_dir, "flow_id", "ip_src", "ip_dst", "start_ms", "end_ms"), truth).select("flow_id", "label")
 
 
+@query(_flows("flow_id", "ip_src", "ip_dst", "label") + " SELECT flow_id, CASE WHEN ip_src = '10.0.0.9' OR ip_dst = '10.0.0.9' THEN 'C&C_2' WHEN ip_src = '10.0.0.7' OR ip_dst = '10.0.0.7' THEN 'C&C_1' ELSE label END AS label FROM flows")
+def command_servers(spark, sf_dir):
+    """Labels of known servers go before any other."""
+    rows = events_as_flows(spark, sf_dir, "flow_id", "ip_src", "ip_dst", "label")
+    return joins.override_label(rows, {"10.0.0.7": "C&C_1", "10.0.0.9": "C&C_2"}).select("flow_id", "label")
+
+
 @query(_flows("flow_id", "ip_src", "ip_dst", "start_ms") + """, l AS (SELECT concat('10.0.0.', CAST(n_nationkey AS VARCHAR)) AS ip, n_nationkey % 10 AS level, n_nationkey % 28 + 1 AS day FROM nation), k AS (SELECT DISTINCT ip, day FROM l WHERE level > 4),
     d AS (SELECT *, CAST(dayofmonth(epoch_ms(start_ms)) AS INT) AS dd FROM flows)
     SELECT flow_id, EXISTS (SELECT 1 FROM k WHERE ip = ip_src AND day = dd) AS src_deny, CASE WHEN ip_dst <> '0.0.0.0' THEN EXISTS (SELECT 1 FROM k WHERE ip = ip_dst AND day = dd) END AS dst_deny FROM d""")
@@ -613,6 +707,15 @@ def route_union(spark, sf_dir):
     return joins.route(rows, inside)
 
 
+@query(_flows("flow_id", "ip_src", "ip_dst", "in_bytes", "out_bytes") + """, l AS (SELECT concat('10.0.0.', CAST(n_nationkey AS VARCHAR)) AS ip FROM nation), m AS (SELECT *, ip_src IN (SELECT ip FROM l) AS s, ip_dst IN (SELECT ip FROM l) AS d, flow_id % 3 = 1 AS forward FROM flows)
+    SELECT flow_id, ip_src, ip_dst, in_bytes AS "IN_BYTES", out_bytes AS "OUT_BYTES", false AS swapped FROM m WHERE (s AND d) OR ((s OR d) AND forward) UNION ALL SELECT flow_id, ip_dst, ip_src, out_bytes, in_bytes, true FROM m WHERE (s AND d) OR ((s OR d) AND NOT forward)""")
+def route_by_direction(spark, sf_dir):
+    """FLT5: flows of one inside side by their direction."""
+    inside = table(spark, sf_dir, "nation").select(F.concat(F.lit("10.0.0."), F.col("n_nationkey").cast("string")).alias("ip_address"))
+    rows = events_as_flows(spark, sf_dir, "flow_id", "ip_src", "ip_dst", "in_bytes", "out_bytes").withColumnsRenamed({"in_bytes": "IN_BYTES", "out_bytes": "OUT_BYTES"})
+    return joins.route(rows.withColumn("DIRECTION", (F.col("flow_id") % 3).cast("int")), inside, direction="DIRECTION").drop("DIRECTION")
+
+
 @query("SELECT c_custkey FROM customer WHERE c_nationkey = 3 AND c_mktsegment = 'BUILDING'")
 def matching_parameters(spark, sf_dir):
     """J15."""
@@ -642,15 +745,21 @@ def positional_join(spark, sf_dir):
 
 _PRO = ("ip_src", "ip_dst", "port_src", "port_dst", "start_ms", "in_bytes", "out_bytes")
 _CATS = [f"sum(CASE WHEN {_category_sql(f'port_{s}', _ID_BY_NAME)} = {i} THEN 1 ELSE 0 END) AS num_{s}_ports_cat_{i}" for s in ("src", "dst") for i in range(13)]
+# The five tuples whose distinct values are counted: ports together; destinations alone, with either category and with both.
+_SRC_CAT, _DST_CAT = _category_sql("port_src", _ID_BY_NAME), _category_sql("port_dst", _ID_BY_NAME)
+_TUPLES = {
+    "num_uniques_src_port_dst_port": ("port_src", "port_dst"), "num_uniques_dst_ip": ("ip_dst",), "num_uniques_dst_ip_src_port_category": ("ip_dst", _SRC_CAT),
+    "num_uniques_dst_ip_dst_port_category": ("ip_dst", _DST_CAT), "num_uniques_dst_ip_src_port_category_dst_port_category": ("ip_dst", _SRC_CAT, _DST_CAT),
+}
 _PROFILE_CTE = _flows(*_PRO) + f""", hp AS (SELECT ip_src, CAST(epoch_ms(start_ms) AS DATE) AS date, CAST(hour(epoch_ms(start_ms)) AS INT) AS hour, count(*) AS num_flows, CAST(sum(out_bytes) AS BIGINT) AS in_bytes, CAST(sum(in_bytes) AS BIGINT) AS out_bytes,
-    {', '.join(_CATS)}, count(DISTINCT port_src) AS num_src_ports, count(DISTINCT port_dst) AS num_dst_ports, count(DISTINCT ip_dst) AS num_dst_ips FROM flows GROUP BY 1, 2, 3)"""
+    {', '.join(_CATS)}, {', '.join(f"count(DISTINCT concat_ws('_', {', '.join(c)})) AS {n}" for n, c in _TUPLES.items())} FROM flows GROUP BY 1, 2, 3)"""
 
 
-@query(_PROFILE_CTE + " SELECT ip_src, CAST(date AS VARCHAR) AS date, hour, num_flows, in_bytes, out_bytes, CAST(num_dst_ports_cat_1 AS BIGINT) AS num_dst_ports_cat_1, CAST(num_src_ports_cat_12 AS BIGINT) AS num_src_ports_cat_12, num_src_ports, num_dst_ports, num_dst_ips FROM hp")
+@query(_PROFILE_CTE + " SELECT ip_src, CAST(date AS VARCHAR) AS date, hour, num_flows, in_bytes, out_bytes, CAST(num_dst_ports_cat_1 AS BIGINT) AS num_dst_ports_cat_1, CAST(num_src_ports_cat_12 AS BIGINT) AS num_src_ports_cat_12, " + ", ".join(_TUPLES) + " FROM hp")
 def hourly_stats(spark, sf_dir):
-    """A18, A19, A25, SRC8: hourly profiles with exact distinct counts."""
+    """Hourly profiles with exact distinct counts of all five tuples."""
     out = profiles.hourly_profiles(events_as_flows(spark, sf_dir, *_PRO), exact=True)
-    return out.select("ip_src", F.col("date").cast("string").alias("date"), "hour", "num_flows", "in_bytes", "out_bytes", "num_dst_ports_cat_1", "num_src_ports_cat_12", "num_src_ports", "num_dst_ports", "num_dst_ips")
+    return out.select("ip_src", F.col("date").cast("string").alias("date"), "hour", "num_flows", "in_bytes", "out_bytes", "num_dst_ports_cat_1", "num_src_ports_cat_12", *_TUPLES)
 
 
 @query()
@@ -659,13 +768,23 @@ def merged_sketches(spark, sf_dir):
     return profiles.merge_profiles(profiles.hourly_profiles(events_as_flows(spark, sf_dir, *_PRO)))
 
 
-@query(_PROFILE_CTE + """, m AS (SELECT ip_src, sum(num_flows) AS n, sum(in_bytes) AS i, sum(out_bytes) AS o, """ + ", ".join(f"sum(num_dst_ports_cat_{k}) AS c{k}" for k in range(13)) + """ FROM hp GROUP BY 1)
-    SELECT ip_src, CAST(n AS BIGINT) AS num_flows, CAST(i + o AS BIGINT) AS num_total_bytes, round(i / (o + 1), 6) AS in_out_bytes_ratio, round(""" + " ".join(f"- CASE WHEN c{k} > 0 THEN c{k} / n * ln(c{k} / n) ELSE 0 END" for k in range(13)) + ", 6) AS dst_ports_entropy FROM m")
+@query(_flows("ip_src") + " SELECT ip_src, " + ", ".join(f"true AS {n}" for n in _TUPLES) + " FROM flows GROUP BY 1")
+def sketch_errors(spark, sf_dir):
+    """Whether each address's five united sketches are within 5 % (or one) of the exact counts."""
+    flows = profiles.with_categories(events_as_flows(spark, sf_dir, *_PRO))
+    exact = flows.groupBy("ip_src").agg(*[F.count_distinct(*c).alias(f"exact_{n}") for n, c in profiles.DISTINCT.items()])
+    near = lambda n: (F.abs(F.col(n) - F.col(f"exact_{n}")) <= 0.05 * F.col(f"exact_{n}") + 1).alias(n)
+    return merged_sketches(spark, sf_dir).join(exact, "ip_src").select("ip_src", *map(near, profiles.DISTINCT))
+
+
+@query(_PROFILE_CTE + """, m AS (SELECT ip_src, sum(num_flows) AS n, sum(in_bytes) AS i, sum(out_bytes) AS o, """ + ", ".join(f"sum(num_{s}_ports_cat_{k}) AS {s}{k}" for s in ("src", "dst") for k in range(13)) + """ FROM hp GROUP BY 1)
+    SELECT ip_src, """ + ", ".join(f"round({s}{k} / n, 6) AS {s}_port_probability_{k}" for s in ("src", "dst") for k in range(13)) + """, CAST(n AS BIGINT) AS num_flows, CAST(i + o AS BIGINT) AS num_total_bytes, round(i / (o + 1), 6) AS in_out_bytes_ratio, round(""" + " ".join(f"- CASE WHEN dst{k} > 0 THEN dst{k} / n * ln(dst{k} / n) ELSE 0 END" for k in range(13)) + ", 6) AS dst_ports_entropy FROM m")
 def merge_stats(spark, sf_dir):
     """A21, A22, A24, R3."""
     merged = profiles.merge_profiles(profiles.hourly_profiles(events_as_flows(spark, sf_dir, *_PRO)))
     out = profiles.profile_features(profiles.whole_by_prefix(merged, "num_"))
-    return _round(out.select("ip_src", "num_flows", "num_total_bytes", "in_out_bytes_ratio", "dst_ports_entropy"), 6)
+    shares = [f"{s}_port_probability_{k}" for s in ("src", "dst") for k in range(profiles.CATEGORIES)]
+    return _round(out.select("ip_src", *shares, "num_flows", "num_total_bytes", "in_out_bytes_ratio", "dst_ports_entropy"), 6)
 
 
 @query(_PROFILE_CTE + " SELECT ip_src, " + ", ".join(f"CAST(sum(CASE WHEN dayofweek(date) {'IN' if k == 'weekend' else 'NOT IN'} (0, 6) AND hour = {h} THEN in_bytes + out_bytes ELSE 0 END) AS BIGINT) AS bytes_{k}_{h}" for k in ("workday", "weekend") for h in range(24)) + " FROM hp GROUP BY 1")
@@ -751,6 +870,23 @@ def split_addresses(spark, sf_dir):
     return sampling.split_addresses(activity, 400, 700, "mostactive")
 
 
+@query("SELECT ip, packets, CASE WHEN row_number() OVER (ORDER BY packets, ip) % 4 = 0 THEN 'test' ELSE 'train' END AS part FROM (SELECT l_suppkey AS ip, count(*) AS packets FROM lineitem GROUP BY 1) WHERE packets BETWEEN 400 AND 700")
+def split_least_active(spark, sf_dir):
+    """The least active addresses first."""
+    activity = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("ip")).agg(F.count("*").alias("packets"))
+    return sampling.split_addresses(activity, 400, 700, "leastactive")
+
+
+@query("SELECT v AS part, true AS near FROM (VALUES ('train'), ('valid'), ('test')) t(v)")
+def split_shares(spark, sf_dir):
+    """Every part's size is within four deviations of its share."""
+    shares = {"train": 0.85, "valid": 0.05, "test": 0.1}
+    rows = sampling.split(table(spark, sf_dir, "events").select("event_id"), shares, 7, "event_id")
+    counts = aggregates.value_counts(rows, "part").crossJoin(rows.agg(F.count("*").alias("total")))  # three rows and one
+    share = F.create_map(*[F.lit(x) for kv in shares.items() for x in kv])[F.col("part")]
+    return counts.select("part", (F.abs(F.col("n") - share * F.col("total")) <= 4 * F.sqrt(F.col("total") * share * (1 - share))).alias("near"))
+
+
 @query("SELECT event_id, user_id FROM events")
 def shuffled_rows(spark, sf_dir):
     """A seeded order of all rows."""

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowmill.plans.flows import SPARK, EVENTS, events_as_flows, flows_cte
-from flowmill.session import share_code, table
-from flowmill.sources import ingest
+from flowmill.plans import queries as plain
+from flowmill.session import share_code, shared_dir, table
+from flowmill.sources import files, ingest
 from flowmill.streaming import pipelines
 
 QUERIES: dict = {}
@@ -33,9 +33,7 @@ def query(sql: str | None = None):
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    """A folder of the run, in the shared checkpoint folder if there is one."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="flowmill-stream-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query(f"""WITH {flows_cte("flow_id", "ip_src", "protocol", "port_src", "in_bytes")} SELECT flow_id AS "FLOW_ID_SEEN", in_bytes AS "IN_BYTES", CAST(protocol AS SMALLINT) AS "PROTOCOL",
@@ -48,7 +46,7 @@ def ipfix_json_explode(spark, sf_dir):
     port = F.when(F.col("flow_id") % 5 != 0, F.create_map(F.lit("7"), text("port_src"))).otherwise(F.create_map().cast("map<string,string>"))
     one = F.map_concat(F.create_map(F.lit("1"), text("in_bytes"), F.lit("4"), text("protocol"), F.lit("8"), F.col("ip_src"), F.lit("9"), text("flow_id"), F.lit("999"), F.lit("unknown")), port)
     messages = rows.groupBy((F.col("flow_id") % 50).alias("m")).agg(F.to_json(F.collect_list(one)).alias("text"))
-    packed = messages.select(ingest.inflate(F.col("text").cast("binary")).alias("message"))
+    packed = messages.select(ingest.inflate(ingest.deflate("text")).alias("message"))
     return ingest.explode_ipfix(packed, DEFINITION).drop("flow_id")
 
 
@@ -63,6 +61,18 @@ def netflow9_explode(spark, sf_dir):
     return ingest.explode_netflow9(messages, definition).drop("flow_id")
 
 
+@query(f"""WITH {flows_cte("flow_id", "in_bytes")} SELECT CAST(make_date(2024, 1, 1 + CAST(flow_id % 3 AS INT)) AS VARCHAR) AS date, CAST(flow_id % 4 AS INT) AS hour, count(*) AS n, CAST(sum(in_bytes) AS BIGINT) AS in_bytes FROM flows GROUP BY 1, 2""")
+def path_hours(spark, sf_dir):
+    """SRC8, SNK7: flows written to a folder for each hour, and read back with the date and hour of their path."""
+    folder = _folder(spark, "hours")
+    rows = events_as_flows(spark, sf_dir, "flow_id", "in_bytes")
+    for day in range(3):
+        for hour in range(4):
+            files.save(rows.where((F.col("flow_id") % 3 == day) & (F.col("flow_id") % 4 == hour)).coalesce(1), f"{folder}/2024/01/0{day + 1}/0{hour}", "gz")
+    found = files.with_path_hour(spark.read.option("recursiveFileLookup", "true").option("sep", "|").option("header", True).schema("flow_id long, in_bytes long").csv(folder))
+    return found.groupBy(F.col("date").cast("string").alias("date"), "hour").agg(F.count("*").alias("n"), F.sum("in_bytes").alias("in_bytes"))
+
+
 def _event_stream(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """`events` as a stream of flows: the table's folder is watched for the one file."""
     schema = table(spark, sf_dir, "events").schema
@@ -100,8 +110,21 @@ _T0 = 1_704_067_200_000
     s AS (SELECT ip_src, window_id, count(*) AS closed, avg(flows) AS mf, avg(bytes) AS mb FROM p WHERE r <= 8 GROUP BY 1, 2)
     SELECT o.ip_src, o.window_id, o.flows, o.bytes, coalesce(closed, 0) AS closed, round(coalesce(mf, 0), 5) AS mean_flows, round(coalesce(mb, 0), 4) AS mean_bytes FROM o LEFT JOIN s USING (ip_src, window_id)""")
 def stream_windower(spark, sf_dir):
-    """ST2, ST3, ST5, ST9: per-source windows with a history that is kept in state."""
+    """ST3, ST5, ST9: per-source windows with a history that is kept in state."""
     share_code(spark)
     flows = _event_stream(spark, sf_dir, "arrival_seq", "ip_src", "end_ms", "in_bytes")
     out = pipelines.run_available(spark, pipelines.stateful_windows(flows, _DAY, 2, 20, 8, _T0), _folder(spark, "windows"))
     return out.withColumn("mean_flows", F.round("mean_flows", 5)).withColumn("mean_bytes", F.round("mean_bytes", 4))
+
+
+@query(plain.SQL["win_features_all"])
+def stream_features(spark, sf_dir):
+    """ST2, ST3: all 58 features of flows that come in four micro-batches, with the state kept between them."""
+    folder = _folder(spark, "features")
+    rows = plain.late_flows(spark, sf_dir)
+    first, most = rows.agg(F.min("end_ms"), F.max("arrival_seq")).first()
+    for i in range(4):  # one file after the other, in order of arrival
+        rows.where(F.floor(F.col("arrival_seq") * 4 / F.lit(most + 1)) == i).coalesce(1).write.parquet(f"{folder}/in/{i}")
+    flows = pipelines.read_stream(spark, f"{folder}/in/*", rows.schema)
+    pipelines.start_each(flows, pipelines.feature_batches(folder, plain.SETTINGS, first), f"{folder}/checkpoint").awaitTermination()
+    return plain.rounded_features(spark.read.parquet(f"{folder}/features").drop("batch"))

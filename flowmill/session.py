@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from functools import lru_cache
 from pathlib import Path
@@ -63,6 +64,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """The table written to the shared folder and read back: all uses see the same rows, also after an executor is lost. Deleted when the
+    driver's JVM ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/flowmill-{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a data folder; the scan stays lazy, so filters and columns reach it."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

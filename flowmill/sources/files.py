@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import warnings
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,7 +21,8 @@ _CSV = (".csv", ".flows", ".gz")
 
 
 def load(spark: SparkSession, path: str, schema: T.StructType | str | None = None, sep: str = "|", header: bool = True) -> DataFrame:
-    """Read by extension: csv, flows and gz as separated text, parquet, orc, json, feather and pickles. Folders are searched below."""
+    """Read by extension: csv, flows and gz as separated text, parquet, orc, json, feather, pickles, and as pickles with a
+    warning any other. Folders are searched below."""
     reader = spark.read.option("recursiveFileLookup", "true")
     name = path.rstrip("/*")
     if schema is not None:
@@ -33,11 +35,11 @@ def load(spark: SparkSession, path: str, schema: T.StructType | str | None = Non
         return reader.orc(path)
     if name.endswith(".json"):
         return reader.json(path)
-    if name.endswith((".feather", ".pkl", ".pkl-zip")):
-        if schema is None:
-            raise ValueError("feather and pickle files need a schema")
-        return _by_pandas(spark, path, schema)
-    raise ValueError(f"unknown format: {path}")
+    if schema is None:
+        raise ValueError(f"feather and pickle files, and such as have another extension, need a schema: {path}")
+    if not name.endswith((".feather", ".pkl", ".pkl-zip")):
+        warnings.warn(f"unknown extension, read as a pickle: {path}", stacklevel=2)
+    return _by_pandas(spark, path, schema)
 
 
 def _by_pandas(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -116,6 +118,20 @@ def read_ip_stats(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(ip.alias("ip"), n.alias("packets")).where(F.col("ip").rlike(r"^[0-9]+(\.[0-9]+){3}$|^[0-9a-fA-F]*:[0-9a-fA-F:]+$") & F.col("packets").isNotNull())
 
 
+def training_batches(df: DataFrame, columns: list[str], least: int, label: str = "Label", background_only: bool = False, seed: int = 0) -> Iterator[tuple[pd.DataFrame, pd.Series]]:
+    """Batches of at least `least` rows in shuffled order, as features and 0/1 labels (1: not background); rows that don't fill another
+    batch join the last one. A table of fewer rows is one batch."""
+    rows = df.where(F.col(label) == "background") if background_only else df
+    held = None
+    for batch in batches(rows, [*columns, label], least, seed):
+        if held is not None and len(batch) == least:
+            yield held[columns], (held[label] != "background").astype("uint8")
+            held = None
+        held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+    if held is not None:
+        yield held[columns], (held[label] != "background").astype("uint8")
+
+
 def batches(df: DataFrame, columns: list[str], size: int = 300, seed: int | None = None) -> Iterator[pd.DataFrame]:
     """Bounded batches on the driver for a trainer; with a seed in shuffled order. One partition is held at a time."""
     rows = df.select(*columns)

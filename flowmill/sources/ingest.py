@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,6 +41,34 @@ def table_ddl(definition: list[dict], name: str) -> str:
     return f"CREATE TABLE {name} ({fields}) USING parquet"
 
 
+def deployment_ddl(definition: list[dict], retention: str = "1 HOUR") -> list[str]:
+    """Statements for what a deployment stores: flows by the hour they were stored in, detections, and the view that joins the
+    detections with the flows of the last `retention`."""
+    fields = ", ".join(["id STRING", *[f"{camel_case(f['name'])} {TYPES[f['type']][0].upper()}" for f in definition]])
+    shown = [camel_case(n) for n in ("IPV4_SRC_ADDR", "IPV4_DST_ADDR", "PROTOCOL") if n in {f["name"] for f in definition}]
+    return [
+        f"CREATE TABLE IF NOT EXISTS flows ({fields}, stored_at TIMESTAMP, stored_hour STRING) USING parquet PARTITIONED BY (stored_hour)",
+        "CREATE TABLE IF NOT EXISTS detections (flow_id STRING, detector STRING, event_name STRING, metric FLOAT, event_time TIMESTAMP) USING parquet",
+        "CREATE OR REPLACE VIEW detections_flows AS SELECT f.id AS flow_id, " + "".join(f"f.{c}, " for c in shown) + "d.event_name, d.detector, d.metric, d.event_time "
+        f"FROM detections d JOIN flows f ON f.id = d.flow_id WHERE f.stored_at > current_timestamp() - INTERVAL {retention}",
+    ]
+
+
+def store_flows(flows: DataFrame, table: str = "flows") -> None:
+    """Append flows to the stored table, with the time they are stored at."""
+    now = F.current_timestamp()
+    flows.select("*", now.alias("stored_at"), F.date_format(now, "yyyy-MM-dd-HH").alias("stored_hour")).write.mode("append").insertInto(table)
+
+
+def expire_flows(spark: SparkSession, hours: int = 1, table: str = "flows") -> list[str]:
+    """Drop the stored hours that ended more than `hours` ago: whole partitions, without a rewrite. Returns them."""
+    last = spark.range(1).select(F.date_format(F.current_timestamp() - F.make_interval(hours=F.lit(hours + 1)), "yyyy-MM-dd-HH")).first()[0]
+    old = sorted(h for (p,) in spark.sql(f"SHOW PARTITIONS {table}").collect() if (h := p.partition("=")[2]) < last)
+    for hour in old:
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION (stored_hour = '{hour}')")
+    return old
+
+
 def schema_json(definition: list[dict]) -> str:
     return flow_schema(definition).json()
 
@@ -58,6 +85,12 @@ def inflate(messages: pd.Series) -> pd.Series:
     return messages.map(one)
 
 
+@F.pandas_udf(T.BinaryType())
+def deflate(messages: pd.Series) -> pd.Series:
+    """Text as a message that inflate reads: a zero byte, then zlib data."""
+    return messages.map(lambda text: None if text is None else b"\0" + zlib.compress(text.encode()))
+
+
 def _typed(value: Column, kind: str) -> Column:
     spark_type, default = TYPES[kind]
     return F.coalesce(value if spark_type == "string" else value.try_cast(spark_type), F.lit(default).cast(spark_type))
@@ -94,26 +127,6 @@ def model_columns(flows: DataFrame, definition: list[dict]) -> DataFrame:
     )
 
 
-@F.pandas_udf(T.StringType())
-def canonical_ip(values: pd.Series) -> pd.Series:
-    """One spelling per address (IPv6 has many); null for anything else."""
-    import ipaddress
-
-    def one(text: str | None) -> str | None:
-        try:
-            return None if text is None else str(ipaddress.ip_address(text))
-        except ValueError:
-            return None
-
-    return values.map(one)
-
-
 def detections_json(detections: DataFrame) -> DataFrame:
     """The message a detector publishes."""
     return detections.select(F.to_json(F.struct("flow_id", "detector", "event_name", F.col("metric").cast("float").alias("metric"))).alias("value"))
-
-
-def decoded(batches: Iterator[bytes]) -> Iterator[str]:
-    """inflate() for a plain iterator, for sources outside Spark."""
-    for raw in batches:
-        yield (zlib.decompress(raw[1:]) if raw[:1] == b"\0" else raw).decode("utf-8")

@@ -16,17 +16,27 @@ def test_broker_stream(spark, tmp_path):
     broker.register(spark)
 
     def run():
-        stream = spark.readStream.format("broker").option("client", "flowmill.sources.broker:log_file").option("path", str(log)).option("topic", "flow").load()
+        stream = spark.readStream.format("broker").option("client", "flowmill.sources.broker:LogFile").option("path", str(log)).option("topic", "flow").option("rows", 2).load()
         pipelines.start_each(stream, lambda batch, _: batch.write.mode("append").parquet(f"{tmp_path}/out"), f"{tmp_path}/checkpoint").awaitTermination()
         return sorted((r.offset, bytes(r.payload).decode()) for r in spark.read.parquet(f"{tmp_path}/out").collect())
 
-
     assert run() == [(0, "one"), (2, "three")]
     with log.open("a") as out:
         out.write("flow.c\tfour\n")
     assert run() == [(0, "one"), (2, "three"), (3, "four")]
 
 
+def test_code_goes_to_the_workers_of_a_cluster(monkeypatch):
+    import zipfile
+    from types import SimpleNamespace
+
+    sent = []
+    context = SimpleNamespace(master="spark://host:7077", applicationId="app-1", addPyFile=sent.append)
+    for _ in range(2):
+        share_code(SimpleNamespace(sparkContext=context))
+    assert len(sent) == 1 and "flowmill/sources/broker.py" in zipfile.ZipFile(sent[0]).namelist()
+
+
 def test_registry_and_settings(tmp_path):
     @registry.register("detector", "mine")
     class Mine(registry.Detector):

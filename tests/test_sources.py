@@ -1,11 +1,12 @@
 import gzip
+import zlib
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from flowmill.operators import ml, sampling
+from flowmill.operators import joins, ml, sampling
 from flowmill.sources import files, ingest
 
 
@@ -28,6 +29,13 @@ def test_formats(spark, tmp_path):
         files.save(df, f"{tmp_path}/x", "xlsx")
     with pytest.raises(ValueError):
         files.load(spark, f"{tmp_path}/x.xlsx")
+    df.toPandas().to_pickle(f"{tmp_path}/t.other")
+    with pytest.warns(UserWarning, match="unknown extension"):
+        assert sorted(files.load(spark, f"{tmp_path}/t.other", df.schema).collect()) == sorted(df.collect())
+    labelled = spark.createDataFrame([(i, float(i), "background" if i % 2 else "scan") for i in range(23)], "id long, x double, Label string")
+    got = list(files.training_batches(labelled, ["id", "x"], 5))
+    assert [len(x) for x, _ in got] == [5, 5, 5, 8] and sorted(i for x, _ in got for i in x["id"]) == list(range(23)) and sum(y.sum() for _, y in got) == 12
+    assert [y.tolist() for _, y in files.training_batches(labelled, ["x"], 50, background_only=True)] == [[0] * 11]
     got = list(files.batches(spark.range(7).toDF("id"), ["id"], 3, seed=1))
     assert [len(b) for b in got] == [3, 3, 1] and sorted(pd.concat(got)["id"]) == list(range(7))
 
@@ -57,8 +65,8 @@ def test_schemas(spark):
     assert ingest.camel_case("IPV4_SRC_ADDR") == "ipv4SrcAddr" and ingest.snake_case("inBytes") == "IN_BYTES"
     assert ingest.flow_schema(definition).simpleString() == "struct<flow_id:string,IN_BYTES:bigint,IPV4_SRC_ADDR:string>"
     assert ingest.table_ddl(definition, "flows") == "CREATE TABLE flows (id STRING, inBytes LONG, ipv4SrcAddr STRING) USING parquet"
-    ips = spark.createDataFrame([("1.2.3.4",), ("2001:DB8::0:1",), ("x",), (None,)], "a string").select(ingest.canonical_ip("a").alias("a"))
-    assert [r.a for r in ips.collect()] == ["1.2.3.4", "2001:db8::1", None, None]
+    ips = spark.createDataFrame([("1.2.3.4",), ("2001:DB8::0:1",), ("x",), (None,)], "a string").select(joins.address_key(F.col("a")).alias("a"))
+    assert [r.a for r in ips.collect()] == ["1.2.3.4", "20010db8" + "0" * 23 + "1", "x", None]
     bad = spark.createDataFrame([(bytearray(b"\0broken"),), (None,)], "a binary").select(ingest.inflate("a").alias("a"))
     assert [r.a for r in bad.collect()] == [None, None]
     one = spark.createDataFrame([("f", "ai", "scan", 0.5)], "flow_id string, detector string, event_name string, metric double")
@@ -67,6 +75,29 @@ def test_schemas(spark):
     assert ingest.model_columns(stored, definition).columns == ["FLOW_ID", "IN_BYTES", "IPV4_SRC_ADDR", "Label", "SRC_DENY", "DST_DENY"]
 
 
+def test_stored_tables(spark):
+    definition = [{"id": 1, "name": "IN_BYTES", "type": "uint32"}, {"id": 8, "name": "IPV4_SRC_ADDR", "type": "ipv4"}]
+    for statement in ingest.deployment_ddl(definition):
+        spark.sql(statement)
+    try:
+        ingest.store_flows(spark.createDataFrame([("a", 5, "1.1.1.1"), ("b", 6, "2.2.2.2")], "id string, inBytes long, ipv4SrcAddr string"))
+        spark.sql("INSERT INTO detections VALUES ('a', 'ai', 'scan', 0.5, current_timestamp()), ('old', 'ai', 'scan', 0.5, current_timestamp())")
+        spark.sql("INSERT INTO flows VALUES ('old', 1, '3.3.3.3', timestamp'2020-01-01 00:00:00', '2020-01-01-00')")
+        assert [(r.flow_id, r.ipv4SrcAddr, r.event_name) for r in spark.table("detections_flows").collect()] == [("a", "1.1.1.1", "scan")]
+        assert ingest.expire_flows(spark) == ["2020-01-01-00"] and spark.table("flows").count() == 2
+    finally:
+        for drop in ("VIEW detections_flows", "TABLE detections", "TABLE flows"):
+            spark.sql(f"DROP {drop}")
+
+
+def test_zlib_messages(spark):
+    text = b'[{"1": "5", "4": "6"}, {"1": "7"}]'
+    packed = spark.createDataFrame([(b"\0" + zlib.compress(text),), (text,), (b"\0broken",), (None,)], "m binary")
+    definition = [{"id": 1, "name": "IN_BYTES", "type": "uint32"}, {"id": 4, "name": "PROTOCOL", "type": "uint8"}]
+    rows = ingest.explode_ipfix(packed.select(ingest.inflate("m").alias("message")), definition).collect()
+    assert sorted((r.IN_BYTES, r.PROTOCOL) for r in rows) == [(5, 6), (5, 6), (7, 0), (7, 0)]
+
+
 def test_samples_repeat(spark):
     rows = spark.range(2000).withColumn("s", F.col("id") % 3)
     a, b = (sampling.split(rows.repartition(n), {"a": 0.7, "b": 0.3}, 1, "id") for n in (1, 9))

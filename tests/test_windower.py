@@ -107,6 +107,27 @@ def test_equals_the_sequential_model(spark, seed):
                 assert r[c] == pytest.approx(v, rel=1e-6, abs=1e-9), (i, c)
 
 
+def test_ordered_variance_and_port_sample(spark):
+    rows = flows(5, 200)
+    settings = w.Settings(window_ms=60_000, samples=8, strict_compat=False, seed=3, ordered_bpf=True)
+    placed = w.assign_windows(frame(spark, rows), settings.window_ms)
+    window_of = {r.arrival_seq: (r.ip_src, r.window_id) for r in placed.collect()}
+    own = defaultdict(list)
+    for f in rows:
+        own[window_of[f["arrival_seq"]]].append(f)
+    for r in w.window_stats(placed, settings).collect():
+        total, sizes, ratios = 0.0, [], []
+        for f in own[r.ip_src, r.window_id]:
+            ratios.append(f["bpp"])
+            total += (f["bytes"] - (sum(sizes) / len(sizes) if sizes else 0)) * (f["bytes"] - sum(ratios) / len(ratios))
+            sizes.append(f["bytes"])
+        n = len(sizes)
+        assert r.bpf_std == pytest.approx(total / (n - 1) if n > 1 else 0.0) and r.flows_total == n
+        assert r.port_src_uniq_cnt == len({f["port_src"] for f in own[r.ip_src, r.window_id]}) and 0 <= r.port_src_entropy <= math.log(min(n, 8)) + 1e-9
+    a, b = (sorted(w.window_stats(placed.repartition(n), settings).select("ip_src", "window_id", "port_src_entropy").collect()) for n in (1, 7))
+    assert [r[:2] for r in a] == [r[:2] for r in b] and [r[2] for r in a] == pytest.approx([r[2] for r in b])
+
+
 def test_layout_changes_nothing(spark):
     rows = flows(3, 300)
     shuffled = random.Random(0).sample(rows, len(rows))
