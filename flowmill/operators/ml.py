@@ -172,6 +172,18 @@ def reconstruction_losses(rows: DataFrame, model: Autoencoder, feature: str = "f
     return rows.withColumn("__l", score(F.col(feature))).select("*", "__l.*").drop("__l")
 
 
+def attributions(rows: DataFrame, model: Autoencoder, feature: str = "feature") -> DataFrame:
+    """Adds `attribution`: for each feature, how fast the squared error grows with its reconstruction."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("array<double>")
+    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            yield pd.Series(list(shared.value.attribution(np.stack([np.asarray(x, float) for x in part]))) if len(part) else [], dtype=object)
+
+    return rows.withColumn("attribution", score(F.col(feature)))
+
+
 def detect(scored: DataFrame, binary: float = 0.75, known: float = 0.5, anomaly: float = 0.15) -> DataFrame:
     """Chained decision: a confident attack of a known class is reported with its class and confidence; what is benign or
     not confidently classed is reported as an anomaly if its reconstruction error is high. Columns: flow_id, attack_prob,

@@ -72,6 +72,11 @@ def profile_features(merged: DataFrame) -> DataFrame:
     return out.withColumns(shares)
 
 
+def with_clusters(features: DataFrame, labels: DataFrame, ip: str = "ip_address", label: str = "cluster_label") -> DataFrame:
+    """Features of the clustered addresses with the cluster of each; addresses are unique in both tables."""
+    return features.join(labels.select(ip, label), ip)
+
+
 def busy_addresses(features: DataFrame, more_than: int = 1) -> DataFrame:
     """Addresses with more than so many flows: the rest tell too little to be clustered."""
     return features.where(F.col("num_flows") > more_than)

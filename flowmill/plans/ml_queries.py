@@ -72,19 +72,33 @@ def _layer(values, weights: str, bias: str, names: str) -> str:
 _XS, _MS, _YS = ([f"{n}{i}" for i in range(k)] for n, k in (("x", 3), ("m", 2), ("y", 3)))
 
 
-@query(f"""WITH {flows_cte("flow_id", "in_bytes", "in_pkts", "ttl")}, a AS (SELECT flow_id, {', '.join(f'{x} AS x{i}' for i, x in enumerate(_X))} FROM flows), b AS (SELECT *, {_layer(_XS, 'wm', 'bm', 'm')}, {_layer(_XS, 'ws', 'bs', 's')} FROM a),
+_FIXED_SQL = f"""WITH {flows_cte("flow_id", "in_bytes", "in_pkts", "ttl")}, a AS (SELECT flow_id, {', '.join(f'{x} AS x{i}' for i, x in enumerate(_X))} FROM flows), b AS (SELECT *, {_layer(_XS, 'wm', 'bm', 'm')}, {_layer(_XS, 'ws', 'bs', 's')} FROM a),
     c AS (SELECT *, {_layer(_MS, 'wd0', 'bd0', 'z')} FROM b), d AS (SELECT *, {', '.join(f'1 / (1 + exp(-z{i})) AS y{i}' for i in range(3))} FROM c),
-    e AS (SELECT flow_id, ({' + '.join(f'pow(x{i} - y{i}, 2)' for i in range(3))}) / 3 AS mse, ({' + '.join(f'-(x{i} * ln(y{i}) + (1 - x{i}) * ln(1 - y{i}))' for i in range(3))}) / 3 AS bce, -0.5 * ({' + '.join(f'1 + s{i} - pow(m{i}, 2) - exp(s{i})' for i in range(2))}) AS kd FROM d)
-    SELECT flow_id, round(mse, 6) AS mse_loss, round(bce, 6) AS bce_loss, round(bce + kd, 6) AS bce_kd_loss FROM e""")
-def recon_fixed(spark, sf_dir):
-    """ML4, ML5: the three losses of a network with given weights, each row a batch of its own."""
+    e AS (SELECT flow_id, ({' + '.join(f'pow(x{i} - y{i}, 2)' for i in range(3))}) / 3 AS mse, ({' + '.join(f'-(x{i} * ln(y{i} + 1e-9) + (1 - x{i}) * ln(1 - y{i} + 1e-9))' for i in range(3))}) / 3 AS bce, -0.5 * ({' + '.join(f'1 + s{i} - pow(m{i}, 2) - exp(s{i})' for i in range(2))}) AS kd FROM d)"""
+
+
+def _fixed_network(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ml.Autoencoder]:
     share_code(spark)
     model = ml.Autoencoder(3, (), 2, p={k: np.array(v) for k, v in _FIXED.items()})
     rows = events_as_flows(spark, sf_dir, "flow_id", "in_bytes", "in_pkts", "ttl").select("flow_id", F.array(*[F.expr(x).cast("double") for x in _X]).alias("feature"))
+    return rows, model
+
+
+@query(_FIXED_SQL + " SELECT flow_id, round(mse, 6) AS mse_loss, round(bce, 6) AS bce_loss, round(bce + kd, 6) AS bce_kd_loss FROM e")
+def recon_fixed(spark, sf_dir):
+    """ML4, ML5: the three losses of a network with given weights, each row a batch of its own."""
+    rows, model = _fixed_network(spark, sf_dir)
     losses = ml.reconstruction_losses(rows, model, batch=1)
     return losses.select("flow_id", *[F.round(c, 6).alias(c) for c in ("mse_loss", "bce_loss", "bce_kd_loss")])
 
 
+@query(_FIXED_SQL + f" SELECT flow_id, {', '.join(f'round(2 * (y{i} - x{i}) / 3, 6) AS a{i}' for i in range(3))} FROM d")
+def attribution_fixed(spark, sf_dir):
+    """ML13: which feature makes a flow odd, by the same network."""
+    rows, model = _fixed_network(spark, sf_dir)
+    return ml.attributions(rows, model).select("flow_id", *[F.round(F.col("attribution")[i], 6).alias(f"a{i}") for i in range(3)])
+
+
 @query(f"WITH {flows_cte('flow_id', 'in_pkts')} SELECT flow_id, CASE WHEN in_pkts > 5 THEN 'attack' ELSE 'background' END AS predicted, 1.0 AS confidence FROM flows")
 def rf_separable(spark, sf_dir):
     """ML2, ML5: a forest on features any of which tells the label."""

@@ -278,14 +278,14 @@ def clean_labels(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", scalars.clean_label(raw).alias("label"))
 
 
-@query("SELECT event_id, round(epoch(ts), 3) AS seconds, epoch_us(ts) // 1000 AS ms, round(epoch_ms(ts) / 1000.0, 2) AS back, CAST(floor(epoch_us(ts) / 1000.0) AS BIGINT) AS low_ms, CAST(ceil(epoch_us(ts) / 1000.0) AS BIGINT) AS high_ms FROM events")
+@query("SELECT event_id, round(epoch(ts), 3) AS seconds, epoch_us(ts) // 1000 AS ms, CAST(floor(epoch(ts)) AS BIGINT) * 1000 AS whole_ms, round((epoch_us(ts) // 1000) / 1000.0, 3) AS back, CAST(floor(epoch_us(ts) / 1000.0) AS BIGINT) AS low_ms, CAST(ceil(epoch_us(ts) / 1000.0) AS BIGINT) AS high_ms FROM events")
 def timestamp_strings(spark, sf_dir):
     """time text to epoch seconds, and to whole milliseconds either way; conversions of units."""
     text = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss.SSSSSS")
     seconds = scalars.epoch_seconds(text)
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     return table(spark, sf_dir, "events").select(
-        "event_id", F.round(seconds, 3).alias("seconds"), scalars.micros_to_millis(micros).alias("ms"), F.round(scalars.millis_to_seconds(scalars.seconds_to_millis(seconds)), 2).alias("back"), F.round(scalars.floor_millis(seconds) * 1000).cast("long").alias("low_ms"), F.round(scalars.ceil_millis(seconds) * 1000).cast("long").alias("high_ms")
+        "event_id", F.round(seconds, 3).alias("seconds"), scalars.micros_to_millis(micros).alias("ms"), scalars.seconds_to_millis(F.floor(seconds)).alias("whole_ms"), F.round(scalars.millis_to_seconds(scalars.micros_to_millis(micros)), 3).alias("back"), F.round(scalars.floor_millis(seconds) * 1000).cast("long").alias("low_ms"), F.round(scalars.ceil_millis(seconds) * 1000).cast("long").alias("high_ms")
     )
 
 

@@ -13,6 +13,14 @@ from pyspark.sql import DataFrame
 from flowmill.operators.windower import Settings
 
 _PARTS: dict[str, dict[str, Callable]] = {}
+#: What the library itself offers; imported when it is asked for.
+_BUILT_IN = {
+    "source": {"files": "flowmill.sources.files.load", "netflow": "flowmill.sources.files.read_netflow", "broker": "flowmill.sources.broker.BrokerSource"},
+    "processor": {"ipfix": "flowmill.sources.ingest.explode_ipfix", "netflow9": "flowmill.sources.ingest.explode_netflow9", "windows": "flowmill.operators.windower.window_features"},
+    "detector": {"chain": "flowmill.operators.ml.detection_chain", "decision": "flowmill.operators.ml.detect"},
+    "scaler": {"config": "flowmill.operators.scaling.scale", "min_max": "flowmill.operators.scaling.apply_min_max", "quantile": "flowmill.operators.ml.quantile_uniform"},
+    "clusterer": {"kmeans": "flowmill.operators.ml.kmeans_grid", "dbscan": "flowmill.operators.ml.dbscan", "k_medoids": "flowmill.operators.ml.k_medoids"},
+}
 
 
 def register(kind: str, name: str) -> Callable[[Callable], Callable]:
@@ -28,9 +36,9 @@ def find(kind: str, name: str) -> Callable:
     """A registered factory, or the object at a dotted path such as package.module.Class."""
     if name in _PARTS.get(kind, {}):
         return _PARTS[kind][name]
-    module, _, attribute = name.rpartition(".")
+    module, _, attribute = _BUILT_IN.get(kind, {}).get(name, name).rpartition(".")
     if not module:
-        raise KeyError(f"no {kind} named {name}; known: {sorted(_PARTS.get(kind, {}))}")
+        raise KeyError(f"no {kind} named {name}; known: {sorted({*_PARTS.get(kind, {}), *_BUILT_IN.get(kind, {})})}")
     return getattr(importlib.import_module(module), attribute)
 
 

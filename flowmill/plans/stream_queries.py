@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from flowmill.plans.flows import SPARK, EVENTS, events_as_flows, flows_cte
 from flowmill.plans import queries as plain
 from flowmill.session import share_code, shared_dir, table
-from flowmill.sources import files, ingest
+from flowmill.sources import files, ingest, pcap
 from flowmill.streaming import pipelines
 
 QUERIES: dict = {}
@@ -61,6 +61,20 @@ def netflow9_explode(spark, sf_dir):
     return ingest.explode_netflow9(messages, definition).drop("flow_id")
 
 
+@query(f"""WITH {flows_cte("ip_src", "ip_dst", "port_src", "port_dst", "protocol", "start_ms", "label")} SELECT label, round(start_ms / 1000.0, 3) AS timestamp, ip_src AS src_ip, ip_dst AS dst_ip, CASE WHEN protocol IN (6, 17, 132) THEN port_src END AS src_port,
+    CASE WHEN protocol IN (6, 17, 132) THEN port_dst END AS dst_port, protocol AS proto FROM flows""")
+def pcap_round_trip(spark, sf_dir):
+    """SRC14, SNK12: a packet for each flow, written to captures by label and read back."""
+    share_code(spark)
+    folder = _folder(spark, "captures")
+    rows = events_as_flows(spark, sf_dir, "ip_src", "ip_dst", "port_src", "port_dst", "protocol", "start_ms", "label")
+    made = rows.select((F.col("start_ms") / 1000.0).alias("timestamp"), pcap.header_packet("ip_src", "ip_dst", "port_src", "port_dst", "protocol").alias("packet"), "label")
+    pcap.write_pcap(made, folder, "label")
+    return pcap.read_pcap(spark, folder).select(
+        F.regexp_extract("file", "label=([a-z]+)/", 1).alias("label"), F.round("timestamp", 3).alias("timestamp"), "src_ip", "dst_ip", "src_port", "dst_port", "proto"
+    )
+
+
 @query(f"""WITH {flows_cte("flow_id", "in_bytes")} SELECT CAST(make_date(2024, 1, 1 + CAST(flow_id % 3 AS INT)) AS VARCHAR) AS date, CAST(flow_id % 4 AS INT) AS hour, count(*) AS n, CAST(sum(in_bytes) AS BIGINT) AS in_bytes FROM flows GROUP BY 1, 2""")
 def path_hours(spark, sf_dir):
     """SRC8, SNK7: flows written to a folder for each hour, and read back with the date and hour of their path."""

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import io
+import os
 import warnings
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,7 +61,10 @@ def _by_pandas(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
 
 
 def save(df: DataFrame, path: str, kind: str, sep: str = "|", partition_by: list[str] | None = None, max_rows: int | None = None, mode: str = "overwrite") -> None:
-    """Write as csv, flows, gz, parquet, orc or json; optional folders per value and rows per file."""
+    """Write as csv, flows, gz, parquet, orc or json; optional folders per value and rows per file. feather, pkl and pkl-zip are written by the
+    tasks, a file each, to a folder that all of them can reach; a task holds its partition's rows."""
+    if kind in _PANDAS:
+        return _save_by_pandas(df, path, kind, mode)
     writer = df.write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -74,6 +79,36 @@ def save(df: DataFrame, path: str, kind: str, sep: str = "|", partition_by: list
         raise ValueError(f"unknown format: {kind}")
 
 
+_PANDAS = {"feather": pd.DataFrame.to_feather, "pkl": pd.DataFrame.to_pickle, "pkl-zip": lambda rows, out: rows.to_pickle(out, compression="zip")}
+
+
+def _save_by_pandas(df: DataFrame, path: str, kind: str, mode: str) -> None:
+    """One file a task, under a name that a repeated attempt writes again; the first task's is there even without rows."""
+    from pyarrow import fs
+
+    uri = path if "://" in path else f"file://{os.path.abspath(path)}"
+    store, folder = fs.FileSystem.from_uri(uri)
+    if store.get_file_info(folder).type != fs.FileType.NotFound:
+        if mode != "overwrite":
+            raise ValueError(f"{path} exists")
+        store.delete_dir(folder)
+    store.create_dir(folder)
+    columns = df.columns
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number, parts = TaskContext.get().partitionId(), list(batches)
+        rows = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=columns)
+        if len(rows) or not number:
+            raw = io.BytesIO()
+            _PANDAS[kind](rows, raw)
+            there, at = fs.FileSystem.from_uri(uri)
+            with there.open_output_stream(f"{at}/part-{number:05d}.{kind}") as out:
+                out.write(raw.getvalue())
+        yield pd.DataFrame({"n": [len(rows)]})
+
+    df.mapInPandas(write, "n long").agg(F.sum("n")).collect()
+
+
 def save_buckets(df: DataFrame, path: str, buckets: int, *keys: str) -> None:
     """One folder per hash bucket of the keys."""
     df.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets))).repartition(buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)

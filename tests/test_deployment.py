@@ -43,6 +43,8 @@ def test_registry_and_settings(tmp_path):
         name = "mine"
 
     assert registry.find("detector", "mine") is Mine and registry.find("scaler", "flowmill.operators.scaling.scale").__name__ == "scale"
+    for kind, parts in registry._BUILT_IN.items():
+        assert all(callable(registry.find(kind, name)) for name in parts)
     with pytest.raises(KeyError):
         registry.find("detector", "none")
     (tmp_path / "w.json").write_text(json.dumps({"window_size": 2, "win_min_cnt": 3}))

@@ -1,4 +1,5 @@
 import gzip
+import struct
 import zlib
 
 import numpy as np
@@ -7,18 +8,22 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowmill.operators import joins, ml, sampling
-from flowmill.sources import files, ingest
+from flowmill.session import share_code
+from flowmill.sources import files, ingest, pcap
 
 
 def test_formats(spark, tmp_path):
     df = spark.createDataFrame([(1, "a", 0.5), (2, None, 1.5)], "id long, s string, x double")
-    for kind in ("csv", "flows", "gz", "parquet", "orc", "json"):
+    share_code(spark)
+    for kind in ("csv", "flows", "gz", "parquet", "orc", "json", "feather", "pkl", "pkl-zip"):
         files.save(df, f"{tmp_path}/t.{kind}", kind)
         assert sorted(files.load(spark, f"{tmp_path}/t.{kind}", df.schema).collect()) == sorted(df.collect()), kind
-    df.toPandas().to_feather(f"{tmp_path}/t.feather")
-    df.toPandas().to_pickle(f"{tmp_path}/t.pkl")
+    df.toPandas().to_feather(f"{tmp_path}/one.feather")
+    df.toPandas().to_pickle(f"{tmp_path}/one.pkl")
     for kind in ("feather", "pkl"):
-        assert sorted(files.load(spark, f"{tmp_path}/t.{kind}", df.schema).collect()) == sorted(df.collect())
+        assert sorted(files.load(spark, f"{tmp_path}/one.{kind}", df.schema).collect()) == sorted(df.collect())
+    files.save(df.limit(0), f"{tmp_path}/none.feather", "feather")
+    assert files.load(spark, f"{tmp_path}/none.feather", df.schema).count() == 0
     files.save(df, f"{tmp_path}/parts", "parquet", partition_by=["id"])
     assert {p.name for p in (tmp_path / "parts").glob("id=*")} == {"id=1", "id=2"}
     files.save(spark.range(25).coalesce(1), f"{tmp_path}/chunks", "csv", max_rows=10)
@@ -75,6 +80,28 @@ def test_schemas(spark):
     assert ingest.model_columns(stored, definition).columns == ["FLOW_ID", "IN_BYTES", "IPV4_SRC_ADDR", "Label", "SRC_DENY", "DST_DENY"]
 
 
+def test_captures(spark, tmp_path):
+    ip6 = bytes([0x60, 0, 0, 0, 0, 4, 17, 64]) + bytes(15) + b"\1" + bytes(15) + b"\2" + struct.pack("!HH", 53, 4000)
+    tagged = bytes(12) + struct.pack("!HHHH", 0x8100, 5, 0x8100, 6) + struct.pack("!H", 0x86DD) + ip6
+    fragment = bytes(12) + b"\x08\x00" + struct.pack("!BBHHHBBH4s4s", 0x45, 0, 28, 0, 100, 64, 6, 0, bytes([1, 2, 3, 4]), bytes([5, 6, 7, 8])) + bytes(8)
+    for order, magic, ticks in (("<", pcap.MICROS, 10**6), (">", pcap.NANOS, 10**9)):
+        raw = struct.pack(order + "IHHiIII", magic, 2, 4, 0, 0, 65535, 1)
+        for i, packet in enumerate((tagged, fragment, b"short", bytes(12) + b"\x08\x06" + bytes(30))):
+            raw += struct.pack(order + "IIII", 100 + i, ticks // 4, len(packet), len(packet) + 7) + packet
+        (tmp_path / "a.pcap").write_bytes(raw + struct.pack(order + "IIII", 1, 1, 99, 99) + b"cut")
+        rows = pcap.read_pcap(spark, str(tmp_path / "a.pcap")).orderBy("number").collect()
+        assert [(r.timestamp, r.src_ip, r.dst_ip, r.src_port, r.dst_port, r.proto) for r in rows] == [
+            (100.25, "::1", "::2", 53, 4000, 17), (101.25, "1.2.3.4", "5.6.7.8", None, None, 6), (102.25, *[None] * 5), (103.25, *[None] * 5),
+        ]
+        assert rows[0].length == len(tagged) + 7 and bytes(rows[0].packet) == tagged
+    assert pcap.addresses(ip6, pcap.RAW) == ("::1", "::2", 53, 4000, 17) and pcap.addresses(b"", pcap.RAW) is None
+    with pytest.raises(ValueError):
+        list(pcap.packets_of(b"no capture at all, but long enough"))
+    again = pcap.read_pcap(spark, str(tmp_path / "a.pcap"))
+    pcap.write_pcap(again, f"{tmp_path}/out")
+    assert sorted((r.timestamp, bytes(r.packet)) for r in pcap.read_pcap(spark, f"{tmp_path}/out").collect()) == sorted((r.timestamp, bytes(r.packet)) for r in again.collect())
+
+
 def test_stored_tables(spark):
     definition = [{"id": 1, "name": "IN_BYTES", "type": "uint32"}, {"id": 8, "name": "IPV4_SRC_ADDR", "type": "ipv4"}]
     for statement in ingest.deployment_ddl(definition):
