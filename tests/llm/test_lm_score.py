@@ -3,7 +3,10 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from flowmill.llm import lm_score
 
@@ -69,14 +72,42 @@ def test_scores_equal_brute_force(spark, monkeypatch):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-5)
 
 
+def test_pieces_of_a_body_have_its_grams():
+    body = lm_score.spelt(lm_score.tokens("some Text that is cut " * 40))
+    whole = lm_score.grams(list(lm_score.pieces(body, len(body))))
+    for size in (1, 5, 6, 7, 100):
+        assert (lm_score.grams(list(lm_score.pieces(body, size))) == whole).all()
+    assert len(whole) == len(body)
+
+
+def test_words_of_equal_hash_are_in_order(monkeypatch):
+    monkeypatch.setattr(lm_score.zlib, "crc32", lambda w: len(w))
+    words = [b"bb", b"c", b"aa", b"ab", b"c", b"ba", b"a"]
+    ranked, hashes, place = lm_score._ranked(pa.chunked_array([pa.array(words[:3], pa.binary()), pa.array(words[3:], pa.binary())]))
+    assert ranked == [b"a", b"c", b"aa", b"ab", b"ba", b"bb"] and hashes.tolist() == [1, 1, 2, 2, 2, 2] and [ranked[i] for i in place] == words
+
+
+def test_very_long_text(spark):
+    """A text of several pieces, beside others, against the trie in one process."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["alpha", "be", "gamma", "delta", "épsilon"]) for _ in range(n)) for n in (500_000, 10, 0)]
+    got = {r.doc_id: r for r in lm_score.ppm_scores(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), held_out=F.lit(False)).collect()}
+    bodies = [lm_score.spelt(lm_score.tokens(t)) for t in texts]
+    each = [lm_score.grams(list(lm_score.pieces(b, 1 << 30))) for b in bodies]
+    keys, counts = np.unique(np.concatenate(each), return_counts=True)
+    near = ((keys >> np.uint64(32)) * lm_score._GATHER & lm_score._24).astype(np.int64)
+    ids, at = np.unique(near >> 8 << 8 | (keys & np.uint64(255)).astype(np.int64), return_inverse=True)
+    codes = lm_score.Trie(ids, np.bincount(at, counts)).codes(keys, counts.astype(float))
+    for i, g in enumerate(each):
+        assert got[i].score == pytest.approx(codes[np.searchsorted(keys, g)].sum(), rel=1e-5) and got[i].n_tokens == got[i].n_known == len(lm_score.tokens(texts[i]))
+
+
 def test_probabilities_sum_to_one_at_most():
     code = brute([[b"ab", b"abc", b"b", b"\n"]])
     assert sum(10 ** code([bytes([x]), b"\n"]) for x in range(256) if x not in b" \t\n\r\x0b\x0c") < 1
 
 
 def test_without_training_rows_and_empty(spark):
-    from pyspark.sql import functions as F
-
     one = spark.createDataFrame([(1, "ab")], "doc_id long, text string")
     row = lm_score.ppm_scores(one, held_out=F.lit(True)).first()
     assert (row.n_tokens, row.n_known, row.train_tokens, row.base_score) == (2, 0, 0, 0.0)

@@ -100,6 +100,23 @@ def test_sequences_round_trip(docs):
             assert [x for _, part in sorted(back[r.doc_id]) for x in part] == [*plain.encode(r.text or "", add_special_tokens=False).ids, 0]
 
 
+def test_very_long_text(spark):
+    rng = random.Random(9)
+    text = "".join(rng.choice(["alpha ", "be\n", "gamma, ", "δ", "12 "]) for _ in range(800_000))  # some 3 MB
+    want = [*Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids, 0]
+    got = sorted(packing.pack_pieces(spark.createDataFrame([(1, text), (2, "x")], "doc_id long, text string"), PATH).where("doc_id = 1").collect(), key=lambda r: r.start)
+    assert [r.start for r in got] == list(range(0, len(want), 1024)) and sum(r.length for r in got) == len(want)
+    assert all(r.ids_crc32 == zlib.crc32(np.array(want[r.start : r.start + r.length], "<u4").tobytes()) for r in got)
+
+
+def test_shards(spark, docs, tmp_path):
+    made = packing.pack_ids(docs, PATH)
+    packing.write_ids(made, f"{tmp_path}/ids")
+    read = spark.read.parquet(f"{tmp_path}/ids")
+    assert read.columns == made.columns and read.count() == made.count()
+    assert all(zlib.crc32(np.frombuffer(r.input_ids, f"<u{packing.id_width(PATH)}").astype("<u4").tobytes()) == r["ids_crc32"] for r in read.collect())
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack_pieces(none, PATH).count() == 0 and packing.pack_ids(none, PATH).count() == 0
