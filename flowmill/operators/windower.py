@@ -173,7 +173,9 @@ def history(stats: DataFrame, settings: Settings = Settings()) -> DataFrame:
     value that isn't finite counts as 0. Whole-number statistics are truncated after averaging.
     """
     whole = len(str(settings.max_windows))
-    scale = (37 - 2 * whole) // 2  # so that a number of windows times their sum of squares has 38 digits
+    # A number of windows times their sum of squares has 38 digits at most; with the default limit a hundred million closed windows of a source
+    # (six years of two seconds each) can be summed.
+    scale = (37 - 2 * whole) // 2
     closed = F.col("flows_total") >= settings.min_flows
     of_ip = Window.partitionBy("ip_src")
     by_ip = of_ip.orderBy("window_id")
@@ -183,7 +185,7 @@ def history(stats: DataFrame, settings: Settings = Settings()) -> DataFrame:
     rows = rows.withColumns({f"__own_{c}": F.coalesce(own(c) / F.col(f"__top_{c}"), F.lit(0.0)).cast(f"decimal({scale + 1},{scale})") for c in SUMMED})
     added = lambda x: F.sum(F.when(closed, x)).over(so_far)
     sums = F.array(*[added(F.col(f"__own_{c}")) for c in SUMMED])
-    squares = F.array(*[added(F.col(f"__own_{c}") * F.col(f"__own_{c}")).cast(f"decimal(37,{2 * scale})") for c in DEVIATIONS])
+    squares = F.array(*[added(F.col(f"__own_{c}") * F.col(f"__own_{c}")).cast(f"decimal(38,{2 * scale})") for c in DEVIATIONS])
     exact = F.array(*[added(F.col(c).cast("long")) for c in WHOLE])
     place = F.count_if(closed).over(so_far)
     # Closed windows have even places, others the odd one after the last closed window, so that a range of places holds a number of closed ones.
@@ -211,7 +213,10 @@ def history(stats: DataFrame, settings: Settings = Settings()) -> DataFrame:
     enough = F.col("n") > settings.min_windows
     rows = rows.select("ip_src", "window_id", "top", "n", "seen", "latest", *[F.when(enough, x).alias(c) for c, x in (("s", between("s", one)), ("q", between("q", two)), ("w", between("w", "bigint")))])
     n = F.col("n").cast(f"decimal({whole + 1},0)")
-    spread = F.transform("q", lambda x, i: F.sqrt(F.greatest((n * x - F.get("s", i) * F.get("s", i)).cast("double"), F.lit(0.0))) / F.col("n") * F.get("top", i))
+    # Differences of 38 digits lose their last one, so what is below it is 0.
+    least = F.col("n") * F.lit(10.0 ** (2 - 2 * scale))
+    above = lambda x: F.when(x > least, x).otherwise(F.lit(0.0))
+    spread = F.transform("q", lambda x, i: F.sqrt(above((n * x - F.get("s", i) * F.get("s", i)).cast("double"))) / F.col("n") * F.get("top", i))
     mean = F.transform("s", lambda x, i: x.cast("double") / F.col("n") * F.get("top", i))
     rows = rows.withColumns({"mean": mean, "spread": spread})
 
