@@ -27,6 +27,17 @@ def window_duration(start_ms: Column, end_ms: Column) -> Column:
     return F.when(end_ms == start_ms, F.lit(0.01)).otherwise((end_ms - start_ms) / F.lit(1000.0))
 
 
+def rounded(value: Column | str, digits: int = 0) -> Column:
+    """Rounded as DuckDB does: times 10^digits, to the nearest whole number, halves away from zero; with negative digits what isn't finite is 0.
+
+    Spark's round goes by the decimal digits instead: 3.5e-05 at 5 digits is 4e-05 there and 3e-05 here, as 3.5e-05 * 1e5 is below 3.5.
+    """
+    v = (F.col(value) if isinstance(value, str) else value).cast("double")
+    tens = F.lit(10.0 ** abs(digits))
+    out = F.round(v * tens) / tens if digits >= 0 else F.round(v / tens) * tens
+    return F.when(F.abs(out) < float("inf"), out).when(out.isNotNull(), v if digits >= 0 else F.lit(0.0))
+
+
 def side_duration(ms: Column) -> Column:
     """Seconds of one direction; nothing sent counts as 1 ms."""
     return F.when(ms > 0, ms / F.lit(1000.0)).otherwise(F.lit(0.001))

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowmill.functions import scalars
 from flowmill.operators import joins, profiles, scaling
 from flowmill.plans.flows import events_as_flows, flows_cte
 from flowmill.session import share_code, shared_dir, table
@@ -42,7 +43,7 @@ def saved_formats(spark, sf_dir):
         # gzipped text with a header is read by the extension of its folder
         read = files.load(spark, path, rows.schema) if kind != "arrow" else spark.read.schema(rows.schema).option("sep", "|").option("header", True).csv(path)
         found = read.withColumn("kind", F.lit(kind)) if found is None else found.unionByName(read.withColumn("kind", F.lit(kind)))
-    return found.groupBy("kind").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"), F.round(F.sum("value"), 2).alias("total"), F.count_distinct("event_type").alias("types"))
+    return found.groupBy("kind").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"), scalars.rounded(F.sum("value"), 2).alias("total"), F.count_distinct("event_type").alias("types"))
 
 
 @query("SELECT event_type AS cluster_label, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY 1")
@@ -138,7 +139,7 @@ def model_input(spark, sf_dir):
     rows = rows.withColumn("in_bytes", F.when(F.col("flow_id") % 4 != 0, F.col("in_bytes"))).withColumn("label", F.when(F.col("flow_id") % 5 != 0, F.col("label")))
     files.save_features(scaling.assemble(scaling.drop_unlabelled(rows, "label"), _INPUT, ("flow_id", "label")), folder, 100)
     total = F.aggregate("feature", F.lit(0.0), lambda a, x: a + x)
-    return spark.read.parquet(folder).select("flow_id", "label", F.size("feature").alias("width"), F.round(total, 2).alias("total"))
+    return spark.read.parquet(folder).select("flow_id", "label", F.size("feature").alias("width"), scalars.rounded(total, 2).alias("total"))
 
 
 @query(f"WITH {flows_cte('flow_id', 'label')} SELECT count(*) AS n, CAST(sum(CASE WHEN label = 'background' THEN 0 ELSE 1 END) AS BIGINT) AS attacks, CAST(greatest(count(*) // 64, 1) AS BIGINT) AS batches FROM flows")
@@ -184,4 +185,4 @@ def clustered_addresses(spark, sf_dir):
     features, labels = _labelled(spark, sf_dir)
     path = f"{_folder(spark, 'clusters')}/best.csv"
     files.save(profiles.with_clusters(features, labels), path, "csv")
-    return files.load(spark, path, "ip_address string, num_total_bytes double, cluster_label int").withColumn("num_total_bytes", F.round("num_total_bytes", 2))
+    return files.load(spark, path, "ip_address string, num_total_bytes double, cluster_label int").withColumn("num_total_bytes", scalars.rounded("num_total_bytes", 2))

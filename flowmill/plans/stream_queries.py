@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowmill.functions import scalars
 from flowmill.plans.flows import SPARK, EVENTS, events_as_flows, flows_cte
 from flowmill.plans import queries as plain
 from flowmill.session import share_code, shared_dir, table
@@ -71,7 +72,7 @@ def pcap_round_trip(spark, sf_dir):
     made = rows.select((F.col("start_ms") / 1000.0).alias("timestamp"), pcap.header_packet("ip_src", "ip_dst", "port_src", "port_dst", "protocol").alias("packet"), "label")
     pcap.write_pcap(made, folder, "label")
     return pcap.read_pcap(spark, folder).select(
-        F.regexp_extract("file", "label=([a-z]+)/", 1).alias("label"), F.round("timestamp", 3).alias("timestamp"), "src_ip", "dst_ip", "src_port", "dst_port", "proto"
+        F.regexp_extract("file", "label=([a-z]+)/", 1).alias("label"), scalars.rounded("timestamp", 3).alias("timestamp"), "src_ip", "dst_ip", "src_port", "dst_port", "proto"
     )
 
 
@@ -128,7 +129,7 @@ def stream_windower(spark, sf_dir):
     share_code(spark)
     flows = _event_stream(spark, sf_dir, "arrival_seq", "ip_src", "end_ms", "in_bytes")
     out = pipelines.run_available(spark, pipelines.stateful_windows(flows, _DAY, 2, 20, 8, _T0), _folder(spark, "windows"))
-    return out.withColumn("mean_flows", F.round("mean_flows", 5)).withColumn("mean_bytes", F.round("mean_bytes", 4))
+    return out.withColumn("mean_flows", scalars.rounded("mean_flows", 5)).withColumn("mean_bytes", scalars.rounded("mean_bytes", 4))
 
 
 @query(plain.SQL["win_features_all"])

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from flowmill.functions import scalars
 from flowmill.operators import joins, ml, profiles, ranks, sampling, scaling
 
 
@@ -146,3 +147,15 @@ def test_few_flows_and_quantile_scaling(spark):
     got = np.array([r.x for r in ml.quantile_uniform(rows, ["x"]).collect()[:-1]], float)
     want = np.interp(x, np.quantile(x, np.linspace(0, 1, 1001)), np.linspace(0, 1, 1001))
     assert got == pytest.approx(want, abs=1e-9)
+
+
+def test_rounding_is_duckdbs(spark):
+    import duckdb
+
+    values = [3.5e-05, 6.5e-05, 0.000565, 0.003125, 86211281.956565, -3.5e-05, 2.5e11, 1.7e308, float("inf"), float("nan")]
+    rows = spark.createDataFrame([(x,) for x in values], "x double")
+    for digits in (5, 0, -2):
+        got = [r.y for r in rows.select(scalars.rounded("x", digits).alias("y")).collect()]
+        want = [duckdb.execute(f"SELECT round(CAST(? AS DOUBLE), {digits})", [x]).fetchone()[0] for x in values]
+        assert [repr(x + 0.0) for x in got] == [repr(x + 0.0) for x in want]  # zeros without their sign
+    assert [r.y for r in rows.limit(1).select(F.round("x", 5).alias("y")).collect()] == [4e-05]  # not so by Spark's round
