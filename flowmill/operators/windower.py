@@ -119,7 +119,9 @@ def _marked(flows: DataFrame, settings: Settings) -> DataFrame:
         rows = rows.withColumn("bpf_part", (F.col("bytes") - before) * (F.col("bytes") - F.avg("bpp").over(so_far.rowsBetween(Window.unboundedPreceding, 0))))
     by_port = Window.partitionBy(*keys, "port_src")
     rows = rows.withColumn("same_port", F.count_if(starts).over(by_port)).withColumn("same_sampled", F.count_if("sampled").over(by_port))
-    return rows.withColumn("same_dst", F.count_if(starts).over(Window.partitionBy(*keys, "ip_dst")))
+    rows = rows.withColumn("same_dst", F.count_if(starts).over(Window.partitionBy(*keys, "ip_dst")))
+    # Sums of doubles are added in order of arrival, whatever the layout: means that lie on the edge of a rounding stay on one side of it.
+    return rows.sortWithinPartitions(*keys, "arrival_seq")
 
 
 def _port_entropy(settings: Settings) -> Column:
@@ -140,7 +142,8 @@ def _port_entropy(settings: Settings) -> Column:
 
 def window_stats(flows: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """One row per (ip_src, window_id) with WINDOW_COLUMNS: the flows are shuffled once, and the final aggregation needs no exchange."""
-    variance = lambda c: F.coalesce(F.var_samp(c), F.lit(0.0))
+    # The covariance with itself is updated by (x - mean before) (x - mean after), as DuckDB's variance is; var_samp's update has other last bits.
+    variance = lambda c: F.coalesce(F.covar_samp(c, c), F.lit(0.0))
     zero = lambda x: F.coalesce(x, F.lit(0.0))
     # Each of n equal values counts 1 / n.
     distinct = lambda c, n: F.round(F.coalesce(F.sum(F.when(F.col(c).isNotNull(), 1 / F.col(n))), F.lit(0.0))).cast("long")
@@ -162,6 +165,8 @@ def window_stats(flows: DataFrame, settings: Settings = Settings()) -> DataFrame
 
 #: Columns whose sums over windows are kept: those with a deviation first.
 SUMMED = (*DEVIATIONS, *[c for c in WINDOW_COLUMNS if c not in DEVIATIONS and c not in SUMMARY])
+#: Columns that divide by packets, bytes or time, so that a value may be infinite and its variance NaN.
+OPEN_ENDED = ("bpp_avg", "bpp_std", "bps_avg", "bps_std", "pps_avg", "pps_std", "hdr_payload_ratio_avg")
 
 
 def history(stats: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -169,8 +174,9 @@ def history(stats: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     Means and deviations are differences of running sums and sums of squares between the last closed window before and the last
     one too old or beyond max_windows, so a row costs the same however many windows count; only the extremes walk a frame. Sums are decimal,
-    of values as shares of the source's greatest, so that the differences are exact, even zero, however large earlier values were. A
-    value that isn't finite counts as 0. Whole-number statistics are truncated after averaging.
+    of values as shares of the source's greatest, so that the differences are exact, even zero, however large earlier values were. Of
+    rates (OPEN_ENDED) windows that aren't finite are counted: an average over them is infinite, and a deviation NaN. Other values that
+    aren't finite count as 0. Whole-number statistics are truncated after averaging.
     """
     whole = len(str(settings.max_windows))
     # A number of windows times their sum of squares has 38 digits at most; with the default limit a hundred million closed windows of a source
@@ -188,10 +194,12 @@ def history(stats: DataFrame, settings: Settings = Settings()) -> DataFrame:
     squares = F.array(*[added(F.col(f"__own_{c}") * F.col(f"__own_{c}")).cast(f"decimal(38,{2 * scale})") for c in DEVIATIONS])
     exact = F.array(*[added(F.col(c).cast("long")) for c in WHOLE])
     place = F.count_if(closed).over(so_far)
+    # Windows whose rate isn't finite; most sources have none, and their rows no array.
+    odd = [added(F.when(F.abs(F.col(c)) < float("inf"), 0).when(F.col(c).isNotNull(), 1).otherwise(0)) for c in OPEN_ENDED]
     # Closed windows have even places, others the odd one after the last closed window, so that a range of places holds a number of closed ones.
     rows = rows.select(
         "ip_src", "window_id", *SUMMARY, F.array(*[F.col(f"__top_{c}") for c in SUMMED]).alias("top"), closed.alias("closed"), (2 * place + F.when(closed, 0).otherwise(1)).alias("place"),
-        F.when(closed, F.struct(place.alias("n"), sums.alias("s"), squares.alias("q"), exact.alias("w"))).alias("sums"),
+        F.when(closed, F.struct(place.alias("n"), sums.alias("s"), squares.alias("q"), exact.alias("w"), F.when(F.greatest(*odd) > 0, F.array(*odd)).alias("o"))).alias("sums"),
     )
     by_place = of_ip.orderBy("place")
     kept = {"id": F.when(F.col("closed"), F.col("window_id"))} | {c: F.when(F.col("closed"), F.col(c)) for c in SUMMARY}
@@ -211,7 +219,7 @@ def history(stats: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     one, two = f"decimal({whole + scale},{scale})", f"decimal({whole + 2 * scale},{2 * scale})"
     enough = F.col("n") > settings.min_windows
-    rows = rows.select("ip_src", "window_id", "top", "n", "seen", "latest", *[F.when(enough, x).alias(c) for c, x in (("s", between("s", one)), ("q", between("q", two)), ("w", between("w", "bigint")))])
+    rows = rows.select("ip_src", "window_id", "top", "n", "seen", "latest", *[F.when(enough, x).alias(c) for c, x in (("s", between("s", one)), ("q", between("q", two)), ("w", between("w", "bigint")), ("o", between("o", "bigint")))])
     n = F.col("n").cast(f"decimal({whole + 1},0)")
     # Differences of 38 digits lose their last one, so what is below it is 0.
     least = F.col("n") * F.lit(10.0 ** (2 - 2 * scale))
@@ -220,18 +228,21 @@ def history(stats: DataFrame, settings: Settings = Settings()) -> DataFrame:
     mean = F.transform("s", lambda x, i: x.cast("double") / F.col("n") * F.get("top", i))
     rows = rows.withColumns({"mean": mean, "spread": spread})
 
+    def unless_odd(c: str, found: Column, instead: float) -> Column:
+        return F.when(F.get("o", F.lit(OPEN_ENDED.index(c))) > 0, F.lit(instead)).otherwise(found) if c in OPEN_ENDED else found
+
     def summary(c: str) -> Column:
         if c in SUMMARY:
             out = F.when(enough, F.col(f"seen.{c}"))
         else:
-            out = F.col("w")[WHOLE.index(c)] / F.col("n") if c in WHOLE else F.col("mean")[SUMMED.index(c)]
+            out = F.col("w")[WHOLE.index(c)] / F.col("n") if c in WHOLE else unless_odd(c, F.col("mean")[SUMMED.index(c)], float("inf") if c.endswith("_avg") else float("nan"))
         return F.coalesce(out.cast("long") if c in WHOLE else out.cast("double"), F.lit(0)).alias(c)
 
     span = F.when(enough, F.col("latest") - F.col("seen.id") + 1)
     return rows.select(
         "ip_src", "window_id", F.when(enough, F.col("n")).otherwise(F.lit(0)).alias("window_total"), F.coalesce(span, F.lit(0)).alias("window_span"),
         F.coalesce(F.col("n") / span, F.lit(0.0)).alias("window_active_ratio"), *map(summary, WINDOW_COLUMNS),
-        *[F.coalesce(F.col("spread")[i], F.lit(0.0)).alias(f"{c}_std") for i, c in enumerate(DEVIATIONS)],
+        *[F.coalesce(unless_odd(c, F.col("spread")[i], float("nan")), F.lit(0.0)).alias(f"{c}_std") for i, c in enumerate(DEVIATIONS)],
     )
 
 

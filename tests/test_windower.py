@@ -146,3 +146,22 @@ def test_boundaries(spark):
 
 def test_58_features():
     assert len(w.WINDOW_COLUMNS) + len(w.DEVIATIONS) + 1 == 58
+
+
+def test_infinite_rates_of_past_windows(spark):
+    """A window with a flow of no bytes: averages over it are infinite and deviations NaN, others stay as they are."""
+    rows = [dict(r, ip_src="10.0.0.1", hdr=math.inf if r["arrival_seq"] == 200 else r["hdr"]) for r in flows(3)]
+    ids, want = sequential([dict(r, hdr=0.5) for r in rows], SETTINGS)
+    got = w.window_features(frame(spark, rows), SETTINGS).collect()
+    hit = [r for r in got if r.hdr_payload_ratio_avg == math.inf]
+    assert hit and all(math.isnan(r.hdr_payload_ratio_avg_std) for r in hit) and min(r.window_id for r in hit) > ids[200]
+    plain = [r for r in got if want[r.arrival_seq] is not None and r.hdr_payload_ratio_avg != math.inf]
+    assert plain and all(r.hdr_payload_ratio_avg == pytest.approx(0.5) and r.hdr_payload_ratio_avg_std == pytest.approx(0, abs=1e-9) for r in plain)
+
+
+def test_sums_are_added_in_order_of_arrival(spark):
+    """The mean of 1e16, 1, -1e16 depends on the order of adding; whatever the layout, it is the order of arrival."""
+    rows = [dict(r, ip_src="10.0.0.1", ip_dst=f"10.1.0.{3 - i}", port_src=90 - i, start_ms=100 - i, end_ms=200, bpp=(1e16, -1e16, 1.0)[i]) for i, r in enumerate(flows(1)[:3])]
+    for order in (rows, rows[::-1]):
+        got = w.window_stats(w.assign_windows(frame(spark, order), 2000, 0), SETTINGS).first()
+        assert got.bpp_avg == pytest.approx(1 / 3)
