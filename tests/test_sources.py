@@ -147,3 +147,18 @@ def test_numpy_models():
     assert label[-1] == -1 and [len(set(label[i * 30 : i * 30 + 30])) for i in range(3)] == [1, 1, 1] and len(set(label)) == 4
     label, medoids = ml.k_medoids(blobs[:90], 3, seed=1)
     assert len(medoids) == 3 and len(label) == 90
+
+
+def test_clusters_of_many_rows_by_brute_force(spark):
+    rng = np.random.default_rng(3)
+    x = np.round(rng.random((400, 2)), 3)
+    near = ((x[:, None] - x[None]) ** 2).sum(2)
+    for eps in (0.02, 0.04, 0.2):
+        core, label = (near <= eps * eps).sum(1) >= 5, ml.dbscan(x, eps, 5)
+        linked = (near <= eps * eps) & core[:, None] & core[None]
+        assert (label[np.nonzero(linked)[0]] == label[np.nonzero(linked)[1]]).all()
+        assert ((label < 0) == ~((near <= eps * eps) & core[None]).any(1)).all()
+        assert (np.diff([np.flatnonzero((label == c) & core)[0] for c in range(label.max() + 1)]) > 0).all()
+    assert ml.medoid(x) == np.sqrt(near).sum(1).argmin()
+    many = ml.few_rows(spark.range(30_000).selectExpr("id % 173 / 173.0 AS a", "id % 179 / 179.0 AS b"), ("a", "b"))
+    assert len(many) == 30_000 and ml.dbscan(many, 0.1, 5).max() == 0 and set(ml.k_medoids(many, 3)[0]) == {0, 1, 2}
