@@ -28,14 +28,14 @@ def window_duration(start_ms: Column, end_ms: Column) -> Column:
 
 
 def rounded(value: Column | str, digits: int = 0) -> Column:
-    """Rounded as DuckDB does: times 10^digits, to the nearest whole number, halves away from zero; with negative digits what isn't finite is 0.
+    """Rounded as DuckDB does: times 10^digits, to the nearest whole number, halves away from zero; what isn't finite stays.
 
     Spark's round goes by the decimal digits instead: 3.5e-05 at 5 digits is 4e-05 there and 3e-05 here, as 3.5e-05 * 1e5 is below 3.5.
     """
     v = (F.col(value) if isinstance(value, str) else value).cast("double")
     tens = F.lit(10.0 ** abs(digits))
     out = F.round(v * tens) / tens if digits >= 0 else F.round(v / tens) * tens
-    return F.when(F.abs(out) < float("inf"), out).when(out.isNotNull(), v if digits >= 0 else F.lit(0.0))
+    return F.when(F.abs(out) < float("inf"), out).when(out.isNotNull(), v)
 
 
 def side_duration(ms: Column) -> Column:
@@ -148,3 +148,7 @@ def ipv4_number(ip: Column) -> Column:
     number = sum((F.try_element_at(parts, F.lit(i + 1)).try_cast("long") * F.lit(1 << (8 * (3 - i))) for i in range(1, 4)), F.try_element_at(parts, F.lit(1)).try_cast("long") * F.lit(1 << 24))
     return F.when(F.size(parts) == 4, number)
 
+
+def ipv4_text(number: Column) -> Column:
+    """The dotted address of a number."""
+    return F.concat_ws(".", *[(F.shiftright(number, 8 * i).bitwiseAND(F.lit(255))).cast("string") for i in (3, 2, 1, 0)])

@@ -65,14 +65,20 @@ def netflow9_explode(spark, sf_dir):
 @query(f"""WITH {flows_cte("ip_src", "ip_dst", "port_src", "port_dst", "protocol", "start_ms", "label")} SELECT label, round(start_ms / 1000.0, 3) AS timestamp, ip_src AS src_ip, ip_dst AS dst_ip, CASE WHEN protocol IN (6, 17, 132) THEN port_src END AS src_port,
     CASE WHEN protocol IN (6, 17, 132) THEN port_dst END AS dst_port, protocol AS proto FROM flows""")
 def pcap_round_trip(spark, sf_dir):
-    """SRC14, SNK12: a packet for each flow, written to captures by label and read back."""
+    """SRC14, SNK12: a packet for each flow, written to captures by label and read back.
+
+    Sources are 10.0.(user div 256).(user mod 256), whose third part exceeds 255 from user 65,536 on. A packet holds the number it stands for,
+    10.0.0.0 + user, and what is read is spelled as the flows spell it.
+    """
     share_code(spark)
     folder = _folder(spark, "captures")
     rows = events_as_flows(spark, sf_dir, "ip_src", "ip_dst", "port_src", "port_dst", "protocol", "start_ms", "label")
-    made = rows.select((F.col("start_ms") / 1000.0).alias("timestamp"), pcap.header_packet("ip_src", "ip_dst", "port_src", "port_dst", "protocol").alias("packet"), "label")
+    made = rows.select((F.col("start_ms") / 1000.0).alias("timestamp"), pcap.header_packet(*[scalars.ipv4_text(scalars.ipv4_number(F.col(c))) for c in ("ip_src", "ip_dst")], "port_src", "port_dst", "protocol").alias("packet"), "label")
     pcap.write_pcap(made, folder, "label")
+    user = lambda c: scalars.ipv4_number(F.col(c)) - (10 << 24)
+    spelt = lambda c: F.concat_ws(".", F.lit("10.0"), F.shiftright(user(c), 8).cast("string"), (user(c) % 256).cast("string")).alias(c)
     return pcap.read_pcap(spark, folder).select(
-        F.regexp_extract("file", "label=([a-z]+)/", 1).alias("label"), scalars.rounded("timestamp", 3).alias("timestamp"), "src_ip", "dst_ip", "src_port", "dst_port", "proto"
+        F.regexp_extract("file", "label=([a-z]+)/", 1).alias("label"), scalars.rounded("timestamp", 3).alias("timestamp"), spelt("src_ip"), spelt("dst_ip"), "src_port", "dst_port", "proto"
     )
 
 

@@ -24,6 +24,8 @@ IPV4, IPV6, VLAN = 0x0800, 0x86DD, (0x8100, 0x88A8)
 WITH_PORTS = (6, 17, 132)
 #: Rows that a task hands on at once.
 ROWS = 10_000
+#: Packets of a written capture, at most.
+MOST = 1_000_000
 
 
 def addresses(packet: bytes, link: int = ETHERNET) -> tuple[str, str, int | None, int | None, int] | None:
@@ -87,10 +89,11 @@ def read_pcap(spark: SparkSession, path: str) -> DataFrame:
     return found.mapInPandas(decode, PACKETS)
 
 
-def write_pcap(packets: DataFrame, path: str, label: str | None = None, link: int = ETHERNET) -> None:
-    """Captures below a folder that all tasks can reach, one a task, in a folder for each label if there is one: rows with timestamp and packet.
+def write_pcap(packets: DataFrame, path: str, label: str | None = None, link: int = ETHERNET, most: int = MOST) -> None:
+    """Captures below a folder that all tasks can reach, of `most` packets at most, in a folder for each label if there is one: rows with
+    timestamp and packet.
 
-    Packets are in order of time in each file. A repeated attempt writes the same files again.
+    Packets are in order of time in each file; a task sorts with spilling and holds a batch of them. A repeated attempt writes the same files again.
     """
     from pyarrow import fs
 
@@ -99,21 +102,28 @@ def write_pcap(packets: DataFrame, path: str, label: str | None = None, link: in
     rows = packets.select("timestamp", "packet", (F.col(label) if label else F.lit(None)).cast("string").alias("label"))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: dict[str | None, list] = {}
-        for batch in batches:
-            for at, packet, name in zip(batch["timestamp"], batch["packet"], batch["label"]):
-                kept.setdefault(name, []).append((round(at * 1e6), bytes(packet)))
         store, folder = fs.FileSystem.from_uri(uri)
-        for name, found in kept.items():
-            there = f"{folder}/label={name}" if label else folder
-            store.create_dir(there)
-            with store.open_output_stream(f"{there}/part-{TaskContext.get().partitionId():05d}.pcap") as out:
-                out.write(head)
-                for at, packet in sorted(found):
+        out, now, number, held, total = None, None, 0, 0, 0
+        try:
+            for batch in batches:
+                for at, packet, name in zip(batch["timestamp"], batch["packet"], batch["label"]):
+                    if out is None or name != now or held == most:
+                        if out is not None:
+                            out.close()
+                        number, now, held = number + 1 if out is not None and name == now else 0, name, 0
+                        there = f"{folder}/label={name}" if label else folder
+                        store.create_dir(there)
+                        out = store.open_output_stream(f"{there}/part-{TaskContext.get().partitionId():05d}-{number:05d}.pcap")
+                        out.write(head)
+                    at, packet = round(at * 1e6), bytes(packet)
                     out.write(struct.pack("<IIII", at // 1_000_000, at % 1_000_000, len(packet), len(packet)) + packet)
-        yield pd.DataFrame({"n": [sum(map(len, kept.values()))]})
+                    held, total = held + 1, total + 1
+        finally:
+            if out is not None:
+                out.close()
+        yield pd.DataFrame({"n": [total]})
 
-    rows.mapInPandas(write, "n long").agg(F.sum("n")).collect()
+    rows.sortWithinPartitions("label", "timestamp", "packet").mapInPandas(write, "n long").agg(F.sum("n")).collect()
 
 
 @F.pandas_udf(T.BinaryType())

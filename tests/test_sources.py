@@ -162,3 +162,20 @@ def test_clusters_of_many_rows_by_brute_force(spark):
     assert ml.medoid(x) == np.sqrt(near).sum(1).argmin()
     many = ml.few_rows(spark.range(30_000).selectExpr("id % 173 / 173.0 AS a", "id % 179 / 179.0 AS b"), ("a", "b"))
     assert len(many) == 30_000 and ml.dbscan(many, 0.1, 5).max() == 0 and set(ml.k_medoids(many, 3)[0]) == {0, 1, 2}
+
+
+def test_pcap_of_many_users_in_several_files(spark, tmp_path):
+    """User 70,000 has no address of four bytes as the flows spell it; captures are cut at a number of packets."""
+    from pyspark.sql import functions as F
+
+    from flowmill.plans import catalog
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("user_id", F.col("user_id") + 70_000)
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    got = catalog.QUERIES["pcap_round_trip"](spark, str(tmp_path))
+    want = events.select(F.concat(F.lit("10.0."), F.expr("user_id div 256"), F.lit("."), F.col("user_id") % 256).alias("ip"))
+    assert sorted(r.src_ip for r in got.collect()) == sorted(r.ip for r in want.collect())
+    made = spark.range(10).coalesce(1).select((10 - F.col("id")).cast("double").alias("timestamp"), F.col("id").cast("string").cast("binary").alias("packet"))
+    pcap.write_pcap(made, f"{tmp_path}/cut", most=4)
+    rows = pcap.read_pcap(spark, f"{tmp_path}/cut").collect()
+    assert sorted(r.timestamp for r in rows) == list(map(float, range(1, 11))) and len({r.file for r in rows}) == 3
