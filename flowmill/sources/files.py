@@ -8,6 +8,7 @@ import warnings
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ NETFLOW = (
 )
 TRUTH = "label string, tool string, ip_src string, ip_dst string, dp string, ts long, te long"
 _CSV = (".csv", ".flows", ".gz")
+#: Rows that are sent to the driver as one packed table.
+PACKED = 10_000
 
 
 def load(spark: SparkSession, path: str, schema: T.StructType | str | None = None, sep: str = "|", header: bool = True) -> DataFrame:
@@ -157,26 +160,43 @@ def training_batches(df: DataFrame, columns: list[str], least: int, label: str =
     """Batches of at least `least` rows in shuffled order, as features and 0/1 labels (1: not background); rows that don't fill another
     batch join the last one. A table of fewer rows is one batch."""
     rows = df.where(F.col(label) == "background") if background_only else df
+    mark = F.coalesce(F.col(label) != "background", F.lit(True)).cast("byte").alias("__mark")  # a byte a row instead of a text
     held = None
-    for batch in batches(rows, [*columns, label], least, seed):
+    for batch in batches(rows.select(*columns, mark), [*columns, "__mark"], least, seed):
         if held is not None and len(batch) == least:
-            yield held[columns], (held[label] != "background").astype("uint8")
+            yield held[columns], held["__mark"].astype("uint8")
             held = None
         held = batch if held is None else pd.concat([held, batch], ignore_index=True)
     if held is not None:
-        yield held[columns], (held[label] != "background").astype("uint8")
+        yield held[columns], held["__mark"].astype("uint8")
 
 
 def batches(df: DataFrame, columns: list[str], size: int = 300, seed: int | None = None) -> Iterator[pd.DataFrame]:
-    """Bounded batches on the driver for a trainer; with a seed in shuffled order. One partition is held at a time."""
+    """Bounded batches on the driver for a trainer; with a seed in shuffled order. One partition is held at a time.
+
+    Rows come in compressed columns, some PACKED at once.
+    """
     rows = df.select(*columns)
     if seed is not None:
         rows = rows.orderBy(F.rand(seed))
-    held: list = []
-    for row in rows.toLocalIterator():
-        held.append(tuple(row))
-        if len(held) == size:
-            yield pd.DataFrame(held, columns=columns)
-            held = []
-    if held:
-        yield pd.DataFrame(held, columns=columns)
+
+    def pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for at in range(0, part.num_rows, PACKED):
+                out = pa.BufferOutputStream()
+                with pa.ipc.new_stream(out, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                    writer.write_batch(part.slice(at, PACKED))
+                yield pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], ["packed"])
+
+    held: list[pa.Table] = []
+    for row in rows.mapInArrow(pack, "packed binary").toLocalIterator():
+        held.append(pa.ipc.open_stream(row.packed).read_all())
+        if sum(x.num_rows for x in held) >= size:
+            found = pa.concat_tables(held).combine_chunks()
+            whole = found.num_rows // size * size
+            frame = found.slice(0, whole).to_pandas()
+            for at in range(0, whole, size):
+                yield frame.iloc[at : at + size].reset_index(drop=True)
+            held = [found.slice(whole)]
+    if sum(x.num_rows for x in held):
+        yield pa.concat_tables(held).to_pandas()

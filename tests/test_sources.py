@@ -179,3 +179,12 @@ def test_pcap_of_many_users_in_several_files(spark, tmp_path):
     pcap.write_pcap(made, f"{tmp_path}/cut", most=4)
     rows = pcap.read_pcap(spark, f"{tmp_path}/cut").collect()
     assert sorted(r.timestamp for r in rows) == list(map(float, range(1, 11))) and len({r.file for r in rows}) == 3
+
+
+def test_batches_come_packed(spark, monkeypatch):
+    sent, read = [], files.pa.ipc.open_stream
+    monkeypatch.setattr(files.pa.ipc, "open_stream", lambda packed: sent.append(len(packed)) or read(packed))
+    rows = spark.range(20_000).selectExpr("id", "if(id % 4 = 0, 'a long name of an attack', 'background') AS Label").coalesce(2)
+    got = list(files.training_batches(rows, ["id"], 64))
+    assert sorted(i for x, _ in got for i in x["id"]) == list(range(20_000)) and sum(int(y.sum()) for _, y in got) == 5_000
+    assert len(got) == 312 and {len(x) for x, _ in got[:-1]} == {64} and 0 < sum(sent) < 16 * 20_000
