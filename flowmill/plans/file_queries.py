@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from flowmill.functions import scalars
 from flowmill.operators import joins, profiles, scaling
 from flowmill.plans.flows import events_as_flows, flows_cte
-from flowmill.session import share_code, shared_dir, table
+from flowmill.session import share_code, shared_dir, spread, table
 from flowmill.sources import files, ingest
 
 QUERIES: dict = {}
@@ -68,11 +68,17 @@ def bucket_folders(spark, sf_dir):
 def row_chunks(spark, sf_dir):
     """SNK11: files of at most 300 rows, each with the header."""
     folder = _folder(spark, "chunks")
-    files.save(table(spark, sf_dir, "events").select("event_id", "user_id").coalesce(1), folder, "csv", max_rows=300)
-    name = F.col("_metadata.file_name").alias("file")
-    sizes = spark.read.schema("event_id long, user_id long").option("sep", "|").option("header", True).csv(folder).select(name).groupBy("file").agg(F.count("*").alias("n"))
-    heads = spark.read.text(folder).select("value", name).groupBy("file").agg(F.count_if(F.col("value") == "event_id|user_id").alias("heads"))
-    return sizes.join(heads, "file").agg(F.sum("n").alias("n"), (F.max("n") <= 300).alias("small"), (F.min("heads") == 1).alias("headed"))
+    files.save(spread(table(spark, sf_dir, "events").select("event_id", "user_id")), folder, "csv", max_rows=300)
+    return chunk_report(spark, folder)
+
+
+def chunk_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of all files, whether each has at most 300 and whether each has one header. Each file is read once, and many by one task."""
+    lines = spark.read.schema("event_id string, user_id string").option("sep", "|").csv(folder).select("*", F.col("_metadata.file_name").alias("file"))
+    lines = lines.coalesce(4 * spark.sparkContext.defaultParallelism)
+    head = F.coalesce((F.col("event_id") == "event_id") & (F.col("user_id") == "user_id"), F.lit(False))
+    per = lines.groupBy("file").agg(F.count_if(~head).alias("n"), F.count_if(head).alias("heads"))
+    return per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.max("n") <= 300, F.lit(True)).alias("small"), F.coalesce((F.min("heads") == 1) & (F.max("heads") == 1), F.lit(True)).alias("headed"))
 
 
 @query(f"""WITH {flows_cte("flow_id", "start_ms", "ip_src", "ip_dst", "port_src", "port_dst", "protocol", "in_pkts", "in_bytes", "label")} SELECT CAST(start_ms // 1000 AS BIGINT) AS timestamp, ip_src AS src_ip, ip_dst AS dst_ip, CAST(port_src AS BIGINT) AS src_port,
