@@ -4,13 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Ranges a table is dealt to, and the accuracy of their edges (error in rank: one in so many rows).
 PARTS, ACCURACY = 64, 10_000
 
 
+def below(edges: Column, value: Column, size: int) -> Column:
+    """How many numbers of a sorted array of at most `size` are less than the value, by halving; 0 for null."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(max(size, 1).bit_length()))])
+    # A place beyond the array is null, and less than nothing.
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(edges, at + step - 1) < value, at + step).otherwise(at))
+
+
 def dealt(rows: DataFrame, value: str, keys: Sequence[str] = (), parts: int = PARTS) -> DataFrame:
     """Adds __range: rows of a smaller range have smaller values, equal values share a range. Nulls are in range 0.
 
@@ -18,8 +25,7 @@ def dealt(rows: DataFrame, value: str, keys: Sequence[str] = (), parts: int = PA
     """
     edges = rows.groupBy(*keys).agg(F.percentile_approx(F.col(value).cast("double"), [i / parts for i in range(1, parts)], ACCURACY).alias("__edges"))
     rows = rows.join(F.broadcast(edges), list(keys)) if keys else rows.crossJoin(F.broadcast(edges))
-    below = F.size(F.filter(F.coalesce("__edges", F.array().cast("array<double>")), lambda e: e < F.col(value).cast("double")))
-    return rows.withColumn("__range", F.coalesce(below, F.lit(0))).drop("__edges")
+    return rows.withColumn("__range", below(F.col("__edges"), F.col(value).cast("double"), parts - 1)).drop("__edges")
 
 
 def before(rows: DataFrame, value: str, weight: str | None = None, keys: Sequence[str] = (), ties: Sequence[str] = (), name: str = "before", parts: int = PARTS) -> DataFrame:
@@ -43,16 +49,18 @@ def quantiles(values: DataFrame, points: Sequence[float], keys: Sequence[str], v
     counts = values.groupBy(*keys, value).agg(F.count("*").alias("__n"))
     ranked = before(counts, value, "__n", keys, name="__before")
     totals = counts.groupBy(*keys).agg(F.sum("__n").alias("__total"))
-    ranked = ranked.join(F.broadcast(totals), list(keys))
-
-    share, last = F.array(*[F.lit(float(p)) for p in points]), (F.col("__total") - 1).cast("double")
-    # Each row names the points whose lower or upper rank it has; most have none.
-    inside = lambda rank: (F.col("__before") <= rank) & (rank < F.col("__before") + F.col("__n"))
-    index = F.sequence(F.lit(0), F.lit(len(points) - 1))
-    low = F.filter(index, lambda i: inside(F.floor(F.get(share, i) * last)))
-    high = F.filter(index, lambda i: inside(F.ceil(F.get(share, i) * last)))
-    side = lambda found, name: F.transform(found, lambda i: F.struct(i.alias("i"), F.lit(name).alias("side")))
-    hits = ranked.select(*keys, "__total", F.col(value).alias("__v"), F.explode(F.concat(side(low, "low"), side(high, "high"))).alias("__x"))
+    share, last = F.array(*[F.lit(float(p)) for p in sorted(points)]), (F.col("__total") - 1).cast("double")
+    # The ranks below and above each point, ascending; a row has those from its first rank to its last.
+    wanted = {"__lower": F.transform(share, lambda p: F.floor(p * last)), "__upper": F.transform(share, lambda p: F.ceil(p * last))}
+    ranked = ranked.join(F.broadcast(totals.withColumns(wanted)), list(keys))
+
+    def held(wanted: str, name: str) -> Column:
+        first, end = (below(F.col(wanted), r, len(points)) for r in (F.col("__before"), F.col("__before") + F.col("__n")))
+        # Most rows have none.
+        found = F.when(first < end, F.sequence(first, F.greatest(first, end - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(found, lambda i: F.struct(i.alias("i"), F.lit(name).alias("side")))
+
+    hits = ranked.select(*keys, "__total", F.col(value).alias("__v"), F.explode(F.concat(held("__lower", "low"), held("__upper", "high"))).alias("__x"))
     ends = [F.map_from_entries(F.collect_list(F.when(F.col("__x.side") == x, F.struct("__x.i", "__v")))).alias(f"__{x}") for x in ("low", "high")]
     found = hits.groupBy(*keys, "__total").agg(*ends)  # two numbers a point
 
@@ -60,4 +68,6 @@ def quantiles(values: DataFrame, points: Sequence[float], keys: Sequence[str], v
         place = F.get(share, i) * last
         return F.element_at("__low", i) + (place - F.floor(place)) * (F.element_at("__high", i) - F.element_at("__low", i))
 
-    return found.select(*keys, F.transform(index, between).alias(name))
+    places = sorted(range(len(points)), key=lambda i: points[i])
+    asked = F.array(*[F.lit(places.index(i)) for i in range(len(points))])
+    return found.select(*keys, F.transform(asked, between).alias(name))

@@ -3,6 +3,11 @@
 import glob
 import re
 
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from flowmill.operators import ml, ranks
 from flowmill.plans import catalog, file_queries
 
 
@@ -24,3 +29,21 @@ def test_chunk_report_finds_long_and_headless_files(spark, tmp_path):
         (tmp_path / name / "a.csv").write_text("\n".join(lines) + "\n")
     got = {name: tuple(file_queries.chunk_report(spark, f"{tmp_path}/{name}").first()) for name in ("long", "headless", "right")}
     assert got == {"long": (301, False, True), "headless": (3, True, False), "right": (2, True, True)}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_places_are_found_by_halving(spark):
+    edges = sorted([0.5, 1.0, 1.0, 2.0, 7.0])
+    values = [-1.0, 0.5, 0.6, 1.0, 1.5, 7.0, 8.0, float("inf"), float("nan"), None]
+    rows = spark.createDataFrame([(edges, v) for v in values] + [(None, 1.0), ([], 1.0)], "e array<double>, v double")
+    got = [r.n for r in rows.select(ranks.below(F.col("e"), F.col("v"), 5).alias("n")).collect()]
+    assert got == [0, 0, 1, 1, 3, 4, 5, 5, 5, 0, 0, 0]
+    x = np.random.default_rng(5).integers(0, 300, 2000).astype(float)
+    df = spark.createDataFrame([(float(v), "a") for v in x], "v double, k string").repartition(5)
+    points = [0.7, 0.1, 1.0, 0.0, 0.1, 0.333]  # in any order, also twice
+    assert ranks.quantiles(df, points, ["k"]).first().q == pytest.approx(np.quantile(x, points))
+    scaled = ml.quantile_uniform(df, ["v"])
+    assert "lambdafunction" in _plan(scaled) and "filter(" not in _plan(scaled)  # not all knots for each row
