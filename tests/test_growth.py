@@ -4,6 +4,7 @@ import glob
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,3 +48,14 @@ def test_places_are_found_by_halving(spark):
     assert ranks.quantiles(df, points, ["k"]).first().q == pytest.approx(np.quantile(x, points))
     scaled = ml.quantile_uniform(df, ["v"])
     assert "lambdafunction" in _plan(scaled) and "filter(" not in _plan(scaled)  # not all knots for each row
+
+
+def test_rank_correlation(spark):
+    rng = np.random.default_rng(6)
+    x = np.stack([rng.integers(0, 9, 3000), rng.normal(0, 1, 3000).round(2), rng.exponential(1, 3000)], 1)
+    x[:, 2] += x[:, 0]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=["a", "b", "c"])).repartition(5)
+    assert ml.spearman(df, ["a", "b", "c"]) == pytest.approx(pd.DataFrame(x).corr("spearman").to_numpy(), abs=1e-12)
+    assert np.isnan(ml.spearman(df.where("false"), ["a", "b"])).all()
+    with pytest.raises(Exception, match="null in a"):
+        ml.spearman(df.withColumn("a", F.lit(None).cast("double")), ["a", "b"])
