@@ -59,3 +59,23 @@ def test_rank_correlation(spark):
     assert np.isnan(ml.spearman(df.where("false"), ["a", "b"])).all()
     with pytest.raises(Exception, match="null in a"):
         ml.spearman(df.withColumn("a", F.lit(None).cast("double")), ["a", "b"])
+
+
+def test_forests_see_counted_bins(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = pd.DataFrame({"id": range(4000), "a": rng.integers(0, 5, 4000) / 4, "b": rng.random(4000), "c": np.where(rng.random(4000) < 0.4, 0.0, rng.random(4000))})
+    x["label"] = np.where((x.a > 0.4) ^ (x.b > 0.7), "attack", "background")
+    x.loc[::50, "c"] = np.nan
+    df = spark.createDataFrame(x).repartition(6)
+    edges = ml.bin_edges(df, ("a", "b", "c"))
+    assert edges[0] == [0.0, 0.25, 0.5, 0.75, 1.0] and len(edges[1]) == 31 and edges[2][0] == 0.0 and 0 < edges[2][1] < 1e-300
+    grown = []
+    fit = ml.RandomForestClassifier._fit
+    monkeypatch.setattr(ml.RandomForestClassifier, "_fit", lambda self, data: (grown.append(data.agg(F.count("*"), F.sum("__weight")).first()), fit(self, data))[1])
+    for copies in (1, 20):
+        many = df.crossJoin(spark.range(copies).select(F.col("id").alias("copy")))
+        model = ml.train_forest(many, ("a", "b", "c"), "label", trees=20)
+        got = ml.forest_scores(model, many).toPandas()
+        assert len(got) == 4000 * copies and (got.predicted == got.label).mean() > 0.97 and got.confidence.between(0.5, 1).all()
+    # All rows count, but the trees are grown on no more of them.
+    assert [r[1] for r in grown] == [4000, 80000] and grown[0][0] == grown[1][0] < 4000
