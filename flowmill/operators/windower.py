@@ -11,6 +11,7 @@ the features was trained with; across windows they are population deviations.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -91,14 +92,19 @@ def assign_windows(flows: DataFrame, window_ms: int, first_ms: int | None = None
     return flows.withColumn("window_id", F.greatest("window_id", F.coalesce("__before", F.lit(0)))).drop("__chunk", "__before")
 
 
+#: What flows are shuffled and sorted by. The hash is first, as addresses begin alike: nearly all comparisons of a sort end at its eight bytes.
+KEYS = ["__key", "ip_src", "window_id"]
+
+
 def _marked(flows: DataFrame, settings: Settings) -> DataFrame:
     """Two rows a flow, its start with all its columns and its end, beside what its neighbours in (ip_src, window_id) say.
 
     open: flows open after the event (ends first at ties, so intervals are half-open). gap: seconds since the start before, among
     flows that are not longer than longest_flow_ms. same_port, same_dst: flows of the same port or destination; sampled: whether the
-    flow's port is in the port sample, same_sampled: how many of the sample have it. One exchange by (ip_src, window_id) serves all.
+    flow's port is in the port sample, same_sampled: how many of the sample have it. One exchange by KEYS serves all.
     """
-    keys = ["ip_src", "window_id"]
+    keys = KEYS
+    flows = flows.withColumn("__key", F.xxhash64("ip_src", "window_id"))
     event = F.explode(F.array(F.struct(F.col("start_ms").alias("at"), F.lit(1).alias("step")), F.struct(F.col("end_ms").alias("at"), F.lit(-1).alias("step"))))
     kept = [c for c in flows.columns if c not in (*keys, "start_ms", "end_ms")]
     rows = flows.withColumn("__short", F.col("end_ms") - F.col("start_ms") <= settings.longest_flow_ms).select(*keys, *kept, "__short", event.alias("e"))
@@ -147,7 +153,7 @@ def window_stats(flows: DataFrame, settings: Settings = Settings()) -> DataFrame
     zero = lambda x: F.coalesce(x, F.lit(0.0))
     # Each of n equal values counts 1 / n.
     distinct = lambda c, n: F.round(F.coalesce(F.sum(F.when(F.col(c).isNotNull(), 1 / F.col(n))), F.lit(0.0))).cast("long")
-    out = _marked(flows, settings).groupBy("ip_src", "window_id").agg(
+    out = _marked(flows, settings).groupBy(*KEYS).agg(
         F.count_if(F.col("step") == 1).alias("flows_total"), F.greatest(F.max("open"), F.lit(0)).cast("long").alias("flows_concurrent_max"),
         zero(F.avg("gap")).alias("flows_itimes_avg"), zero(F.stddev_samp("gap")).alias("flows_itimes_std"), zero(F.min("gap")).alias("flows_itimes_min"),
         zero(F.max("gap")).alias("flows_itimes_max"), F.sum("dur").alias("dur_total"), F.avg("dur").alias("dur_avg"), variance("dur").alias("dur_std"),
@@ -169,7 +175,7 @@ SUMMED = (*DEVIATIONS, *[c for c in WINDOW_COLUMNS if c not in DEVIATIONS and c
 OPEN_ENDED = ("bpp_avg", "bpp_std", "bps_avg", "bps_std", "pps_avg", "pps_std", "hdr_payload_ratio_avg")
 
 
-def history(stats: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def history(stats: DataFrame, settings: Settings = Settings(), columns: Sequence[str] | None = None) -> DataFrame:
     """One row per (ip_src, window_id): the summary of the source's closed windows before it; zeros if there are too few.
 
     Means and deviations are differences of running sums and sums of squares between the last closed window before and the last
@@ -177,7 +183,14 @@ def history(stats: DataFrame, settings: Settings = Settings()) -> DataFrame:
     of values as shares of the source's greatest, so that the differences are exact, even zero, however large earlier values were. Of
     rates (OPEN_ENDED) windows that aren't finite are counted: an average over them is infinite, and a deviation NaN. Other values that
     aren't finite count as 0. Whole-number statistics are truncated after averaging.
+
+    With `columns`, sums are kept for these alone, and only they are in the result beside window_total, window_span and window_active_ratio.
     """
+    wanted = lambda c: columns is None or c in columns
+    deviations = [c for c in DEVIATIONS if wanted(f"{c}_std")]
+    summed = [*deviations, *[c for c in SUMMED if wanted(c) and c not in deviations and c not in SUMMARY]]
+    exact_sums, open_ended = [c for c in WHOLE if wanted(c) and c not in SUMMARY], [c for c in OPEN_ENDED if c in summed]
+    listed = lambda found, kind: F.array(*found).cast(f"array<{kind}>")
     whole = len(str(settings.max_windows))
     # A number of windows times their sum of squares has 38 digits at most; with the default limit a hundred million closed windows of a source
     # (six years of two seconds each) can be summed.
@@ -187,19 +200,19 @@ def history(stats: DataFrame, settings: Settings = Settings()) -> DataFrame:
     by_ip = of_ip.orderBy("window_id")
     so_far, first = by_ip.rowsBetween(Window.unboundedPreceding, 0), Window.unboundedPreceding
     own = lambda c: F.when(closed & (F.abs(F.col(c).cast("double")) < float("inf")), F.col(c).cast("double"))
-    rows = stats.withColumns({f"__top_{c}": F.coalesce(F.nullif(F.max(F.abs(own(c))).over(of_ip), F.lit(0.0)), F.lit(1.0)) for c in SUMMED})
-    rows = rows.withColumns({f"__own_{c}": F.coalesce(own(c) / F.col(f"__top_{c}"), F.lit(0.0)).cast(f"decimal({scale + 1},{scale})") for c in SUMMED})
+    rows = stats.withColumns({f"__top_{c}": F.coalesce(F.nullif(F.max(F.abs(own(c))).over(of_ip), F.lit(0.0)), F.lit(1.0)) for c in summed})
+    rows = rows.withColumns({f"__own_{c}": F.coalesce(own(c) / F.col(f"__top_{c}"), F.lit(0.0)).cast(f"decimal({scale + 1},{scale})") for c in summed})
     added = lambda x: F.sum(F.when(closed, x)).over(so_far)
-    sums = F.array(*[added(F.col(f"__own_{c}")) for c in SUMMED])
-    squares = F.array(*[added(F.col(f"__own_{c}") * F.col(f"__own_{c}")).cast(f"decimal(38,{2 * scale})") for c in DEVIATIONS])
-    exact = F.array(*[added(F.col(c).cast("long")) for c in WHOLE])
+    sums = listed([added(F.col(f"__own_{c}")) for c in summed], f"decimal({min(38, scale + 11)},{scale})")
+    squares = listed([added(F.col(f"__own_{c}") * F.col(f"__own_{c}")).cast(f"decimal(38,{2 * scale})") for c in deviations], f"decimal(38,{2 * scale})")
+    exact = listed([added(F.col(c).cast("long")) for c in exact_sums], "bigint")
     place = F.count_if(closed).over(so_far)
     # Windows whose rate isn't finite; most sources have none, and their rows no array.
-    odd = [added(F.when(F.abs(F.col(c)) < float("inf"), 0).when(F.col(c).isNotNull(), 1).otherwise(0)) for c in OPEN_ENDED]
+    odd = [added(F.when(F.abs(F.col(c)) < float("inf"), 0).when(F.col(c).isNotNull(), 1).otherwise(0)) for c in open_ended]
     # Closed windows have even places, others the odd one after the last closed window, so that a range of places holds a number of closed ones.
     rows = rows.select(
-        "ip_src", "window_id", *SUMMARY, F.array(*[F.col(f"__top_{c}") for c in SUMMED]).alias("top"), closed.alias("closed"), (2 * place + F.when(closed, 0).otherwise(1)).alias("place"),
-        F.when(closed, F.struct(place.alias("n"), sums.alias("s"), squares.alias("q"), exact.alias("w"), F.when(F.greatest(*odd) > 0, F.array(*odd)).alias("o"))).alias("sums"),
+        "ip_src", "window_id", *SUMMARY, listed([F.col(f"__top_{c}") for c in summed], "double").alias("top"), closed.alias("closed"), (2 * place + F.when(closed, 0).otherwise(1)).alias("place"),
+        F.when(closed, F.struct(place.alias("n"), sums.alias("s"), squares.alias("q"), exact.alias("w"), F.when(F.greatest(*odd, F.lit(0), F.lit(0)) > 0, listed(odd, "bigint")).alias("o"))).alias("sums"),
     )
     by_place = of_ip.orderBy("place")
     kept = {"id": F.when(F.col("closed"), F.col("window_id"))} | {c: F.when(F.col("closed"), F.col(c)) for c in SUMMARY}
@@ -229,25 +242,25 @@ def history(stats: DataFrame, settings: Settings = Settings()) -> DataFrame:
     rows = rows.withColumns({"mean": mean, "spread": spread})
 
     def unless_odd(c: str, found: Column, instead: float) -> Column:
-        return F.when(F.get("o", F.lit(OPEN_ENDED.index(c))) > 0, F.lit(instead)).otherwise(found) if c in OPEN_ENDED else found
+        return F.when(F.get("o", F.lit(open_ended.index(c))) > 0, F.lit(instead)).otherwise(found) if c in open_ended else found
 
     def summary(c: str) -> Column:
         if c in SUMMARY:
             out = F.when(enough, F.col(f"seen.{c}"))
         else:
-            out = F.col("w")[WHOLE.index(c)] / F.col("n") if c in WHOLE else unless_odd(c, F.col("mean")[SUMMED.index(c)], float("inf") if c.endswith("_avg") else float("nan"))
+            out = F.col("w")[exact_sums.index(c)] / F.col("n") if c in WHOLE else unless_odd(c, F.col("mean")[summed.index(c)], float("inf") if c.endswith("_avg") else float("nan"))
         return F.coalesce(out.cast("long") if c in WHOLE else out.cast("double"), F.lit(0)).alias(c)
 
     span = F.when(enough, F.col("latest") - F.col("seen.id") + 1)
     return rows.select(
         "ip_src", "window_id", F.when(enough, F.col("n")).otherwise(F.lit(0)).alias("window_total"), F.coalesce(span, F.lit(0)).alias("window_span"),
-        F.coalesce(F.col("n") / span, F.lit(0.0)).alias("window_active_ratio"), *map(summary, WINDOW_COLUMNS),
-        *[F.coalesce(unless_odd(c, F.col("spread")[i], float("nan")), F.lit(0.0)).alias(f"{c}_std") for i, c in enumerate(DEVIATIONS)],
+        F.coalesce(F.col("n") / span, F.lit(0.0)).alias("window_active_ratio"), *[summary(c) for c in WINDOW_COLUMNS if wanted(c)],
+        *[F.coalesce(unless_odd(c, F.col("spread")[i], float("nan")), F.lit(0.0)).alias(f"{c}_std") for i, c in enumerate(deviations)],
     )
 
 
-def window_features(flows: DataFrame, settings: Settings = Settings(), first_ms: int | None = None, late: bool = True) -> DataFrame:
-    """Each flow's arrival_seq, ip_src, window_id and its 58 history features."""
+def window_features(flows: DataFrame, settings: Settings = Settings(), first_ms: int | None = None, late: bool = True, columns: Sequence[str] | None = None) -> DataFrame:
+    """Each flow's arrival_seq, ip_src, window_id and its 58 history features, or window_active_ratio and those named."""
     placed = assign_windows(flows, settings.window_ms, first_ms, late)
-    past = history(window_stats(placed, settings), settings)
+    past = history(window_stats(placed, settings), settings, columns)
     return placed.select("arrival_seq", "ip_src", "window_id").join(past, ["ip_src", "window_id"]).drop("window_total", "window_span")

@@ -533,14 +533,14 @@ _H_OUT = ", ".join(f"coalesce(CAST(trunc(h.{c}) AS BIGINT), 0) AS {c}" for c in
 def win_history(spark, sf_dir):
     """A12, A13, W4, ST3: what each source's closed windows say before each window."""
     placed = windower.assign_windows(_windower_input(spark, sf_dir), DAY_MS, late=False)
-    out = windower.history(windower.window_stats(placed, SETTINGS), SETTINGS)
+    out = windower.history(windower.window_stats(placed, SETTINGS), SETTINGS, (*_H_WHOLE, *_H_REAL))
     return out.select("ip_src", "window_id", "window_total", "window_span", scalars.rounded("window_active_ratio", 6).alias("window_active_ratio"), *_H_WHOLE, *[scalars.rounded(c, 4).alias(c) for c in _H_REAL])
 
 
 @query(_WIN_CTE + _STATS_SQL + _HISTORY_SQL + f" SELECT w.arrival_seq, w.ip_src, w.window_id, round(coalesce(n / span, 0.0), 6) AS window_active_ratio, {_H_OUT} FROM w LEFT JOIN summed h USING (ip_src, window_id)")
 def win_features(spark, sf_dir):
     """Each flow with its history features (a choice of the 58 columns)."""
-    out = windower.window_features(_windower_input(spark, sf_dir), SETTINGS, late=False)
+    out = windower.window_features(_windower_input(spark, sf_dir), SETTINGS, late=False, columns=(*_H_WHOLE, *_H_REAL))
     return out.select("arrival_seq", "ip_src", "window_id", scalars.rounded("window_active_ratio", 6).alias("window_active_ratio"), *_H_WHOLE, *[scalars.rounded(c, 4).alias(c) for c in _H_REAL])
 
 

@@ -8,8 +8,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from flowmill.operators import ml, ranks
-from flowmill.plans import catalog, file_queries
+from flowmill.operators import ml, ranks, windower
+from flowmill.plans import catalog, file_queries, queries
 
 
 def test_row_chunks_are_written_by_many_tasks(spark, tmp_path):
@@ -79,3 +79,14 @@ def test_forests_see_counted_bins(spark, monkeypatch):
         assert len(got) == 4000 * copies and (got.predicted == got.label).mean() > 0.97 and got.confidence.between(0.5, 1).all()
     # All rows count, but the trees are grown on no more of them.
     assert [r[1] for r in grown] == [4000, 80000] and grown[0][0] == grown[1][0] < 4000
+
+
+def test_history_keeps_sums_of_what_is_asked_for(spark):
+    flows = queries.late_flows(spark, "/root/testdata/sf0.001")
+    settings = windower.Settings(window_ms=queries.DAY_MS, min_flows=1, min_windows=1, timeout=20, max_windows=8)
+    stats = windower.window_stats(windower.assign_windows(flows, settings.window_ms), settings).localCheckpoint()
+    every = windower.history(stats, settings)
+    for names in (("bytes_total", "ttl_std_std", "proto_all_or", "flows_concurrent_max_std"), ("bps_avg", "pps_avg_x", "ip_dst_uniq"), ("flows_itimes_min",), ("dur_avg", "bpp_avg_std", "pps_std")):
+        part = windower.history(stats, settings, names)
+        assert set(part.columns) == {"ip_src", "window_id", "window_total", "window_span", "window_active_ratio", *names} - {"pps_avg_x"}
+        assert sorted(map(repr, part.collect())) == sorted(map(repr, every.select(part.columns).collect()))
